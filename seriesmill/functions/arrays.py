@@ -1,91 +1,97 @@
-"""Vectors and small matrices as array columns.
+"""Vectors and small matrices in SQL expressions.
 
-A matrix is an ``array<array<double>>``.  All helpers work on one row, so they
-serve the one-row-per-series tables left after an aggregation.
+Every helper takes and returns the text of a Spark SQL expression, to be used
+with ``F.expr``; a matrix is an ``array<array<double>>``.  They work within one
+row and serve the one-row-per-series tables left after an aggregation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import count
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+_numbers = count()
 
-ZERO = F.lit(0.0)
 
+def fresh() -> str:
+    """A lambda variable no enclosing expression uses."""
+    return f"v{next(_numbers)}"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate ``value`` once and use it many times in ``body``.
 
     The optimizer merges neighbouring projections; a column read inside a
     lambda would otherwise be recomputed for every array element.
     """
-    return F.transform(F.array(value), body)[0]
+    v = fresh()
+    return f"transform(array({value}), {v} -> {body(v)})[0]"
+
+
+def each(a: str, body: Callable[[str], str]) -> str:
+    v = fresh()
+    return f"transform({a}, {v} -> {body(v)})"
 
 
-def lets(values: list[Column], body: Callable[..., Column]) -> Column:
-    """``let`` for several independent values."""
+def each_at(a: str, body: Callable[[str, str], str]) -> str:
+    """``each`` with the 0-based index as second argument."""
+    v, i = fresh(), fresh()
+    return f"transform({a}, ({v}, {i}) -> {body(v, i)})"
 
-    def bind(done: list[Column], rest: list[Column]) -> Column:
-        if not rest:
-            return body(*done)
-        return let(rest[0], lambda v: bind([*done, v], rest[1:]))
 
-    return bind([], list(values))
+def fold(a: str, start: str, step: Callable[[str, str], str]) -> str:
+    s, v = fresh(), fresh()
+    return f"aggregate({a}, {start}, ({s}, {v}) -> {step(s, v)})"
 
 
-def doubles(values) -> Column:
-    """A literal ``array<double>``; empty lists keep their element type."""
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+def pairwise(a: str, b: str, body: Callable[[str, str], str]) -> str:
+    u, v = fresh(), fresh()
+    return f"zip_with({a}, {b}, ({u}, {v}) -> {body(u, v)})"
 
 
-def count_up(n: Column | int) -> Column:
+def doubles(values: Iterable[float]) -> str:
+    """A literal ``array<double>``; an empty list keeps its element type."""
+    return f"cast(array({', '.join(f'{float(v)!r}D' for v in values)}) as array<double>)"
+
+
+def count_up(n: str | int) -> str:
     """``[0, 1, …, n-1]``; empty for n = 0 (``sequence`` would count down)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), 1, n)
+    return f"slice(sequence(0, greatest({n}, 1) - 1), 1, {n})"
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, ZERO, lambda s, v: s + v)
+def total(a: str) -> str:
+    return fold(a, "0D", lambda s, v: f"{s} + {v}")
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: str, b: str) -> str:
     """Sum of products; NULL when the lengths differ."""
-    return total(F.zip_with(a, b, lambda u, v: u * v))
+    return total(pairwise(a, b, lambda u, v: f"{u} * {v}"))
 
 
-def mat_vec(m: Column, v: Column) -> Column:
-    return F.transform(m, lambda row: dot(row, v))
+def mat_vec(m: str, v: str) -> str:
+    return each(m, lambda row: dot(row, v))
 
 
-def solve_spd(a: Column, rhs: Column) -> Column:
+def solve_spd(a: str, rhs: str) -> str:
     """Solve ``a · y = rhs`` for a symmetric positive definite matrix.
 
     Gauss–Jordan elimination without pivoting.  NULL when a pivot vanishes
     against its own diagonal, that is for a singular system.
     """
-    augmented = F.zip_with(a, rhs, lambda row, r: F.concat(row, F.array(r)))
-
-    def solve(m0: Column) -> Column:
-        size = F.size(m0)
-
-        def eliminate(m: Column, j: Column) -> Column:
-            pivot = F.get(F.get(m, j), j)
-            floor = F.abs(F.get(F.get(m0, j), j)) * F.lit(1e-13)
-            safe = F.when(pivot > floor, pivot)
-
-            def reduce_rows(lead: Column) -> Column:
-                return F.transform(
-                    m,
-                    lambda row, i: F.when(i == j, lead).otherwise(
-                        F.zip_with(row, lead, lambda u, v: u - F.get(row, j) * v)
-                    ),
-                )
-
-            return let(F.transform(F.get(m, j), lambda v: v / safe), reduce_rows)
-
-        reduced = F.aggregate(count_up(size), m0, eliminate)
-        return let(F.transform(reduced, lambda row: F.get(row, size)),
-                   lambda y: F.when(~F.exists(y, lambda v: v.isNull() | F.isnan(v)), y))
-
-    return let(augmented, solve)
+    def solve(m0: str) -> str:
+        def eliminate(m: str, j: str) -> str:
+            pivot = f"get(get({m}, {j}), {j})"
+            safe = f"if({pivot} > abs(get(get({m0}, {j}), {j})) * 1e-13D, {pivot}, null)"
+            return let(
+                let(safe, lambda s: each(f"get({m}, {j})", lambda v: f"{v} / {s}")),
+                lambda lead: each_at(m, lambda row, i: (
+                    f"if({i} = {j}, {lead}, "
+                    + pairwise(row, lead, lambda u, v: f"{u} - get({row}, {j}) * {v}") + ")")))
+
+        reduced = fold(count_up(f"size({m0})"), m0, eliminate)
+        v = fresh()
+        return let(
+            each(reduced, lambda row: f"get({row}, size({m0}))"),
+            lambda y: f"if(exists({y}, {v} -> {v} is null or isnan({v})), null, {y})")
+
+    return let(pairwise(a, rhs, lambda row, r: f"concat({row}, array({r}))"), solve)

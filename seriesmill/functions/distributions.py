@@ -12,7 +12,11 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import ZERO, let
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate once, use many times."""
+    return F.transform(F.array(value), body)[0]
 
 
 def z_value(level: float) -> float:
@@ -26,7 +30,7 @@ def normal_tail(z: Column) -> Column:
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(60)),
         F.struct(z.alias("term"), z.alias("sum")),
-        lambda s, i: let(
+        lambda s, i: _let(
             s["term"] * z * z / (2 * i + 1),
             lambda term: F.struct(term.alias("term"), (s["sum"] + term).alias("sum")),
         ),
@@ -47,7 +51,7 @@ def chi2_tail(q: Column, df: int) -> Column:
     if df <= 0:
         raise ValueError("degrees of freedom must be positive")
     half = F.exp(-q / 2)
-    total = ZERO
+    total = F.lit(0.0)
     if df % 2 == 0:
         term = F.lit(1.0)
         for j in range(df // 2):
@@ -87,7 +91,7 @@ def t_value(level: float, df: Column) -> Column:
         terms = F.aggregate(
             F.slice(F.sequence(F.lit(1), F.lit(16)), 1, F.greatest(steps, F.lit(0))),
             F.struct(first.alias("term"), first.alias("sum")),
-            lambda a, i: let(
+            lambda a, i: _let(
                 a["term"] * c * c * F.when(odd, 2.0 * i / (2 * i + 1)).otherwise(
                     (2.0 * i - 1) / (2 * i)),
                 lambda term: F.struct(term.alias("term"), (a["sum"] + term).alias("sum")),
@@ -102,8 +106,8 @@ def t_value(level: float, df: Column) -> Column:
 
     exact = F.aggregate(
         F.sequence(F.lit(1), F.lit(60)),
-        F.struct(ZERO.alias("lo"), F.lit(math.pi / 2).alias("hi")),
-        lambda b, _: let(
+        F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi / 2).alias("hi")),
+        lambda b, _: _let(
             (b["lo"] + b["hi"]) / 2,
             lambda mid: F.when(
                 central(mid) < level, F.struct(mid.alias("lo"), b["hi"].alias("hi"))

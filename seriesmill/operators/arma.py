@@ -21,12 +21,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import ZERO, count_up, doubles, dot, let, lets, mat_vec, solve_spd
+from ..functions.arrays import (
+    count_up, dot, doubles, each, each_at, let, mat_vec, solve_spd,
+)
 from ..functions.distributions import t_value
 from ..session import cut
 from . import recursion
 from .blocks import BLOCK, DEFAULT, Blocking, attach, blocks, history
-from .moments import gram, lag_products
+from .moments import block_products, gram
 
 # orders of the long autoregression and the rows plain AR candidates condition on
 LONG_AR = 10
@@ -46,14 +48,14 @@ class Arma:
         return {
             "p": F.lit(len(self.phi)), "q": F.lit(len(self.theta)),
             "with_mean": F.lit(self.mu != 0.0), "mu": F.lit(float(self.mu)),
-            "coef": doubles([*self.phi, *self.theta]),
+            "coef": F.expr(doubles([*self.phi, *self.theta])),
         }
 
 
 # ---- two-stage estimates from lagged cross-products -------------------------
 
-def two_stage(depth: int) -> Column:
-    """``struct<coef, sse, used>`` for the row's p, q and with_mean.
+def two_stage(depth: int) -> str:
+    """SQL: ``struct<coef, sse, used>`` for the row's p, q and with_mean.
 
     Works on the columns of ``lag_products(…, depth, edges=True)``.  Pure AR
     models are one least-squares fit.  With MA terms a long autoregression
@@ -61,42 +63,40 @@ def two_stage(depth: int) -> Column:
     regressors.  Since those shocks are linear in the lags of x, both stages
     need only the cross-products.
     """
-    p, q = F.col("p"), F.col("q")
-    long = F.greatest(F.lit(LONG_AR), p + q + 5)
-    order = F.when(q == 0, p).otherwise(long + q)
-    skip = F.when(q == 0, F.greatest(p, F.lit(SEARCH_SKIP))).otherwise(long + q)
-    raw = ~F.col("with_mean")
-
-    def submatrix(g: Column, size: Column) -> Column:
-        return F.transform(F.slice(g, 2, size), lambda row: F.slice(row, 2, size))
-
-    def shocks(g: Column) -> Column:
-        a = solve_spd(submatrix(g, long), F.slice(g[0], 2, long))
-        return F.concat(F.array(F.lit(1.0)), F.transform(a, lambda v: -v))
-
-    def regressors(c: Column) -> Column:
-        lags = F.sequence(F.lit(0), order)
-        own = F.transform(count_up(p), lambda i: F.transform(
-            lags, lambda at: F.when(at == i + 1, 1.0).otherwise(0.0)))
-        past = F.transform(count_up(q), lambda j: F.transform(
-            lags, lambda at: F.when(
-                (at > j) & (at <= long + j + 1), F.get(c, at - j - 1)).otherwise(0.0)))
-        return F.concat(own, past)
-
-    def regress(g: Column, rows: Column) -> Column:
-        def finish(projected: Column) -> Column:
-            normal = F.transform(projected, lambda v: mat_vec(rows, v))
-            rhs = F.transform(projected, lambda v: v[0])
-            return let(solve_spd(normal, rhs), lambda coef: F.struct(
-                coef.alias("coef"), (g[0][0] - dot(coef, rhs)).alias("sse"),
-                (F.col("n") - skip).alias("used")))
-
-        return let(F.transform(rows, lambda r: mat_vec(g, r)), finish)
-
-    fitted = let(gram(order, depth, skip, raw), lambda g: let(
-        F.when(q > 0, shocks(g)).otherwise(doubles([])),
+    long = f"greatest({LONG_AR}, p + q + 5)"
+    order = f"if(q = 0, p, {long} + q)"
+    skip = f"if(q = 0, greatest(p, {SEARCH_SKIP}), {long} + q)"
+
+    def shocks(g: str) -> str:
+        """The shock as a combination of lags 0, 1, …: one, less the long fit."""
+        square = each(f"slice({g}, 2, {long})", lambda row: f"slice({row}, 2, {long})")
+        fitted = solve_spd(square, f"slice({g}[0], 2, {long})")
+        return f"concat(array(1D), {each(fitted, lambda v: f'-{v}')})"
+
+    def regressors(c: str) -> str:
+        """Lags of x, then lags of the shock, each as a combination of lags of x."""
+        lags = f"sequence(0, {order})"
+        own = each(count_up("p"), lambda i: each(
+            lags, lambda at: f"if({at} = {i} + 1, 1D, 0D)"))
+        past = each(count_up("q"), lambda j: each(
+            lags, lambda at: f"if({at} > {j} and {at} <= {long} + {j} + 1,"
+                             f" get({c}, {at} - {j} - 1), 0D)"))
+        return f"concat({own}, {past})"
+
+    def regress(g: str, rows: str) -> str:
+        def finish(projected: str) -> str:
+            normal = each(projected, lambda v: mat_vec(rows, v))
+            return let(each(projected, lambda v: f"{v}[0]"), lambda rhs: let(
+                solve_spd(normal, rhs), lambda coef: (
+                    f"named_struct('coef', {coef}, 'sse', {g}[0][0] - {dot(coef, rhs)},"
+                    f" 'used', n - {skip})")))
+
+        return let(each(rows, lambda r: mat_vec(g, r)), finish)
+
+    fitted = let(gram(order, depth, skip, "not with_mean"), lambda g: let(
+        f"if(q > 0, {shocks(g)}, {doubles([])})",
         lambda c: let(regressors(c), lambda rows: regress(g, rows))))
-    return F.when(F.col("n") > skip + p + q + 1, fitted)
+    return f"if(n > {skip} + p + q + 1, {fitted}, null)"
 
 
 def arma_fit_hr(
@@ -108,14 +108,23 @@ def arma_fit_hr(
     A model table with ``n``, ``n_used``, ``sse`` and ``sigma2``; NULL
     coefficients for a series that is constant or too short.
     """
-    depth = max(LONG_AR, p + q + 5) + q if q else max(p, SEARCH_SKIP)
-    products = lag_products(df, keys, t, x, depth, blocking, edges=True).withColumns(
+    depth = hr_depth(p, q)
+    packed = series_blocks(df, keys, t, x, depth, blocking)
+    return _two_stage_fit(packed, keys, t, x, p, q, mean, depth)
+
+
+def hr_depth(p: int, q: int) -> int:
+    """Lags the two-stage estimate of ARMA(p, q) looks back."""
+    return max(LONG_AR, p + q + 5) + q if q else max(p, SEARCH_SKIP)
+
+
+def _two_stage_fit(packed, keys, t, x, p, q, mean, depth) -> DataFrame:
+    products = block_products(packed, keys, t, x, depth, edges=True).withColumns(
         {"p": F.lit(p), "q": F.lit(q), "with_mean": F.lit(mean)})
+    freedom = F.nullif(F.col("used") - p - q - int(mean), F.lit(0))
     return with_fit(products, depth).select(
         *keys, "p", "q", "with_mean", centre().alias("mu"), "coef", "n",
-        F.col("used").alias("n_used"), "sse",
-        (F.col("sse") / F.nullif(F.col("used") - p - q - int(mean), F.lit(0))).alias("sigma2"),
-    )
+        F.col("used").alias("n_used"), "sse", (F.col("sse") / freedom).alias("sigma2"))
 
 
 def with_fit(products: DataFrame, depth: int) -> DataFrame:
@@ -124,11 +133,11 @@ def with_fit(products: DataFrame, depth: int) -> DataFrame:
     ``inline`` computes the estimate once per row; as a projection it would be
     copied into every expression that reads one of its fields.
     """
-    return products.select("*", F.inline(F.array(two_stage(depth))))
+    return products.select("*", F.expr(f"inline(array({two_stage(depth)}))"))
 
 
 def centre() -> Column:
-    return F.when(F.col("with_mean"), F.col("mean")).otherwise(ZERO)
+    return F.expr("if(with_mean, mean, 0D)")
 
 
 # ---- blocks against models ----------------------------------------------------
@@ -152,7 +161,7 @@ def block_inputs(x: str, depth: int) -> list[Column]:
     """A block's values behind ``depth`` earlier ones, its size, rows conditioned on."""
     own = F.size("obs")
     skip = F.greatest(F.col("drop") - F.col("start"), F.lit(0)).cast("int")
-    return [history(x, max(depth, 1)), own, skip]
+    return [F.expr(history(x, max(depth, 1))), own, skip]
 
 
 def reports(
@@ -186,9 +195,7 @@ def reports(
 
 def last_values(x: str, depth: int) -> Column:
     """The block's last ``depth`` values including earlier ones, latest first."""
-    return let(
-        F.reverse(F.concat(F.col("halo").getField(x), F.col("obs").getField(x))),
-        lambda a: F.slice(a, 1, max(depth, 1)))
+    return F.expr(f"slice(reverse(concat(halo.`{x}`, obs.`{x}`)), 1, {max(depth, 1)})")
 
 
 def vector(c: dict[str, Column]) -> Column:
@@ -250,20 +257,18 @@ def criteria(n: Column, sse: Column, parameters: Column) -> dict[str, Column]:
 
 def summarise(fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Model table from coefficients and the cross-products at them."""
-    size = F.col("p") + F.col("q")
-    parameters = size + F.col("with_mean").cast("int")
-    square = F.transform(count_up(size), lambda i: F.slice(
-        F.col("cross"), ((i + 1) * (size + 1) + 2).cast("int"), size))
-    inverse = let(square, lambda a: F.transform(count_up(size), lambda i: solve_spd(
-        a, F.transform(count_up(size), lambda j: F.when(i == j, 1.0).otherwise(0.0)))))
+    parameters = F.expr("p + q + int(with_mean)")
+    size = "(p + q)"
+    square = each(count_up(size), lambda i: f"slice(cross, ({i} + 1) * ({size} + 1) + 2, {size})")
+    inverse = let(square, lambda a: each(count_up(size), lambda i: solve_spd(
+        a, each(count_up(size), lambda j: f"if({i} = {j}, 1D, 0D)"))))
     table = fitted.withColumns({
         "n_used": F.col("n") - F.col("drop"), "sse": F.col("cross")[0],
     })
     freedom = F.col("n_used") - parameters
     table = table.withColumn(
         "sigma2", F.when(freedom > 0, F.col("sse") / F.nullif(freedom, F.lit(0)))
-    ).withColumn("vcov", F.transform(inverse, lambda row: F.transform(
-        row, lambda v: v * F.col("sigma2"))))
+    ).withColumn("vcov", F.expr(each(inverse, lambda row: each(row, lambda v: f"{v} * sigma2"))))
     measures = criteria(F.col("n_used"), F.col("sse"), parameters)
     extra = [c for c in ("x_tail", "e_tail", "step", "converged") if c in fitted.columns]
     return table.select(
@@ -430,14 +435,19 @@ def arma_fit_css(
     the step still proposed) and ``converged``; where no step lowers the sum of
     squares the start is returned.  ``mean=False`` does not centre the series.
     """
-    start = arma_fit_hr(df, keys, t, x, p, q, mean, blocking).withColumn("drop", F.lit(p))
-    return _refined(df, keys, t, x, p, start, blocking, rounds)
+    depth = hr_depth(p, q)
+
+    def start(packed: DataFrame) -> DataFrame:
+        return _two_stage_fit(packed, keys, t, x, p, q, mean, depth).withColumn("drop", F.lit(p))
+
+    return _refined(df, keys, t, x, depth, p, start, blocking, rounds)
 
 
-def _refined(df, keys, t, x, depth, start, blocking, rounds) -> DataFrame:
+def _refined(df, keys, t, x, depth, max_p, start, blocking, rounds) -> DataFrame:
+    """Blocks are built once and kept for the start estimate and all rounds."""
     packed = series_blocks(df, keys, t, x, depth, blocking).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return cut(refine_models(packed, keys, x, depth, start, rounds))
+        return cut(refine_models(packed, keys, x, max_p, start(packed), rounds))
     finally:
         packed.unpersist()
 
@@ -471,21 +481,25 @@ def order_leaderboard(
     pass that runs every candidate over a block.  All condition on the same
     first ``max(max_p, 5)`` rows, so the criteria are comparable.
     """
-    keys = list(keys)
-    orders = list(candidate_orders(max_p, max_q, max_order))
-    drop = max(max_p, SEARCH_SKIP)
-    if drop != SEARCH_SKIP:
+    packed = series_blocks(df, keys, t, x, search_depth(max_p, max_q, max_order), blocking)
+    return _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means)
+
+
+def search_depth(max_p: int, max_q: int, max_order: int | None) -> int:
+    if max_p > SEARCH_SKIP:
         raise ValueError(f"max_p must not exceed {SEARCH_SKIP}")
-    depth = max([max(LONG_AR, p + q + 5) + q for p, q in orders if q] + [drop])
+    return max(hr_depth(p, q) for p, q in candidate_orders(max_p, max_q, max_order))
+
+
+def _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means) -> DataFrame:
+    keys = list(keys)
+    depth = search_depth(max_p, max_q, max_order)
     grid = F.array(*[
         F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(m).alias("with_mean"))
-        for p, q in orders for m in means])
+        for p, q in candidate_orders(max_p, max_q, max_order) for m in means])
+    candidates = block_products(packed, keys, t, x, depth, edges=True).select("*", F.inline(grid))
     estimates = (
-        lag_products(df, keys, t, x, depth, blocking, edges=True)
-        .select("*", F.inline(grid))
-    )
-    estimates = (
-        with_fit(estimates, depth)
+        with_fit(candidates, depth)
         .select(*keys, "n", "p", "q", "with_mean", centre().alias("mu"), "coef", "sse")
         .where(F.col("coef").isNotNull())
     )
@@ -495,8 +509,7 @@ def order_leaderboard(
                          vector(model_columns()).alias("trial"))
         per_series = mixed.groupBy(*keys).agg(F.sort_array(F.collect_list(trial)).alias("_all"))
         tried = per_series.select(
-            *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(drop).alias("drop"))
-        packed = series_blocks(df, keys, t, x, max_p, blocking)
+            *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(SEARCH_SKIP).alias("drop"))
         sums = (
             reports(packed, keys, x, max_p, tried, False).join(tried, keys)
             .withColumn("_sse", chain_sums("reports", "trials"))
@@ -505,8 +518,8 @@ def order_leaderboard(
                     F.when(~F.isnan("_sse"), F.col("_sse")).alias("sse"))
         )
         estimates = estimates.where("q = 0").unionByName(sums)
-    parameters = F.col("p") + F.col("q") + F.col("with_mean").cast("int")
-    used = F.col("n") - drop
+    parameters = F.expr("p + q + int(with_mean)")
+    used = F.col("n") - SEARCH_SKIP
     scored = estimates.withColumns({
         "n_used": used, **criteria(used, F.col("sse"), parameters)})
     rank = Window.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "with_mean")
@@ -523,12 +536,17 @@ def order_search(
     The whole grid is scored at two-stage estimates and only the winner is
     refined (a run when called); ``refine=False`` returns the winner's row.
     """
-    board = order_leaderboard(df, keys, t, x, max_p, max_q, max_order, means, blocking)
-    winner = board.where("rank = 1").drop("rank")
+    keys = list(keys)
     if not refine:
-        return winner
-    start = winner.select(*keys, "p", "q", "with_mean", "mu", "coef", F.col("p").alias("drop"))
-    return _refined(df, keys, t, x, max_p, start, blocking, recursion.ROUNDS)
+        board = order_leaderboard(df, keys, t, x, max_p, max_q, max_order, means, blocking)
+        return board.where("rank = 1").drop("rank")
+
+    def start(packed: DataFrame) -> DataFrame:
+        board = _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means)
+        return board.where("rank = 1").withColumn("drop", F.col("p"))
+
+    depth = search_depth(max_p, max_q, max_order)
+    return _refined(df, keys, t, x, depth, max_p, start, blocking, recursion.ROUNDS)
 
 
 # ---- coefficient table ------------------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import let, total
+from ..functions.arrays import each_at, let, total
 
 BLOCK = "_block"
 
@@ -127,7 +127,7 @@ def blocks(
     size = F.size("obs")
     edges = packed.select(
         *keys, BLOCK, size.alias("_size"),
-        total(F.col("obs").getField(values[0])).alias("_sum"),
+        F.expr(total(f"obs.`{values[0]}`")).alias("_sum"),
         F.slice("obs", F.greatest(size - lags + 1, F.lit(1)), max(lags, 1)).alias("_tail"),
     )
     series = Window.partitionBy(*keys)
@@ -147,8 +147,8 @@ def blocks(
         tails = F.flatten(F.collect_list("_tail").over(near))
         summary = summary.withColumn("_tails", tails).select(
             *keys, BLOCK, "start", "n", "mean",
-            let(F.col("_tails"), lambda a: F.slice(
-                a, F.greatest(F.size(a) - lags + 1, F.lit(1)), lags)).alias("halo"),
+            F.expr(let("_tails", lambda a: f"slice({a}, greatest(size({a}) - {lags - 1}, 1), {lags})"))
+            .alias("halo"),
         )
     return packed.hint("merge").join(summary, [*keys, BLOCK])
 
@@ -157,18 +157,15 @@ def lag_name(value: str, k: int) -> str:
     return f"{value}_{k}"
 
 
-def history(value: str, lags: int) -> Column:
-    """``lags`` earlier values, then the block's own; NULLs where history ends."""
-    return let(
-        F.col("halo").getField(value),
-        lambda h: let(
-            F.slice(h, F.greatest(F.size(h) - lags + 1, F.lit(1)), lags),
-            lambda near: F.concat(
-                F.array_repeat(F.lit(None).cast("double"), F.lit(lags) - F.size(near)),
-                near, F.col("obs").getField(value),
-            ),
-        ),
-    )
+def history(value: str, lags: int) -> str:
+    """SQL: ``lags`` earlier values, then the block's own; NULLs where history ends."""
+    own = f"obs.`{value}`"
+    if not lags:
+        return own
+    return let(f"halo.`{value}`", lambda h: let(
+        f"slice({h}, greatest(size({h}) - {lags - 1}, 1), {lags})",
+        lambda near: f"concat(array_repeat(cast(null as double), {lags} - size({near})),"
+                     f" {near}, {own})"))
 
 
 def unblock(
@@ -181,23 +178,25 @@ def unblock(
     ``lags={"x": 3}``, the columns ``x_1 … x_3``.  Stays within the partitions
     of ``blocks``: no shuffle.
     """
-    lags = {v: k for v, k in (lags or {}).items() if k}
+    depth = {v: k for v, k in (lags or {}).items() if k}
+
+    def rows(histories: dict[str, str]) -> str:
+        def fields(o: str, i: str) -> str:
+            pairs = [(t, f"{o}.t"), ("pos", f"start + {i} + 1")]
+            pairs += [(v, f"{o}.`{v}`") for v in values]
+            pairs += [(lag_name(v, k), f"get({histories[v]}, {i} + {depth[v] - k})")
+                      for v in depth for k in range(1, depth[v] + 1)]
+            return f"named_struct({', '.join(f'{name!r}, {value}' for name, value in pairs)})"
 
-    def rows(histories: dict[str, Column]) -> Column:
-        return F.transform("obs", lambda o, i: F.struct(
-            o["t"].alias(t), (F.col("start") + i + 1).alias("pos"),
-            *[o[v].alias(v) for v in values],
-            *[F.get(histories[v], i + (lags[v] - k)).alias(lag_name(v, k))
-              for v in lags for k in range(1, lags[v] + 1)],
-        ))
+        return each_at("obs", fields)
 
-    def bind(names: list[str], bound: dict[str, Column]) -> Column:
+    def bind(names: list[str], bound: dict[str, str]) -> str:
         if not names:
             return rows(bound)
         head, *rest = names
-        return let(history(head, lags[head]), lambda h: bind(rest, {**bound, head: h}))
+        return let(history(head, depth[head]), lambda h: bind(rest, {**bound, head: h}))
 
-    return packed.select(*keys, "n", "mean", F.inline(bind(list(lags), {})))
+    return packed.select(*keys, "n", "mean", F.expr(f"inline({bind(list(depth), {})})"))
 
 
 def lagged(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import dot, doubles, each, each_at, let
 from .blocks import DEFAULT, Blocking, blocks, history, observations, unblock
 
 
@@ -87,15 +87,8 @@ def frac_diff(
     Result ``(keys, t, fd)``; history before the first observation counts as 0.
     """
     packed = blocks(df, keys, t, [x], lags, blocking)
-    weights = F.array(*[F.lit(w) for w in reversed(frac_weights(d, lags))])
-    rows = let(
-        F.transform(history(x, lags), lambda v: F.coalesce(v, F.lit(0.0))),
-        lambda past: let(weights, lambda w: F.transform("obs", lambda o, i: F.struct(
-            o["t"].alias(t),
-            F.aggregate(
-                F.zip_with(F.slice(past, i + 1, lags + 1), w, lambda a, b: a * b),
-                F.lit(0.0), lambda s, v: s + v,
-            ).alias("fd"),
-        ))),
-    )
-    return packed.select(*keys, F.inline(rows))
+    weights = doubles(reversed(frac_weights(d, lags)))
+    past = each(history(x, lags), lambda v: f"coalesce({v}, 0D)")
+    rows = let(past, lambda h: let(weights, lambda w: each_at("obs", lambda o, i: (
+        f"named_struct({t!r}, {o}.t, 'fd', {dot(f'slice({h}, {i} + 1, {lags + 1})', w)})"))))
+    return packed.select(*keys, F.expr(f"inline({rows})"))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import ZERO
 from ..functions.distributions import chi2_tail, z_value
 from .blocks import DEFAULT, Blocking, attach, blocks, observations, pack, require, unblock
 from .moments import lag_products, lag_products_to, varying
@@ -63,11 +62,10 @@ def ljung_box(
     """
     if lag <= fit_df:
         raise ValueError("lag must exceed fit_df")
+    terms = [f"c[{k}] * c[{k}] / nullif(greatest(n - {k}, 0), 0)" for k in range(1, lag + 1)]
+    weighted = F.expr(f"n * (n + 2D) * ({' + '.join(terms)})")
     c0 = varying(F.col("c")[0], F.col("n"), F.col("mean"))
-    weighted = sum(
-        ((F.col("c")[k] / c0) * (F.col("c")[k] / c0)
-         / F.when(F.col("n") > k, F.col("n") - k) for k in range(1, lag + 1)), ZERO)
-    q = F.when(F.col("n") > lag, F.col("n") * (F.col("n") + 2) * weighted)
+    q = F.when(F.col("n") > lag, weighted / (c0 * c0))
     return (
         lag_products(df, keys, t, x, lag, blocking)
         .select(*keys, "n", q.alias("q"), F.lit(lag - fit_df).alias("df"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, doubles, let
+from ..functions.arrays import dot, doubles, each, fold, let
 from ..functions.distributions import z_value
 from .arma import Arma, arma_evaluate
 from .blocks import DEFAULT, Blocking, require
@@ -34,43 +34,39 @@ def forecast_from(
     state: DataFrame, keys: Sequence[str], h: int = 3, level: float = 0.95,
 ) -> DataFrame:
     """Forecasts from a table of ``arma_evaluate``; h + 1 small rows per series."""
-    p, q = F.col("p"), F.col("q")
-    phi, theta = F.slice("coef", 1, p), F.slice("coef", p + 1, q)
-    past = F.transform(F.slice("x_tail", 1, p), lambda v: v - F.col("mu"))
-
-    def path(phi: Column, theta: Column, past: Column) -> Column:
-        """Forecasts, latest first, on top of the past values."""
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(h)),
-            F.struct(past.alias("x"), F.col("e_tail").alias("e")),
-            lambda s, _: F.struct(
-                F.concat(F.array(
-                    dot(phi, F.slice(s["x"], 1, p)) + dot(theta, F.slice(s["e"], 1, q))
-                ), s["x"]).alias("x"),
-                F.concat(doubles([0.0]), s["e"]).alias("e")),
-            lambda s: F.reverse(F.slice(s["x"], 1, h)),
-        )
-
-    def weights(phi: Column, theta: Column) -> Column:
-        """Weights of past shocks for lags 0…h−1, latest first while they grow."""
-        def known(ws: Column, j: Column) -> Column:
-            terms = F.least(p, j)
-            return F.coalesce(F.get(theta, j - 1), F.lit(0.0)) + dot(
-                F.slice(phi, 1, terms), F.slice(ws, 1, terms))
-
-        return F.reverse(F.aggregate(
-            F.slice(F.sequence(F.lit(1), F.lit(h)), 1, h - 1), doubles([1.0]),
-            lambda ws, j: F.concat(F.array(known(ws, j)), ws)))
-
-    ahead = let(phi, lambda a: let(theta, lambda b: let(past, lambda y: let(
-        path(a, b, y), lambda m: let(weights(a, b), lambda w: F.transform(
-            F.sequence(F.lit(1), F.lit(h)), lambda i: F.struct(
-                i.alias("h"), (F.get(m, i - 1) + F.col("mu")).alias("mean"),
-                F.sqrt(F.col("sigma2") * dot(F.slice(w, 1, i), F.slice(w, 1, i))).alias("se"),
-            )))))))
+    steps = f"sequence(1, {h})"
+    past = each("slice(x_tail, 1, p)", lambda v: f"{v} - mu")
+
+    def path(phi: str, theta: str, past: str) -> str:
+        """Forecasts of steps 1…h: each joins the values, a zero joins the shocks."""
+        def step(s: str, _: str) -> str:
+            value = f"{dot(phi, f'slice({s}.x, 1, p)')} + {dot(theta, f'slice({s}.e, 1, q)')}"
+            return f"named_struct('x', concat(array({value}), {s}.x), 'e', concat(array(0D), {s}.e))"
+
+        start = f"named_struct('x', {past}, 'e', e_tail)"
+        return let(fold(steps, start, step), lambda s: f"reverse(slice({s}.x, 1, {h}))")
+
+    def weights(phi: str, theta: str) -> str:
+        """How a shock carries over 0…h−1 steps."""
+        def step(ws: str, j: str) -> str:
+            terms = f"least(p, {j})"
+            known = dot(f"slice({phi}, 1, {terms})", f"slice({ws}, 1, {terms})")
+            return f"concat(array(coalesce(get({theta}, {j} - 1), 0D) + {known}), {ws})"
+
+        return f"reverse({fold(f'slice({steps}, 1, {h - 1})', doubles([1.0]), step)})"
+
+    def rows(mean: str, carry: str) -> str:
+        return each(steps, lambda i: (
+            f"named_struct('h', {i}, 'mean', get({mean}, {i} - 1) + mu, 'se',"
+            f" sqrt(sigma2 * {dot(f'slice({carry}, 1, {i})', f'slice({carry}, 1, {i})')}))"))
+
+    ahead = let("slice(coef, 1, p)", lambda phi: let(
+        "slice(coef, p + 1, q)", lambda theta: let(past, lambda y: let(
+            path(phi, theta, y), lambda mean: let(
+                weights(phi, theta), lambda carry: rows(mean, carry))))))
     half = z_value(level) * F.col("se")
     # n > p: enough history for the first forecast
-    return state.where(F.size("x_tail") >= p).select(*keys, F.inline(ahead)).withColumns(
+    return state.where("size(x_tail) >= p").select(*keys, F.expr(f"inline({ahead})")).withColumns(
         {"lower": F.col("mean") - half, "upper": F.col("mean") + half})
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import ZERO, dot, lets, total
+from ..functions.arrays import dot, each, let, pairwise, total
 from .blocks import DEFAULT, Blocking, blocks, history, lag_name, unblock
 
 
@@ -21,27 +21,29 @@ def lag_products(
     With them the cross-products over *any* row range t > M, and those of the
     uncentred series, follow without reading the data again (``gram``).
     """
-    packed = blocks(df, keys, t, [x], max_lag, blocking)
-    rows = unblock(packed, keys, t, [x], {x: max_lag})
-    z = F.col(x) - F.col("mean")
-    lag = [z] + [F.col(lag_name(x, k)) - F.col("mean") for k in range(1, max_lag + 1)]
-    sums = [F.coalesce(F.sum(z * lag[k]), ZERO).alias(f"c{k}") for k in range(max_lag + 1)]
-    ends: list[Column] = []
-    if edges:
-        back = F.col("n") - max_lag
-        ends = [F.sum(F.when(F.col("pos") == j, z)).alias(f"h{j}") for j in range(1, max_lag + 1)]
-        ends += [F.sum(F.when(F.col("pos") == back + j, z)).alias(f"t{j}")
-                 for j in range(1, max_lag + 1)]
+    return block_products(blocks(df, keys, t, [x], max_lag, blocking), keys, t, x, max_lag, edges)
+
+
+def block_products(
+    packed: DataFrame, keys: Sequence[str], t: str, x: str, max_lag: int, edges: bool = False,
+) -> DataFrame:
+    """``lag_products`` of blocks whose halo holds at least ``max_lag`` values."""
+    z = f"(`{x}` - mean)"
+    lag = [z] + [f"(`{lag_name(x, k)}` - mean)" for k in range(1, max_lag + 1)]
     # n and mean are the same on every row of a series
-    per_series = rows.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("mean").alias("mean"), *sums, *ends
-    )
-    arrays = [F.array(*[f"c{k}" for k in range(max_lag + 1)]).alias("c")]
+    sums = ["max(n) AS n", "max(mean) AS mean"]
+    sums += [f"coalesce(sum({z} * {lag[k]}), 0D) AS c{k}" for k in range(max_lag + 1)]
+    arrays = {"c": [f"c{k}" for k in range(max_lag + 1)]}
     if edges:
-        for name in ("h", "t"):
-            arrays.append(F.array(*[f"{name}{j}" for j in range(1, max_lag + 1)]).alias(
-                {"h": "head", "t": "tail"}[name]))
-    return per_series.select(*keys, "n", "mean", *arrays)
+        places = range(1, max_lag + 1)
+        sums += [f"sum(if(pos = {j}, {z}, null)) AS h{j}" for j in places]
+        sums += [f"sum(if(pos = n - {max_lag - j}, {z}, null)) AS t{j}" for j in places]
+        arrays |= {"head": [f"h{j}" for j in places], "tail": [f"t{j}" for j in places]}
+    return (
+        unblock(packed, keys, t, [x], {x: max_lag})
+        .groupBy(*keys).agg(*[F.expr(s) for s in sums])
+        .select(*keys, "n", "mean", *[F.array(*names).alias(a) for a, names in arrays.items()])
+    )
 
 
 def varying(c0: Column, n: Column, mean: Column) -> Column:
@@ -58,21 +60,16 @@ def lag_products_to(
 
     ``last`` may use ``n`` and must not exceed ``reach``.
     """
-    packed = blocks(df, keys, t, [x], reach, blocking)
-    centred = F.transform(history(x, reach), lambda v: v - F.col("mean"))
-    size = F.size("obs")
-    products = lets([centred], lambda z: lets(
-        [F.slice(z, reach + 1, size)],
-        lambda own: F.transform(
-            F.sequence(F.lit(0), last),
+    packed = blocks(df, keys, t, [x], reach, blocking).withColumn("_last", last)
+    products = let(each(history(x, reach), lambda v: f"{v} - mean"), lambda z: let(
+        f"slice({z}, {reach + 1}, size(obs))", lambda own: each(
+            "sequence(0, _last)",
             # missing history is NULL and adds nothing
-            lambda k: total(F.zip_with(
-                own, F.slice(z, F.lit(reach + 1) - k, size),
-                lambda a, b: F.coalesce(a * b, ZERO))),
-        ),
-    ))
+            lambda k: total(pairwise(
+                own, f"slice({z}, {reach + 1} - {k}, size(obs))",
+                lambda a, b: f"coalesce({a} * {b}, 0D)")))))
     sums = (
-        packed.select(*keys, "n", "mean", F.posexplode(products).alias("lag", "c"))
+        packed.select(*keys, "n", "mean", F.expr(f"posexplode({products}) AS (lag, c)"))
         .groupBy(*keys, "lag")
         .agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum("c").alias("c"))
     )
@@ -82,38 +79,36 @@ def lag_products_to(
     )
 
 
-def gram(order: Column, depth: int, skip: Column, raw: Column) -> Column:
-    """Cross-products ``G[i][j] = Σ_{t>skip} y_{t−i} y_{t−j}``, 0 <= i, j <= order.
+def gram(order: str, depth: int, skip: str, raw: str) -> str:
+    """SQL: cross-products ``G[i][j] = Σ_{t>skip} y_{t−i} y_{t−j}``, 0 <= i, j <= order.
 
-    Built from the columns of ``lag_products(…, edges=True)`` with
-    ``max_lag = depth``; ``order <= skip <= depth``.  y is z, or x where ``raw``.
-    The full sum over a lag, less the few products that start too early or end
-    too late for this pair of lags.
+    Reads the columns of ``lag_products(…, edges=True)`` with ``max_lag =
+    depth``; ``order <= skip <= depth``.  y is z, or x where ``raw``.  Each
+    entry is the full sum over its lag, less the few products that start too
+    early or end too late for this pair of lags.
     """
-    shift = F.when(raw, F.col("mean")).otherwise(ZERO)
-
-    def build(c: Column, head: Column, tail: Column) -> Column:
-        def entry(i: Column, j: Column) -> Column:
-            near, far = F.least(i, j), F.greatest(i, j)
-            gap = far - near
-            early = skip - far
-
-            def part(a: Column, start: Column, count: Column) -> Column:
-                return F.slice(a, start, count)
-
-            lead_a, lead_b = part(head, gap + 1, early), part(head, F.lit(1), early)
-            last_a = part(tail, F.lit(depth + 1) - near, near)
-            last_b = part(tail, F.lit(depth + 1) - far, near)
-            centred = F.get(c, gap) - dot(lead_a, lead_b) - dot(last_a, last_b)
-            # Σ z over all t is 0, so range sums of z are minus the excluded ends
-            sum_near = -total(part(head, F.lit(1), skip - near)) - total(
-                part(tail, F.lit(depth + 1) - near, near))
-            sum_far = -total(part(head, F.lit(1), skip - far)) - total(
-                part(tail, F.lit(depth + 1) - far, far))
-            return centred + shift * (sum_near + sum_far) + (
-                F.col("n") - skip) * shift * shift
-
-        lags = F.sequence(F.lit(0), order)
-        return F.transform(lags, lambda i: F.transform(lags, lambda j: entry(i, j)))
-
-    return lets([F.col("c"), F.col("head"), F.col("tail")], build)
+    def entry(c: str, head: str, tail: str, i: str, j: str) -> str:
+        def with_pair(near: str, far: str) -> str:
+            def first(start: str, size: str) -> str:
+                return f"slice({head}, {start}, {size})"
+
+            def final(back: str, size: str) -> str:
+                return f"slice({tail}, {depth + 1} - {back}, {size})"
+
+            early = f"{skip} - {far}"
+            centred = (
+                f"get({c}, {far} - {near})"
+                f" - {dot(first(f'{far} - {near} + 1', early), first('1', early))}"
+                f" - {dot(final(near, near), final(far, near))}")
+            # Σ z over all t is 0, so a range sum of z is minus the excluded ends
+            ends = " - ".join(
+                f"{total(first('1', f'{skip} - {lag}'))} - {total(final(lag, lag))}"
+                for lag in (near, far))
+            return f"if({raw}, {centred} + mean * (0D - {ends}) + (n - ({skip})) * mean * mean, {centred})"
+
+        return let(f"least({i}, {j})", lambda near: let(
+            f"greatest({i}, {j})", lambda far: with_pair(near, far)))
+
+    lags = f"sequence(0, {order})"
+    return let("c", lambda c: let("head", lambda h: let("tail", lambda t: each(
+        lags, lambda i: each(lags, lambda j: entry(c, h, t, i, j))))))
