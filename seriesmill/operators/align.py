@@ -15,31 +15,45 @@ def operating_week(day: Column) -> Column:
     return F.date_sub(day, F.dayofweek(day) % 7)
 
 
+DAY_TYPES = ("weekday", "weekend", "holiday")
+
+
+def step_table(load_steps: DataFrame) -> DataFrame:
+    """One load step per day type and hour: at most 72 rows, whatever comes in.
+
+    Two different steps for one hour of a day type stop the job.
+    """
+    require(load_steps, ["day_type", "hour", "load_step"])
+    clash = F.min("load_step") != F.max("load_step")
+    return (
+        load_steps.where(F.col("day_type").isin(*DAY_TYPES) & F.col("hour").between(0, 23))
+        .groupBy("day_type", F.col("hour").cast("int").alias("_hour"))
+        .agg(F.when(clash, F.raise_error(F.lit("an hour has two load steps")))
+             .otherwise(F.min("load_step")).alias("load_step"))
+    )
+
+
 def load_step_join(
     hourly: DataFrame, t: str, holidays: DataFrame, load_steps: DataFrame,
 ) -> DataFrame:
     """Attach ``day_type`` and ``load_step`` to each hour; every hour stays.
 
     ``holidays(d)``; ``load_steps(day_type, hour, load_step)`` with day types
-    weekday, weekend and holiday.  A holiday on a weekend is a holiday.
+    weekday, weekend and holiday.  A holiday on a weekend is a holiday.  The
+    step table cannot exceed 72 rows and is broadcast; holidays are left to
+    Spark's own size check.
     """
     require(hourly, [t])
     require(holidays, ["d"])
-    require(load_steps, ["day_type", "hour", "load_step"])
-    day = F.to_date(t)
     off = holidays.select(F.col("d").alias("_holiday")).distinct()
-    steps = load_steps.select("day_type", F.col("hour").alias("_hour"), "load_step")
+    day_type = (
+        F.when(F.col("_holiday").isNotNull(), "holiday")
+        .when(F.dayofweek("_day").isin(1, 7), "weekend").otherwise("weekday"))
     return (
-        hourly.withColumn("_day", day)
+        hourly.withColumn("_day", F.to_date(t))
         .join(off, F.col("_day") == F.col("_holiday"), "left")
-        .withColumn(
-            "day_type",
-            F.when(F.col("_holiday").isNotNull(), "holiday")
-            .when(F.dayofweek("_day").isin(1, 7), "weekend")
-            .otherwise("weekday"),
-        )
-        .withColumn("_hour", F.hour(t))
-        .join(steps, ["day_type", "_hour"], "left")
+        .withColumns({"day_type": day_type, "_hour": F.hour(t)})
+        .join(F.broadcast(step_table(load_steps)), ["day_type", "_hour"], "left")
         .drop("_day", "_holiday", "_hour")
     )
 

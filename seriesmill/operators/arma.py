@@ -20,9 +20,10 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import (
-    count_up, dot, doubles, each, each_at, let, mat_vec, solve_spd,
+    count_up, dot, doubles, each, let, mat_vec, solve_spd,
 )
 from ..functions.distributions import t_value
 from ..session import cut
@@ -34,6 +35,10 @@ from .moments import block_products, gram
 LONG_AR = 10
 SEARCH_SKIP = 5
 
+VECTOR = T.ArrayType(T.DoubleType())
+MATRIX = T.ArrayType(VECTOR)
+POINT = T.StructType().add("coef", VECTOR).add("cross", VECTOR).add("step", T.DoubleType())
+
 
 @dataclass(frozen=True)
 class Arma:
@@ -147,7 +152,7 @@ def series_blocks(df, keys, t, x, depth: int, blocking: Blocking) -> DataFrame:
 
 
 def report_udf(slopes: bool):
-    @F.pandas_udf("array<array<double>>")
+    @F.pandas_udf(MATRIX)
     def report(values: pd.Series, own: pd.Series, skip: pd.Series, trials: pd.Series) -> pd.Series:
         tasks = [(np.asarray(v, float), len(v) - n, s, trial)
                  for v, n, s, many in zip(values, own, skip, trials) for trial in many]
@@ -210,7 +215,7 @@ def model_columns() -> dict[str, Column]:
 
 # ---- evaluation at given coefficients -------------------------------------------
 
-@F.pandas_udf("cross array<double>, starts array<array<double>>, e_tail array<double>")
+@F.pandas_udf(T.StructType().add("cross", VECTOR).add("starts", MATRIX).add("e_tail", VECTOR))
 def chain_one(reports: pd.Series, p: pd.Series, q: pd.Series, slopes: pd.Series) -> pd.DataFrame:
     rows = []
     for blocks_, p_, q_, s in zip(reports, p, q, slopes):
@@ -290,7 +295,7 @@ def arma_evaluate(
     return summarise(chained(packed, keys, x, depth, model, True), keys)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(VECTOR)
 def residual_values(
     values: pd.Series, own: pd.Series, skip: pd.Series, model: pd.Series, start: pd.Series,
 ) -> pd.Series:
@@ -339,13 +344,13 @@ def arma_residuals(
 
 # ---- conditional least squares ---------------------------------------------------
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(VECTOR)
 def steady_coef(coef: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else recursion.steady(c, int(a), int(b))
                       for c, a, b in zip(coef, p, q)])
 
 
-@F.pandas_udf("coef array<double>, cross array<double>, step double")
+@F.pandas_udf(POINT)
 def refine_whole(
     values: pd.Series, own: pd.Series, skip: pd.Series, model: pd.Series,
 ) -> pd.DataFrame:
@@ -356,8 +361,7 @@ def refine_whole(
     return pd.DataFrame(rows, columns=["coef", "cross", "step"])
 
 
-@F.pandas_udf("coef array<double>, cross array<double>, step double,"
-              " trials array<array<double>>")
+@F.pandas_udf(T.StructType([*POINT, T.StructField("trials", MATRIX)]))
 def next_round(
     reports: pd.Series, trials: pd.Series, coef: pd.Series, cross: pd.Series,
     p: pd.Series, q: pd.Series, mu: pd.Series,
@@ -454,7 +458,7 @@ def _refined(df, keys, t, x, depth, max_p, start, blocking, rounds) -> DataFrame
 
 # ---- order search --------------------------------------------------------------------
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(VECTOR)
 def chain_sums(reports: pd.Series, trials: pd.Series) -> pd.Series:
     return pd.Series([
         [float(recursion.chain([b[i] for b in blocks_], int(m[0]), int(m[1]), False)[0][0, 0])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_tail, z_value
 from .blocks import DEFAULT, Blocking, attach, blocks, observations, pack, require, unblock
-from .moments import lag_products, lag_products_to, varying
+from .moments import lag_products, lag_products_to
 from .quantiles import ecdf, exact_quantiles
 
 # the default lag limit grows with 10·log10(n): 130 serves 10^13 observations
@@ -46,7 +46,7 @@ def acf(
         ).where((F.col("lag") > 0) & (F.col("lag") < F.col("n")))
     return sums.select(
         *keys, "lag",
-        (F.col("c") / varying(F.col("c0"), F.col("n"), F.col("mean"))).alias("rho"),
+        (F.col("c") / F.col("c0")).alias("rho"),
         (F.lit(z_value(level)) / F.sqrt("n")).alias("limit"),
     )
 
@@ -64,8 +64,7 @@ def ljung_box(
         raise ValueError("lag must exceed fit_df")
     terms = [f"c[{k}] * c[{k}] / nullif(greatest(n - {k}, 0), 0)" for k in range(1, lag + 1)]
     weighted = F.expr(f"n * (n + 2D) * ({' + '.join(terms)})")
-    c0 = varying(F.col("c")[0], F.col("n"), F.col("mean"))
-    q = F.when(F.col("n") > lag, weighted / (c0 * c0))
+    q = F.when(F.col("n") > lag, weighted / (F.col("c")[0] * F.col("c")[0]))
     return (
         lag_products(df, keys, t, x, lag, blocking)
         .select(*keys, "n", q.alias("q"), F.lit(lag - fit_df).alias("df"))

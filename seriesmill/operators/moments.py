@@ -17,7 +17,7 @@ def lag_products(
 ) -> DataFrame:
     """Per series: ``n``, ``mean`` and ``c`` with ``c[k] = Σ z_t z_{t−k}``, z = x − mean.
 
-    ``edges`` adds ``head`` and ``tail``, the first and last ``max_lag`` z.
+    ``c[0]`` is NULL for a constant series.  ``edges`` adds ``head`` and ``tail``, the first and last ``max_lag`` z.
     With them the cross-products over *any* row range t > M, and those of the
     uncentred series, follow without reading the data again (``gram``).
     """
@@ -32,7 +32,9 @@ def block_products(
     lag = [z] + [f"(`{lag_name(x, k)}` - mean)" for k in range(1, max_lag + 1)]
     # n and mean are the same on every row of a series
     sums = ["max(n) AS n", "max(mean) AS mean"]
-    sums += [f"coalesce(sum({z} * {lag[k]}), 0D) AS c{k}" for k in range(max_lag + 1)]
+    # no sum of squares for a constant series: it would be rounding noise
+    sums.append(f"if(max(`{x}`) > min(`{x}`), sum({z} * {z}), null) AS c0")
+    sums += [f"coalesce(sum({z} * {lag[k]}), 0D) AS c{k}" for k in range(1, max_lag + 1)]
     arrays = {"c": [f"c{k}" for k in range(max_lag + 1)]}
     if edges:
         places = range(1, max_lag + 1)
@@ -46,19 +48,13 @@ def block_products(
     )
 
 
-def varying(c0: Column, n: Column, mean: Column) -> Column:
-    """``c0`` unless it is rounding noise around a constant series, then NULL."""
-    noise = mean * 4e-16
-    return F.when(c0 > n * noise * noise, c0)
-
-
 def lag_products_to(
     df: DataFrame, keys: Sequence[str], t: str, x: str, last: Column, reach: int,
     blocking: Blocking = DEFAULT,
 ) -> DataFrame:
     """``(keys, n, mean, c0, lag, c)`` for lags 1…``last``, a per-series number.
 
-    ``last`` may use ``n`` and must not exceed ``reach``.
+    ``c0`` is NULL for a constant series.  ``last`` may use ``n`` and must not exceed ``reach``.
     """
     packed = blocks(df, keys, t, [x], reach, blocking).withColumn("_last", last)
     products = let(each(history(x, reach), lambda v: f"{v} - mean"), lambda z: let(
@@ -69,11 +65,14 @@ def lag_products_to(
                 own, f"slice({z}, {reach + 1} - {k}, size(obs))",
                 lambda a, b: f"coalesce({a} * {b}, 0D)")))))
     sums = (
-        packed.select(*keys, "n", "mean", F.expr(f"posexplode({products}) AS (lag, c)"))
+        packed.select(
+            *keys, "n", "mean", F.array_min(f"obs.{x}").alias("lo"),
+            F.array_max(f"obs.{x}").alias("hi"), F.expr(f"posexplode({products}) AS (lag, c)"))
         .groupBy(*keys, "lag")
-        .agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum("c").alias("c"))
+        .agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum("c").alias("c"),
+             (F.max("hi") > F.min("lo")).alias("varies"))
     )
-    zero = sums.where("lag = 0").select(*keys, F.col("c").alias("c0"))
+    zero = sums.where("lag = 0").select(*keys, F.expr("if(varies, c, null)").alias("c0"))
     return sums.where("lag > 0").join(zero, list(keys)).select(
         *keys, "n", "mean", "c0", "lag", "c"
     )

@@ -177,7 +177,7 @@ def best(trials, totals, coef, total):
 
 
 ROUNDS = 25
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 
 
 def search_step(trials, totals, coef, total, p: int, q: int):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def analyse(
 
     ``order="auto"`` takes the order from the search.  ``fit_df`` of the
     Ljung-Box test defaults to p + q and must be given with "auto", where it
-    differs by series.  Only the fit runs at once; the tables are lazy.
+    differs by series.  Only the fit runs at once; the tables are lazy and
+    share the residuals, which are kept until ``result["fitted"].unpersist()``.
     """
     keys = list(keys)
     split = train_holdout_split(df, keys, t, x, h, blocking)
@@ -53,7 +55,9 @@ def analyse(
         p, q = order
         fit_df = p + q if fit_df is None else fit_df
         model, max_p = arma.arma_fit_css(train, keys, t, "x", p, q, mean, blocking), p
-    fitted = arma.arma_residuals(train, keys, t, "x", model, max_p, blocking)
+    # read by four of the tables below
+    fitted = arma.arma_residuals(train, keys, t, "x", model, max_p, blocking).persist(
+        StorageLevel.MEMORY_AND_DISK)
     residuals = fitted.where(F.col("resid").isNotNull()).select(*keys, t, "resid")
     ahead = forecast.arma_forecast(train, keys, t, "x", model, h, level, max_p, blocking)
     actual = holdout(df, keys, t, x, h)
