@@ -115,7 +115,8 @@ def arma_fit_hr(
     """
     depth = hr_depth(p, q)
     packed = series_blocks(df, keys, t, x, depth, blocking)
-    return _two_stage_fit(packed, keys, t, x, p, q, mean, depth)
+    return _estimated(block_products(packed, keys, t, x, depth, edges=True),
+                      keys, p, q, mean, depth)
 
 
 def hr_depth(p: int, q: int) -> int:
@@ -123,8 +124,8 @@ def hr_depth(p: int, q: int) -> int:
     return max(LONG_AR, p + q + 5) + q if q else max(p, SEARCH_SKIP)
 
 
-def _two_stage_fit(packed, keys, t, x, p, q, mean, depth) -> DataFrame:
-    products = block_products(packed, keys, t, x, depth, edges=True).withColumns(
+def _estimated(products, keys, p, q, mean, depth) -> DataFrame:
+    products = products.withColumns(
         {"p": F.lit(p), "q": F.lit(q), "with_mean": F.lit(mean)})
     freedom = F.nullif(F.col("used") - p - q - int(mean), F.lit(0))
     return with_fit(products, depth).select(
@@ -147,8 +148,8 @@ def centre() -> Column:
 
 # ---- blocks against models ----------------------------------------------------
 
-def series_blocks(df, keys, t, x, depth: int, blocking: Blocking) -> DataFrame:
-    return blocks(df, keys, t, [x], max(depth, 1), blocking)
+def series_blocks(df, keys, t, x, depth: int, blocking: Blocking, per_series=None) -> DataFrame:
+    return blocks(df, keys, t, [x], max(depth, 1), blocking, per_series)
 
 
 def report_udf(slopes: bool):
@@ -170,31 +171,26 @@ def block_inputs(x: str, depth: int) -> list[Column]:
 
 
 def reports(
-    packed: DataFrame, keys: Sequence[str], x: str, depth: int, models: DataFrame | Arma,
-    slopes: bool,
+    packed: DataFrame, keys: Sequence[str], x: str, depth: int, slopes: bool,
+    constant: Sequence[str] = (),
 ) -> DataFrame:
     """Per series: ``n`` and the blocks' reports in time order for every trial.
 
-    Models carry ``drop`` (leading rows conditioned on) and ``trials``.  Reports
+    Blocks carry ``drop`` (leading rows conditioned on) and ``trials``.  Reports
     hold a few numbers per block, so this is the only gathering by series.
+    Columns in ``constant`` have one value per series and are kept.
     """
-    keys = list(keys)
-    if isinstance(models, Arma):
-        joined = packed.withColumns(
-            {"drop": F.lit(len(models.phi)),
-             "trials": F.array(vector(models.columns))})
-    else:
-        joined = attach(packed, keys, models.select(*keys, "drop", "trials"))
-    scored = joined.select(
-        *keys, BLOCK, "n",
+    scored = packed.select(
+        *keys, BLOCK, "n", *constant,
         report_udf(slopes)(*block_inputs(x, depth), F.col("trials")).alias("report"),
         last_values(x, depth).alias("_recent"),
     )
     return scored.groupBy(*keys).agg(
         F.max("n").alias("n"),
+        *[F.max(c).alias(c) for c in constant],
         F.max_by("_recent", BLOCK).alias("x_tail"),
         F.sort_array(F.collect_list(F.struct(BLOCK, "report"))).alias("_reports"),
-    ).select(*keys, "n", "x_tail", F.col("_reports").getField(BLOCK).alias("at"),
+    ).select(*keys, "n", *constant, "x_tail", F.col("_reports").getField(BLOCK).alias("at"),
              F.col("_reports").getField("report").alias("reports"))
 
 
@@ -224,25 +220,33 @@ def chain_one(reports: pd.Series, p: pd.Series, q: pd.Series, slopes: pd.Series)
     return pd.DataFrame(rows, columns=["cross", "starts", "e_tail"])
 
 
-def chained(
-    packed: DataFrame, keys: Sequence[str], x: str, depth: int, models: DataFrame | Arma,
-    slopes: bool,
+def model_blocks(
+    df: DataFrame, keys: Sequence[str], t: str, x: str, model: DataFrame | Arma, max_p: int,
+    blocking: Blocking,
 ) -> DataFrame:
-    """One row per series: the model, sums, block starts and the last values."""
-    if isinstance(models, Arma):
-        gathered = reports(packed, keys, x, depth, models, slopes).withColumns(
-            {**models.columns, "drop": F.lit(len(models.phi))})
+    """Blocks with their series' model: p, q, mu, coef, with_mean, drop and trials."""
+    if isinstance(model, Arma):
+        depth = len(model.phi)
+        packed = series_blocks(df, keys, t, x, depth, blocking).withColumns(
+            {**model.columns, "drop": F.lit(depth)})
     else:
-        ready = models.where(F.col("coef").isNotNull()).withColumns({
-            "drop": F.col("drop") if "drop" in models.columns else F.col("p"),
-            "trials": F.array(vector(model_columns()))})
-        kept = ready.select(*keys, "p", "q", "mu", "coef", "drop", *(
-            ["with_mean"] if "with_mean" in models.columns
-            else [(F.col("mu") != 0).alias("with_mean")]))
-        gathered = reports(packed, keys, x, depth, ready, slopes).join(kept, list(keys))
-    return gathered.withColumn(
+        ready = model.where(F.col("coef").isNotNull()).withColumns({
+            "drop": F.col("drop") if "drop" in model.columns else F.col("p"),
+            "with_mean": (F.col("with_mean") if "with_mean" in model.columns
+                          else F.col("mu") != 0)})
+        packed = series_blocks(
+            df, keys, t, x, max_p, blocking, ready.select(*keys, *MODEL_COLUMNS))
+    return packed.withColumn("trials", F.array(vector(model_columns())))
+
+
+MODEL_COLUMNS = ["p", "q", "with_mean", "mu", "coef", "drop"]
+
+
+def chained(packed: DataFrame, keys: Sequence[str], x: str, depth: int, slopes: bool) -> DataFrame:
+    """One row per series: the model, sums, block starts and the last values."""
+    return reports(packed, keys, x, depth, slopes, MODEL_COLUMNS).withColumn(
         "_sum", chain_one("reports", "p", "q", F.lit(slopes))
-    ).select(*keys, "p", "q", "with_mean", "mu", "coef", "drop", "n", "at", "x_tail",
+    ).select(*keys, *MODEL_COLUMNS, "n", "at", "x_tail",
              "_sum.cross", "_sum.starts", "_sum.e_tail")
 
 
@@ -291,8 +295,8 @@ def arma_evaluate(
     ``max_p`` bounds the AR orders in a model table.
     """
     depth = depth_of(model, max_p)
-    packed = series_blocks(df, keys, t, x, depth, blocking)
-    return summarise(chained(packed, keys, x, depth, model, True), keys)
+    packed = model_blocks(df, keys, t, x, model, max_p, blocking)
+    return summarise(chained(packed, keys, x, depth, True), keys)
 
 
 @F.pandas_udf(VECTOR)
@@ -329,13 +333,12 @@ def arma_residuals(
     """
     keys = list(keys)
     depth = depth_of(model, max_p)
-    packed = series_blocks(df, keys, t, x, depth, blocking)
-    begin = chained(packed, keys, x, depth, model, False).select(
-        *keys, "drop", vector(model_columns()).alias("model"),
-        F.explode(F.arrays_zip("at", "starts")).alias("_at"),
-    ).select(*keys, "drop", "model", F.col("_at.at").alias(BLOCK),
-             F.col("_at.starts").alias("_state"))
-    values = residual_values(*block_inputs(x, depth), F.col("model"), F.col("_state"))
+    packed = model_blocks(df, keys, t, x, model, max_p, blocking)
+    begin = chained(packed, keys, x, depth, False).select(
+        *keys, F.explode(F.arrays_zip("at", "starts")).alias("_at"),
+    ).select(*keys, F.col("_at.at").alias(BLOCK), F.col("_at.starts").alias("_state"))
+    values = residual_values(
+        *block_inputs(x, depth), vector(model_columns()), F.col("_state"))
     rows = packed.hint("merge").join(begin, [*keys, BLOCK]).withColumn("_e", values)
     pairs = F.zip_with("obs", "_e", lambda o, e: F.struct(
         o["t"].alias(t), o[x].alias("x"), (o[x] - e).alias("fitted"), e.alias("resid")))
@@ -414,7 +417,8 @@ def refine_models(
             if live.isEmpty():
                 break
             moved = (
-                reports(long, keys, x, depth, live, True).select(*keys, "reports")
+                reports(attach(long, keys, live.select(*keys, "drop", "trials")),
+                        keys, x, depth, True).select(*keys, "reports")
                 .join(live, keys)
                 .withColumn("_next", next_round("reports", "trials", "coef", "cross",
                                                 "p", "q", "mu"))
@@ -442,7 +446,8 @@ def arma_fit_css(
     depth = hr_depth(p, q)
 
     def start(packed: DataFrame) -> DataFrame:
-        return _two_stage_fit(packed, keys, t, x, p, q, mean, depth).withColumn("drop", F.lit(p))
+        products = cut(block_products(packed, keys, t, x, depth, edges=True))
+        return _estimated(products, keys, p, q, mean, depth).withColumn("drop", F.lit(p))
 
     return _refined(df, keys, t, x, depth, p, start, blocking, rounds)
 
@@ -485,8 +490,10 @@ def order_leaderboard(
     pass that runs every candidate over a block.  All condition on the same
     first ``max(max_p, 5)`` rows, so the criteria are comparable.
     """
-    packed = series_blocks(df, keys, t, x, search_depth(max_p, max_q, max_order), blocking)
-    return _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means)
+    depth = search_depth(max_p, max_q, max_order)
+    packed = series_blocks(df, keys, t, x, depth, blocking)
+    products = block_products(packed, keys, t, x, depth, edges=True)
+    return _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
 
 
 def search_depth(max_p: int, max_q: int, max_order: int | None) -> int:
@@ -495,13 +502,13 @@ def search_depth(max_p: int, max_q: int, max_order: int | None) -> int:
     return max(hr_depth(p, q) for p, q in candidate_orders(max_p, max_q, max_order))
 
 
-def _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means) -> DataFrame:
+def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> DataFrame:
     keys = list(keys)
     depth = search_depth(max_p, max_q, max_order)
     grid = F.array(*[
         F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(m).alias("with_mean"))
         for p, q in candidate_orders(max_p, max_q, max_order) for m in means])
-    candidates = block_products(packed, keys, t, x, depth, edges=True).select("*", F.inline(grid))
+    candidates = products.select("*", F.inline(grid))
     estimates = (
         with_fit(candidates, depth)
         .select(*keys, "n", "p", "q", "with_mean", centre().alias("mu"), "coef", "sse")
@@ -515,7 +522,8 @@ def _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means) -> DataFram
         tried = per_series.select(
             *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(SEARCH_SKIP).alias("drop"))
         sums = (
-            reports(packed, keys, x, max_p, tried, False).join(tried, keys)
+            reports(attach(packed, keys, tried.select(*keys, "drop", "trials")),
+                    keys, x, max_p, False).join(tried, keys)
             .withColumn("_sse", chain_sums("reports", "trials"))
             .select(*keys, "n", F.inline(F.arrays_zip("_all", "_sse")))
             .select(*keys, "n", "_all.p", "_all.q", "_all.with_mean", "_all.mu", "_all.coef",
@@ -545,11 +553,13 @@ def order_search(
         board = order_leaderboard(df, keys, t, x, max_p, max_q, max_order, means, blocking)
         return board.where("rank = 1").drop("rank")
 
+    depth = search_depth(max_p, max_q, max_order)
+
     def start(packed: DataFrame) -> DataFrame:
-        board = _leaderboard(packed, keys, t, x, max_p, max_q, max_order, means)
+        products = cut(block_products(packed, keys, t, x, depth, edges=True))
+        board = _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
         return board.where("rank = 1").withColumn("drop", F.col("p"))
 
-    depth = search_depth(max_p, max_q, max_order)
     return _refined(df, keys, t, x, depth, max_p, start, blocking, recursion.ROUNDS)
 
 

@@ -114,13 +114,14 @@ def attach(packed: DataFrame, keys: Sequence[str], per_series: DataFrame) -> Dat
 
 def blocks(
     df: DataFrame, keys: Sequence[str], t: str, values: Sequence[str],
-    lags: int = 0, blocking: Blocking = DEFAULT,
+    lags: int = 0, blocking: Blocking = DEFAULT, per_series: DataFrame | None = None,
 ) -> DataFrame:
     """``pack`` plus what a block needs to know about the rest of its series.
 
     Adds ``halo`` (the up to ``lags`` observations before the block), ``start``
     (observations before the block), ``n`` and ``mean`` (length of the series,
-    mean of the first value).
+    mean of the first value).  Columns of ``per_series``, one row per series,
+    travel with the summary; series it lacks are dropped.
     """
     keys = list(keys)
     packed = pack(df, keys, t, values, blocking)
@@ -140,13 +141,17 @@ def blocks(
         (F.sum("_sum").over(series) / F.sum("_size").over(series)).alias("mean"),
         *([F.lag("_tail").over(ordered).alias("_tail")] if lags else []),
     )
+    more = []
+    if per_series is not None:
+        more = [c for c in per_series.columns if c not in keys]
+        summary = summary.join(per_series, keys)
     if lags:
         # blocks that begin within the last `lags` observations: their preceding
         # tails, joined, end with the observations wanted (one tail, if blocks are full)
         near = series.orderBy("start").rangeBetween(-(lags - 1), 0)
         tails = F.flatten(F.collect_list("_tail").over(near))
         summary = summary.withColumn("_tails", tails).select(
-            *keys, BLOCK, "start", "n", "mean",
+            *keys, BLOCK, "start", "n", "mean", *more,
             F.expr(let("_tails", lambda a: f"slice({a}, greatest(size({a}) - {lags - 1}, 1), {lags})"))
             .alias("halo"),
         )

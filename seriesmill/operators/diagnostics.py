@@ -165,11 +165,10 @@ def diff_distribution(
     keys = list(keys)
     require(df, [*keys, t, x])
     packed = pack(df, keys, t, [x], blocking)
-    moments = observations(df, keys, t, [x]).groupBy(*keys).agg(
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
-    quantiles = exact_quantiles(packed, keys, x, DISTRIBUTION_PROBS)
-    return quantiles.join(moments, keys).select(
+    moments = [F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
+               F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis")]
+    quantiles = exact_quantiles(packed, keys, x, DISTRIBUTION_PROBS, more=moments)
+    return quantiles.select(
         *keys, "n", "mean", "sd", "skewness", "kurtosis", "min", "max",
         *[F.col("q")[i].alias(f"p{round(100 * p):02d}")
           for i, p in enumerate(DISTRIBUTION_PROBS)])

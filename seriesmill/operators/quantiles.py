@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import attach
@@ -12,10 +12,12 @@ from .blocks import attach
 
 def exact_quantiles(
     packed: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-    accuracy: int = 10_000,
+    accuracy: int = 10_000, more: Sequence[Column] = (),
 ) -> DataFrame:
     """Per group: ``n``, ``min``, ``max`` and ``q``, linearly interpolated quantiles.
 
+    ``more`` are further aggregates over the value ``v``, taken in the first pass.
+
     Spark's ``percentile`` keeps every distinct value of a group in one task.
     Here a mergeable sketch first brackets each quantile; its rank error is at
     most n/accuracy, so the bracket surely holds the wanted ranks.  A second
@@ -28,11 +30,14 @@ def exact_quantiles(
     marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = values.groupBy(*keys).agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile_approx("v", marks, accuracy).alias("marks"),
+        F.percentile_approx("v", marks, accuracy).alias("marks"), *more,
     )
+    # the same for all rows of a group: they travel with the rows, not by a join
+    fixed = [c for c in sketch.columns if c != "marks"]
+    kept = [c for c in fixed if c not in keys]
     small = F.col("n") <= accuracy
     brackets = sketch.select(
-        *keys, "n", "min", "max",
+        *keys, F.struct(*kept).alias("group"),
         F.array(*[
             F.struct(
                 F.lit(i).alias("i"),
@@ -42,38 +47,40 @@ def exact_quantiles(
         ]).alias("brackets"),
     )
     inside = (
-        attach(packed, keys, brackets.select(*keys, "brackets"))
-        .select(*keys, "brackets", F.explode(F.col("obs").getField(x)).alias("v"))
-        .select(*keys, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"]))
+        attach(packed, keys, brackets)
+        .select(*keys, "group", "brackets", F.explode(F.col("obs").getField(x)).alias("v"))
+        .select(*keys, "group", "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"]))
                 .alias("b"))
         # one NULL stands for all values below the bracket
-        .select(*keys, F.col("b.i").alias("i"),
+        .select(*keys, "group", F.col("b.i").alias("i"),
                 F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-        .groupBy(*keys, "i", "v").agg(F.count(F.lit(1)).alias("_count"))
+        .groupBy(*keys, "i", "v")
+        .agg(F.count(F.lit(1)).alias("_count"), F.first("group").alias("group"))
     )
     up_to = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0)
     p = F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("i") + 1)
-    at = (F.col("n") - 1) * p
-    low = F.floor(at)
+    n = F.col("group.n")
+    low = F.floor((n - 1) * p)
+    value = F.coalesce("v", F.lit(float("-inf")))
     ranked = (
-        inside.withColumn("_rank", F.sum("_count").over(up_to))
-        .join(sketch.select(*keys, "n", "min", "max"), keys)
-        .groupBy(*keys, "i", "n", "min", "max")
+        inside.withColumns({"_rank": F.sum("_count").over(up_to), "_low": low})
+        .groupBy(*keys, "i")
         .agg(
-            F.min(F.when(F.col("_rank") >= low + 1, F.coalesce("v", F.lit(float("-inf")))))
-            .alias("a"),
-            F.min(F.when(F.col("_rank") >= F.least(low + 2, F.col("n")),
-                         F.coalesce("v", F.lit(float("-inf"))))).alias("b"),
+            F.first("group").alias("group"),
+            F.min(F.when(F.col("_rank") > F.col("_low"), value)).alias("a"),
+            F.min(F.when(F.col("_rank") >= F.least(F.col("_low") + 2, n), value)).alias("b"),
         )
     )
     missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == float("-inf"))
-    value = F.when(missed, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * (at - low))
+    between = (n - 1) * p - low
+    quantile = F.when(missed, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * between)
     return (
-        ranked.select(*keys, "n", "min", "max", "i", value.alias("q"))
-        .groupBy(*keys, "n", "min", "max")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "q"))).getField("q").alias("q"))
+        ranked.select(*keys, "group", F.struct("i", quantile.alias("q")).alias("_q"))
+        .groupBy(*keys)
+        .agg(F.first("group").alias("group"), F.sort_array(F.collect_list("_q")).alias("_q"))
+        .select(*keys, "group.*", F.col("_q.q").alias("q"))
     )
 
 
