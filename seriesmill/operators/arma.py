@@ -59,49 +59,78 @@ class Arma:
 
 # ---- two-stage estimates from lagged cross-products -------------------------
 
-def two_stage(depth: int) -> str:
-    """SQL: ``struct<coef, sse, used>`` for the row's p, q and with_mean.
-
-    Works on the columns of ``lag_products(…, depth, edges=True)``.  Pure AR
-    models are one least-squares fit.  With MA terms a long autoregression
-    first stands in for the unknown shocks; the second regression uses them as
-    regressors.  Since those shocks are linear in the lags of x, both stages
-    need only the cross-products.
-    """
-    long = f"greatest({LONG_AR}, p + q + 5)"
-    order = f"if(q = 0, p, {long} + q)"
-    skip = f"if(q = 0, greatest(p, {SEARCH_SKIP}), {long} + q)"
+def cross_products(depth: int) -> str:
+    """SQL: ``struct<g, c>`` for the row's q, with_mean, long, reach and skip.
 
+    ``g`` holds the cross-products of lags 0…reach over rows t > skip, from the
+    columns of ``lag_products(…, depth, edges=True)``.  With MA terms a long
+    autoregression stands in for the unknown shocks: ``c`` is the shock as a
+    combination of lags 0, 1, …, one less that fit.
+    """
     def shocks(g: str) -> str:
-        """The shock as a combination of lags 0, 1, …: one, less the long fit."""
-        square = each(f"slice({g}, 2, {long})", lambda row: f"slice({row}, 2, {long})")
-        fitted = solve_spd(square, f"slice({g}[0], 2, {long})")
+        square = each(f"slice({g}, 2, long)", lambda row: f"slice({row}, 2, long)")
+        fitted = solve_spd(square, f"slice({g}[0], 2, long)")
         return f"concat(array(1D), {each(fitted, lambda v: f'-{v}')})"
 
-    def regressors(c: str) -> str:
-        """Lags of x, then lags of the shock, each as a combination of lags of x."""
-        lags = f"sequence(0, {order})"
-        own = each(count_up("p"), lambda i: each(
-            lags, lambda at: f"if({at} = {i} + 1, 1D, 0D)"))
-        past = each(count_up("q"), lambda j: each(
-            lags, lambda at: f"if({at} > {j} and {at} <= {long} + {j} + 1,"
-                             f" get({c}, {at} - {j} - 1), 0D)"))
-        return f"concat({own}, {past})"
+    return let(gram("reach", depth, "skip", "not with_mean"), lambda g: (
+        f"named_struct('g', {g}, 'c', if(q > 0, {shocks(g)}, {doubles([])}))"))
+
+
+def regression() -> str:
+    """SQL: ``struct<coef, sse>`` for the row's p and q, from ``cross_products``.
+
+    Regressors are lags of x and, as the second stage, lags of the shock.  Both
+    are combinations of lags of x, so the normal equations follow from ``g``.
+    """
+    lags = "sequence(0, reach)"
+    own = each(count_up("p"), lambda i: each(lags, lambda at: f"if({at} = {i} + 1, 1D, 0D)"))
+    past = each(count_up("q"), lambda j: each(
+        lags, lambda at: f"if({at} > {j} and {at} <= long + {j} + 1,"
+                         f" get(c, {at} - {j} - 1), 0D)"))
 
-    def regress(g: str, rows: str) -> str:
-        def finish(projected: str) -> str:
-            normal = each(projected, lambda v: mat_vec(rows, v))
-            return let(each(projected, lambda v: f"{v}[0]"), lambda rhs: let(
-                solve_spd(normal, rhs), lambda coef: (
-                    f"named_struct('coef', {coef}, 'sse', {g}[0][0] - {dot(coef, rhs)},"
-                    f" 'used', n - {skip})")))
+    def solve(rows: str, projected: str) -> str:
+        normal = each(projected, lambda v: mat_vec(rows, v))
+        return let(each(projected, lambda v: f"{v}[0]"), lambda rhs: let(
+            solve_spd(normal, rhs), lambda coef: (
+                f"named_struct('coef', {coef}, 'sse', g[0][0] - {dot(coef, rhs)})")))
 
-        return let(each(rows, lambda r: mat_vec(g, r)), finish)
+    return let(f"concat({own}, {past})", lambda rows: let(
+        each(rows, lambda r: mat_vec("g", r)), lambda projected: solve(rows, projected)))
 
-    fitted = let(gram(order, depth, skip, "not with_mean"), lambda g: let(
-        f"if(q > 0, {shocks(g)}, {doubles([])})",
-        lambda c: let(regressors(c), lambda rows: regress(g, rows))))
-    return f"if(n > {skip} + p + q + 1, {fitted}, null)"
+
+def estimates(
+    products: DataFrame, keys: Sequence[str], orders: Sequence[tuple[int, int]],
+    means: Sequence[bool], depth: int,
+) -> DataFrame:
+    """Two-stage estimate of every order: keys, p, q, with_mean, mu, n, used, coef, sse.
+
+    Cross-products and shocks are shared by the orders with the same q.
+    ``inline`` computes each stage once per row; as a projection it would be
+    copied into every expression that reads one of its fields.
+    """
+    groups: dict[tuple, list[int]] = {}
+    top = max(p for p, _ in orders)
+    for p, q in orders:
+        long = max(LONG_AR, p + q + 5)
+        group = (q, long, long + q, long + q) if q else (0, LONG_AR, top, max(top, SEARCH_SKIP))
+        groups.setdefault(group, []).append(p)
+    grid = F.array(*[
+        F.struct(
+            F.lit(q).alias("q"), F.lit(long).alias("long"), F.lit(reach).alias("reach"),
+            F.lit(skip).alias("skip"), F.lit(m).alias("with_mean"),
+            F.array(*[F.lit(p) for p in ps]).alias("ps"))
+        for (q, long, reach, skip), ps in groups.items() for m in means])
+    # few bytes but much arithmetic per row: use every core
+    cores = products.sparkSession.sparkContext.defaultParallelism
+    shared = products.select("*", F.inline(grid)).repartition(cores)
+    ready = shared.where("n > skip + 1").select(
+        *keys, "n", "mean", "q", "long", "reach", "skip", "with_mean", "ps",
+        F.expr(f"inline(array({cross_products(depth)}))"))
+    single = ready.select("*", F.explode("ps").alias("p")).where("n > skip + p + q + 1")
+    return single.select(
+        *keys, "n", "mean", "p", "q", "with_mean", (F.col("n") - F.col("skip")).alias("used"),
+        F.expr(f"inline(array({regression()}))"),
+    ).select(*keys, "p", "q", "with_mean", centre().alias("mu"), "n", "used", "coef", "sse")
 
 
 def arma_fit_hr(
@@ -110,8 +139,8 @@ def arma_fit_hr(
 ) -> DataFrame:
     """Two-stage regression estimate of ARMA(p, q), one pass over the data.
 
-    A model table with ``n``, ``n_used``, ``sse`` and ``sigma2``; NULL
-    coefficients for a series that is constant or too short.
+    A model table with ``n``, ``n_used``, ``sse`` and ``sigma2``.  A series too
+    short has no row; a constant one has NULL coefficients.
     """
     depth = hr_depth(p, q)
     packed = series_blocks(df, keys, t, x, depth, blocking)
@@ -125,21 +154,11 @@ def hr_depth(p: int, q: int) -> int:
 
 
 def _estimated(products, keys, p, q, mean, depth) -> DataFrame:
-    products = products.withColumns(
-        {"p": F.lit(p), "q": F.lit(q), "with_mean": F.lit(mean)})
+    found = estimates(products, keys, [(p, q)], [mean], depth)
     freedom = F.nullif(F.col("used") - p - q - int(mean), F.lit(0))
-    return with_fit(products, depth).select(
-        *keys, "p", "q", "with_mean", centre().alias("mu"), "coef", "n",
-        F.col("used").alias("n_used"), "sse", (F.col("sse") / freedom).alias("sigma2"))
-
-
-def with_fit(products: DataFrame, depth: int) -> DataFrame:
-    """Add ``coef``, ``sse`` and ``used``.
-
-    ``inline`` computes the estimate once per row; as a projection it would be
-    copied into every expression that reads one of its fields.
-    """
-    return products.select("*", F.expr(f"inline(array({two_stage(depth)}))"))
+    return found.select(
+        *keys, "p", "q", "with_mean", "mu", "coef", "n", F.col("used").alias("n_used"), "sse",
+        (F.col("sse") / freedom).alias("sigma2"))
 
 
 def centre() -> Column:
@@ -505,17 +524,11 @@ def search_depth(max_p: int, max_q: int, max_order: int | None) -> int:
 def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> DataFrame:
     keys = list(keys)
     depth = search_depth(max_p, max_q, max_order)
-    grid = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(m).alias("with_mean"))
-        for p, q in candidate_orders(max_p, max_q, max_order) for m in means])
-    candidates = products.select("*", F.inline(grid))
-    estimates = (
-        with_fit(candidates, depth)
-        .select(*keys, "n", "p", "q", "with_mean", centre().alias("mu"), "coef", "sse")
-        .where(F.col("coef").isNotNull())
-    )
+    orders = list(candidate_orders(max_p, max_q, max_order))
+    found = estimates(products, keys, orders, means, depth).drop("used").where(
+        F.col("coef").isNotNull())
     if max_q:
-        mixed = estimates.where("q > 0").withColumn("coef", steady_coef("coef", "p", "q"))
+        mixed = found.where("q > 0").withColumn("coef", steady_coef("coef", "p", "q"))
         trial = F.struct("p", "q", "with_mean", "mu", "coef",
                          vector(model_columns()).alias("trial"))
         per_series = mixed.groupBy(*keys).agg(F.sort_array(F.collect_list(trial)).alias("_all"))
@@ -529,10 +542,10 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
             .select(*keys, "n", "_all.p", "_all.q", "_all.with_mean", "_all.mu", "_all.coef",
                     F.when(~F.isnan("_sse"), F.col("_sse")).alias("sse"))
         )
-        estimates = estimates.where("q = 0").unionByName(sums)
+        found = found.where("q = 0").unionByName(sums)
     parameters = F.expr("p + q + int(with_mean)")
     used = F.col("n") - SEARCH_SKIP
-    scored = estimates.withColumns({
+    scored = found.withColumns({
         "n_used": used, **criteria(used, F.col("sse"), parameters)})
     rank = Window.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "with_mean")
     return scored.withColumn("rank", F.row_number().over(rank))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .blocks import attach
 
 
+# shares of a group by which a bracket may reach beyond its quantile
+MARGINS = (0.1, 0.003)
+
+
 def exact_quantiles(
     packed: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
     accuracy: int = 10_000, more: Sequence[Column] = (),
@@ -20,32 +24,34 @@ def exact_quantiles(
 
     Spark's ``percentile`` keeps every distinct value of a group in one task.
     Here a mergeable sketch first brackets each quantile; its rank error is at
-    most n/accuracy, so the bracket surely holds the wanted ranks.  A second
-    pass counts the values below and ranks only those inside.  Groups of up to
-    ``accuracy`` rows are bracketed by their minimum and maximum.
+    most n/accuracy, so a bracket some ranks wider surely holds the wanted
+    ones.  A second pass counts the values below and ranks only those inside.
+    The margin around a quantile is a share of the group, the smallest that
+    still spans the ranks needed; tiny groups are bracketed by minimum and maximum.
     """
     keys = list(keys)
     values = packed.select(*keys, F.explode(F.col("obs").getField(x)).alias("v"))
-    margin = 3.0 / accuracy
-    marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    margins = sorted({m for m in MARGINS if m > 4 / accuracy} | {4 / accuracy})
+    marks = [m for p in probs for w in margins for m in (max(p - w, 0.0), min(p + w, 1.0))]
     sketch = values.groupBy(*keys).agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.percentile_approx("v", marks, accuracy).alias("marks"), *more,
     )
     # the same for all rows of a group: they travel with the rows, not by a join
-    fixed = [c for c in sketch.columns if c != "marks"]
-    kept = [c for c in fixed if c not in keys]
-    small = F.col("n") <= accuracy
+    kept = [c for c in sketch.columns if c != "marks" and c not in keys]
+
+    def bracket(i: int) -> Column:
+        lo, hi = F.col("min"), F.col("max")
+        for at, w in reversed(list(enumerate(margins))):
+            enough = F.col("n") * (w - 1 / accuracy) >= 3
+            place = 2 * (i * len(margins) + at)
+            lo = F.when(enough, F.col("marks")[place]).otherwise(lo)
+            hi = F.when(enough, F.col("marks")[place + 1]).otherwise(hi)
+        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
+
     brackets = sketch.select(
         *keys, F.struct(*kept).alias("group"),
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small, F.col("min")).otherwise(F.col("marks")[2 * i]).alias("lo"),
-                F.when(small, F.col("max")).otherwise(F.col("marks")[2 * i + 1]).alias("hi"),
-            ) for i in range(len(probs))
-        ]).alias("brackets"),
-    )
+        F.array(*[bracket(i) for i in range(len(probs))]).alias("brackets"))
     inside = (
         attach(packed, keys, brackets)
         .select(*keys, "group", "brackets", F.explode(F.col("obs").getField(x)).alias("v"))
@@ -84,6 +90,10 @@ def exact_quantiles(
     )
 
 
+# groups up to this size are ranked in one piece
+ONE_PIECE = 10_000
+
+
 def ecdf(packed: DataFrame, keys: Sequence[str], x: str, pieces: int = 256) -> DataFrame:
     """Empirical distribution function: ``(keys, value, n, cum, ecdf)`` per distinct value.
 
@@ -93,12 +103,22 @@ def ecdf(packed: DataFrame, keys: Sequence[str], x: str, pieces: int = 256) -> D
     """
     keys = list(keys)
     values = packed.select(*keys, F.explode(F.col("obs").getField(x)).alias("value"))
-    cuts = values.groupBy(*keys).agg(F.percentile_approx(
-        "value", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts"))
+    cuts = values.groupBy(*keys).agg(
+        F.count("value").alias("_n"),
+        F.percentile_approx(
+            "value", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts"),
+    ).select(
+        *keys, F.expr(f"if(_n > {ONE_PIECE}, _cuts, array())").alias("_cuts"),
+    ).withColumn("_coarse", F.expr(
+        f"transform(sequence(1, {pieces // 16}), i -> get(_cuts, 16 * i - 1))"))
+    # first among every 16th cut, then among the 16 that follow
+    coarse = "size(filter(_coarse, c -> c < value))"
     counts = (
         attach(packed, keys, cuts)
-        .select(*keys, "_cuts", F.explode(F.col("obs").getField(x)).alias("value"))
-        .withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("value"))))
+        .select(*keys, "_cuts", "_coarse", F.explode(F.col("obs").getField(x)).alias("value"))
+        .withColumn("_from", F.expr(coarse))
+        .withColumn("_piece", F.expr(
+            "16 * _from + size(filter(slice(_cuts, 16 * _from + 1, 16), c -> c < value))"))
         .groupBy(*keys, "_piece", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     piece = Window.partitionBy(*keys)
