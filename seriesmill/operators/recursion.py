@@ -17,7 +17,8 @@ from collections import defaultdict
 import numpy as np
 
 BATCH = 256
-HALVINGS = 6
+# shares of the full step tried first, and if none of them helps
+BOLD, CAUTIOUS = (1.0, 0.5), (0.25, 0.125, 0.0625, 0.03125)
 
 
 def model_vector(p: int, q: int, mu: float, coef) -> list[float]:
@@ -156,16 +157,19 @@ def steady(coef, p: int, q: int):
     return coef
 
 
-def proposals(coef, total, p: int, q: int):
-    """Gauss–Newton step from the cross-products, and the stable trial points on it."""
+def full_step(total):
+    """Gauss–Newton step from the cross-products; None for a singular system."""
     try:
         move = -np.linalg.solve(total[1:, 1:], total[1:, 0])
     except np.linalg.LinAlgError:
-        return np.inf, []
-    if not np.all(np.isfinite(move)):
-        return np.inf, []
-    trials = [coef + move * 0.5**i for i in range(HALVINGS)]
-    return float(np.max(np.abs(move), initial=0.0)), [c for c in trials if stable(c, p, q)]
+        return None
+    return move if np.all(np.isfinite(move)) else None
+
+
+def points(coef, move, shares, p: int, q: int):
+    """The stable points at the given shares of the step."""
+    trials = [coef + share * move for share in shares]
+    return [c for c in trials if stable(c, p, q)]
 
 
 def best(trials, totals, coef, total):
@@ -176,7 +180,7 @@ def best(trials, totals, coef, total):
     return coef, total
 
 
-ROUNDS = 25
+ROUNDS = 30
 TOLERANCE = 1e-7
 
 
@@ -187,12 +191,19 @@ def search_step(trials, totals, coef, total, p: int, q: int):
     """
     held = total
     coef, total = best(trials, totals, coef, total)
-    if total is None:
-        return coef, None, np.inf, []
-    move, trials = proposals(coef, total, p, q)
-    if total is held or move < TOLERANCE:
-        trials = []
-    return coef, total, move, trials
+    move = None if total is None else full_step(total)
+    if move is None:
+        return coef, total, np.inf, []
+    size = float(np.max(np.abs(move), initial=0.0))
+    if size < TOLERANCE:
+        return coef, total, size, []
+    if total is not held:
+        more = points(coef, move, BOLD, p, q) or points(coef, move, CAUTIOUS, p, q)
+    elif max(np.max(np.abs(c - coef)) for c in trials) > 0.3 * size:
+        more = points(coef, move, CAUTIOUS, p, q)
+    else:
+        more = []
+    return coef, total, size, more
 
 
 def refine(tasks, rounds: int = ROUNDS):
