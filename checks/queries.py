@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators import arma, diagnostics, forecast
 from seriesmill.operators.align import load_step_join, weekly_hourly_align, weekly_hourly_diff
 from seriesmill.operators.arma import Arma
+from seriesmill.operators.blocks import lagged
 from seriesmill.operators.derive import (
     cc_returns, frac_diff, holdout, series_tail, train_holdout_split,
 )
@@ -40,11 +41,16 @@ def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def as_text(c: str) -> Column:
+    """A date or time to the second, whatever the session time zone."""
+    return F.substring(F.col(c).cast("timestamp_ntz").cast("string"), 1, 19)
+
+
 def show(df: DataFrame, *columns: str, text: tuple[str, ...] = (), **digits: int) -> DataFrame:
     """Plain columns, times as text, doubles rounded to the given digits."""
     return df.select(
         *columns,
-        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in text],
+        *[as_text(c).alias(c) for c in text],
         *[rounded(c, d).alias(c) for c, d in digits.items()],
     )
 
@@ -248,6 +254,11 @@ def q_prepared(spark, sf):
 
 # ---- derivation ---------------------------------------------------------------------
 
+def q_lagged(spark, sf):
+    rows = lagged(hourly(spark, sf), SERIES, "ts", "price", 3)
+    return show(rows, "series", "pos", text=("ts",), price=2, price_1=2, price_3=2)
+
+
 def q_cc_returns(spark, sf):
     return show(cc_returns(daily_orders(spark, sf), SERIES, "day", "price"), "series",
                 text=("day",), ret=6)
@@ -425,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weekly_hourly_align": q_weekly_hourly_align,
     "weekly_hourly_diff": q_weekly_hourly_diff,
     "prepared_dataset": q_prepared,
+    "lagged": q_lagged,
     "cc_returns": q_cc_returns,
     "series_tail": q_series_tail,
     "train_holdout_split": q_train_holdout_split,

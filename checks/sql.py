@@ -142,6 +142,11 @@ NUMBERED = """numbered AS (
          count(*) OVER (PARTITION BY series) AS n, avg(price) OVER (PARTITION BY series) AS mu
   FROM hourly)"""
 
+ORACLES["lagged"] = query(
+    f"""SELECT series, pos, {text('ts')} AS ts, {rnd('price', 2)} AS price,
+  {rnd('lag(price, 1) OVER w', 2)} AS price_1, {rnd('lag(price, 3) OVER w', 2)} AS price_3
+FROM numbered WINDOW w AS (PARTITION BY series ORDER BY pos)""", HOURLY, NUMBERED)
+
 ORACLES["train_holdout_split"] = query(
     f"""SELECT series, CASE WHEN pos > n - 3 THEN 'holdout' ELSE 'train' END AS sample,
   CASE WHEN pos > n - 3 THEN CAST(pos - n + 3 AS INTEGER) ELSE 0 END AS h,

@@ -85,20 +85,27 @@ def pack(
     ``obs`` holds the block's observations in time order as ``struct<t,
     values…>``.  Two rows of a series with the same time stop the job.
     """
+    return checked(gathered(df, keys, t, values, blocking))
+
+
+def gathered(df, keys, t, values, blocking) -> DataFrame:
     rows = observations(df, keys, t, values)
     obs = F.struct(F.col(t).alias("t"), *values)
-    packed = (
+    return (
         rows.withColumn(BLOCK, blocking.block_id(rows, t))
         # stated here so that every reader of this shuffle asks for the same rows
         .where(F.col(BLOCK).isNotNull())
         .groupBy(*keys, BLOCK)
         .agg(F.sort_array(F.collect_list(obs)).alias("obs"))
     )
-    unique = F.when(
-        F.size(F.array_distinct(F.col("obs").getField("t"))) < F.size("obs"),
+
+
+def checked(packed: DataFrame) -> DataFrame:
+    times = F.col("obs").getField("t")
+    return packed.withColumn("obs", F.when(
+        F.size(F.array_distinct(times)) < F.size("obs"),
         F.raise_error(F.lit("two observations of one series share a time")),
-    ).otherwise(F.col("obs"))
-    return packed.withColumn("obs", unique)
+    ).otherwise(F.col("obs")))
 
 
 def attach(packed: DataFrame, keys: Sequence[str], per_series: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def blocks(
     travel with the summary; series it lacks are dropped.
     """
     keys = list(keys)
-    packed = pack(df, keys, t, values, blocking)
+    packed = gathered(df, keys, t, values, blocking)
     size = F.size("obs")
     edges = packed.select(
         *keys, BLOCK, size.alias("_size"),
@@ -155,7 +162,7 @@ def blocks(
             F.expr(let("_tails", lambda a: f"slice({a}, greatest(size({a}) - {lags - 1}, 1), {lags})"))
             .alias("halo"),
         )
-    return packed.hint("merge").join(summary, [*keys, BLOCK])
+    return checked(packed).hint("merge").join(summary, [*keys, BLOCK])
 
 
 def lag_name(value: str, k: int) -> str:
