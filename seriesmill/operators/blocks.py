@@ -31,10 +31,11 @@ class Blocking:
     timestamps (default one hour), days for dates, units for whole numbers
     (default 1).  As ``(series, t)`` is unique, a block then holds at most
     ``rows`` observations, and the summary at most ``length / rows`` per series.
+    ``fitted_blocking`` measures the grain where it is not known.
     """
 
     rows: int = 4096
-    grain: int | None = None
+    grain: float | None = None
 
     def block_id(self, df: DataFrame, t: str) -> Column:
         kind = df.schema[t].dataType
@@ -51,13 +52,33 @@ class Blocking:
             units, grain = at.cast("long"), 1
         else:
             raise TypeError(f"{t} must be a date, timestamp or whole number, not {kind}")
-        width = max(1, self.rows * (self.grain or grain))
+        width = max(1, round(self.rows * (self.grain or grain)))
         return F.floor(units / F.lit(width)).cast("long")
 
 
 DEFAULT = Blocking()
 
 
+def fitted_blocking(
+    df: DataFrame, keys: Sequence[str], t: str, rows: int = DEFAULT.rows,
+) -> Blocking:
+    """Blocking under which no block of ``df`` holds more than ``rows`` observations.
+
+    Runs a few counting jobs that read only keys and time: the fullest block is
+    counted, and the width reduced in proportion until it fits (or is one unit).
+    """
+    daily = isinstance(df.schema[t].dataType, (T.DateType, T.IntegralType))
+    grain = 1.0 if daily else 3600.0
+    known = df.where(F.col(t).isNotNull())
+    while True:
+        blocking = Blocking(rows, grain)
+        counts = known.groupBy(*keys, blocking.block_id(df, t).alias(BLOCK)).count()
+        fullest = counts.agg(F.max("count")).first()[0] or 0
+        if fullest <= rows or round(rows * grain) <= 1:
+            return blocking
+        grain *= rows / fullest
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -249,3 +249,20 @@ def test_whole_analysis(make):
     bars = result["histogram"].groupBy("series").agg(F.sum("n").alias("n")).collect()
     assert [r.n for r in bars] == [394, 394]
     result["fitted"].unpersist()
+
+
+def test_analysis_with_the_order_found(make):
+    df = make({"ar": simulate(300, [0.7], [], 5), "ma": simulate(300, [], [0.8], 6)})
+    with pytest.raises(ValueError, match="fit_df"):
+        analyse(df, K, "t", "x", order="auto")
+    result = analyse(df, K, "t", "x", order="auto", fit_df=2)
+    models = {r.series: r for r in result["model"].collect()}
+    fitted = result["fitted"].where("resid is not null").groupBy("series").agg(
+        F.sum(F.col("resid") ** 2).alias("sse"), F.count("resid").alias("n")).collect()
+    for r in fitted:
+        assert r.sse == pytest.approx(models[r.series].sse) and r.n == models[r.series].n_used
+    ahead = result["forecast"].where("h = 1").collect()
+    assert {r.series for r in ahead} == {"ar", "ma"}
+    for r in ahead:
+        assert r.se == pytest.approx(math.sqrt(models[r.series].sigma2))
+    result["fitted"].unpersist()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.functions.distributions import chi2_tail, normal_tail, t_value, z_value
-from seriesmill.operators.blocks import Blocking, lagged
+from seriesmill.operators.blocks import Blocking, fitted_blocking, lagged, pack
 from seriesmill.operators.derive import (
     cc_returns, frac_diff, frac_weights, holdout, series_tail, train_holdout_split,
 )
@@ -39,6 +39,16 @@ def test_lags_cross_blocks_and_gaps(make, cut):
             assert r[f"x_{k}"] == (WALK[r.pos - 1 - k] if r.pos > k else None)
 
 
+def test_blocking_measured_on_dense_times(spark):
+    seconds = spark.range(900).select(
+        F.lit("a").alias("series"), F.col("id").cast("double").alias("x"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("ts"))
+    fitted = fitted_blocking(seconds, K, "ts", 100)
+    sizes = [len(r.obs) for r in pack(seconds, K, "ts", ["x"], fitted).collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 100
+    assert fitted_blocking(seconds.where("x < 50"), K, "ts", 100) == Blocking(100, 3600.0)
+
+
 def test_a_repeated_time_stops_the_job(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0)], "series string, t int, x double")
     with pytest.raises(Exception, match="share a time"):
@@ -146,7 +156,6 @@ def test_histogram_without_quartile_spread_and_with_empty_bins(make):
 
 @pytest.mark.parametrize("accuracy", [20, 10_000])
 def test_quantiles_match_numpy_also_through_narrow_brackets(make, accuracy):
-    from seriesmill.operators.blocks import pack
     from seriesmill.operators.quantiles import exact_quantiles
     heavy = np.concatenate([RNG.normal(size=3000) ** 3, np.zeros(1500)])
     packed = pack(make({"a": heavy, "b": WALK}), K, "t", ["x"], Blocking(100))
