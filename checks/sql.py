@@ -516,17 +516,77 @@ def ar_board() -> list[str]:
         parts.append(
             f"SELECT b.series, b.with_mean, b.n, {p}, b.g - ({explained}) FROM base b"
             f" JOIN fit{p} f USING (series, with_mean) JOIN sums{p} s USING (series, with_mean)")
-    ctes.append("orders_tried AS (SELECT *, n - 5 AS used, p + CAST(with_mean AS INTEGER) + 1 AS k"
+    ctes.append("ar_orders AS (SELECT series, with_mean, n, p, 0 AS q, sse"
                 f" FROM ({' UNION ALL '.join(parts)}))")
-    ctes.append(criteria("orders_tried"))
-    ctes.append("ranked AS (SELECT *, 0 AS q, CAST(row_number() OVER ("
-                "PARTITION BY series ORDER BY aicc, p, with_mean) AS INTEGER) AS rank FROM scored)")
     return ctes
 
 
-ORACLES["order_leaderboard"] = query(
-    f"SELECT series, p, q, with_mean, rank, {rnd('sse', 2)} AS sse, {rnd('aic', 4)} AS aic,"
-    f" {rnd('aicc', 4)} AS aicc, {rnd('bic', 4)} AS bic FROM ranked", *FILTERED, *ar_board())
+def ranked(source: str) -> list[str]:
+    return [
+        f"""orders_tried AS (
+  SELECT *, n - 5 AS used, p + q + CAST(with_mean AS INTEGER) + 1 AS k FROM {source})""",
+        criteria("orders_tried"),
+        """ranked AS (SELECT *, CAST(row_number() OVER (
+  PARTITION BY series ORDER BY aicc, p, q, with_mean) AS INTEGER) AS rank FROM scored)"""]
+
+
+def arma_board() -> list[str]:
+    """The orders with MA terms: both regressions, then the residuals step by step."""
+    keep = "series, with_mean, n"
+    ctes = [f"""deep AS MATERIALIZED (
+  SELECT series, with_mean, n, row_number() OVER o AS pos, y AS l0,
+    {', '.join(f'lag(y, {k}) OVER o AS l{k}' for k in range(1, 16))}
+  FROM both_means WINDOW o AS (PARTITION BY series, with_mean ORDER BY pos))"""]
+    parts = []
+    for q in range(1, 6):
+        rows = f"pos > {10 + q}"
+        ctes.append(normal(f"long_sums{q}", "deep", "l0", LONG, rows, keep))
+        ctes += eliminate(f"long_fit{q}", f"long_sums{q}", 10, 11, keep)
+        shocks = ", ".join(
+            f"w.l{j} - " + " - ".join(f"f.a{i}_10 * w.l{j + i + 1}" for i in range(10)) + f" AS e{j}"
+            for j in range(1, q + 1))
+        ctes.append(f"""shocks{q} AS MATERIALIZED (
+  SELECT w.*, {shocks} FROM deep w JOIN long_fit{q} f USING (series, with_mean) WHERE {rows})""")
+        for p in range(6 - q):
+            name, k = f"mixed{p}_{q}", p + q
+            columns = [f"l{i}" for i in range(1, p + 1)] + [f"e{j}" for j in range(1, q + 1)]
+            ctes.append(normal(f"{name}_sums", f"shocks{q}", "l0", columns, rows, keep))
+            ctes += eliminate(name, f"{name}_sums", k, k + 1, keep)
+            f = [f"a{i}_{k}" if i < p else "0" for i in range(5)]
+            t = [f"a{p + j}_{k}" if j < q else "0" for j in range(5)]
+            if k == q == 1:
+                # the one estimate that can lie outside (-1, 1) here: times 0.95 until inside
+                t[0] = ("CASE WHEN abs(a0_1) < 1 THEN a0_1 ELSE a0_1 * pow(0.95,"
+                        " floor(ln(abs(a0_1)) / -ln(0.95)) + 1) END")
+            parts.append(
+                f"SELECT {keep}, {p} AS p, {q} AS q, "
+                + ", ".join(f"CAST({c} AS DOUBLE) AS f{i + 1}" for i, c in enumerate(f)) + ", "
+                + ", ".join(f"CAST({c} AS DOUBLE) AS t{i + 1}" for i, c in enumerate(t))
+                + f" FROM {name}")
+    ctes.append(f"candidates AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+    ar = " - ".join(f"c.f{i} * d.l{i}" for i in range(1, 6))
+    ma = " - ".join(f"c.t{i} * c.e{i}" for i in range(1, 6))
+    fixed = ", ".join(["c.series", "c.with_mean", "c.n", "c.p", "c.q"]
+                      + [f"c.f{i}" for i in range(1, 6)] + [f"c.t{i}" for i in range(1, 6)])
+    ctes.append(f"""score AS (
+  SELECT c.*, CAST(5 AS BIGINT) AS pos, {', '.join(f'CAST(0 AS DOUBLE) AS e{i}' for i in range(1, 6))},
+    CAST(0 AS DOUBLE) AS sse FROM candidates c
+  UNION ALL
+  SELECT {fixed}, d.pos, d.l0 - {ar} - {ma}, c.e1, c.e2, c.e3, c.e4,
+    c.sse + pow(d.l0 - {ar} - {ma}, 2)
+  FROM score c JOIN deep d
+    ON d.series = c.series AND d.with_mean = c.with_mean AND d.pos = c.pos + 1)""")
+    ctes.append("all_orders AS (SELECT * FROM ar_orders UNION ALL"
+                " SELECT series, with_mean, n, p, q, sse FROM score WHERE pos = n)")
+    return ctes
+
+
+BOARD = (f"SELECT series, p, q, with_mean, rank, {rnd('sse', 2)} AS sse, {rnd('aic', 4)} AS aic,"
+         f" {rnd('aicc', 4)} AS aicc, {rnd('bic', 4)} AS bic FROM ranked")
+
+ORACLES["order_leaderboard"] = query(BOARD, *FILTERED, *ar_board(), *ranked("ar_orders"))
 ORACLES["order_search_ar"] = query(
     f"SELECT series, p, q, with_mean, {rnd('aicc', 4)} AS aicc FROM ranked WHERE rank = 1",
-    *FILTERED, *ar_board())
+    *FILTERED, *ar_board(), *ranked("ar_orders"))
+ORACLES["order_leaderboard_arma"] = query(
+    BOARD, *FILTERED, *ar_board(), *arma_board(), *ranked("all_orders"))

@@ -506,8 +506,9 @@ def order_leaderboard(
 
     All candidates come from one set of lagged cross-products.  Plain AR sums of
     squares follow from it too; models with MA terms are scored in one more
-    pass that runs every candidate over a block.  All condition on the same
-    first ``max(max_p, 5)`` rows, so the criteria are comparable.
+    pass that runs every candidate over a block; with MA terms the estimates are
+    computed when called.  All condition on the same first 5 rows, so the
+    criteria are comparable.
     """
     depth = search_depth(max_p, max_q, max_order)
     packed = series_blocks(df, keys, t, x, depth, blocking)
@@ -528,6 +529,8 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
     found = estimates(products, keys, orders, means, depth).drop("used").where(
         F.col("coef").isNotNull())
     if max_q:
+        # one small row per series and order, read by three branches
+        found = cut(found)
         mixed = found.where("q > 0").withColumn("coef", steady_coef("coef", "p", "q"))
         trial = F.struct("p", "q", "with_mean", "mu", "coef",
                          vector(model_columns()).alias("trial"))
@@ -569,7 +572,7 @@ def order_search(
     depth = search_depth(max_p, max_q, max_order)
 
     def start(packed: DataFrame) -> DataFrame:
-        products = cut(block_products(packed, keys, t, x, depth, edges=True))
+        products = block_products(packed, keys, t, x, depth, edges=True)
         board = _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
         return board.where("rank = 1").withColumn("drop", F.col("p"))
 
