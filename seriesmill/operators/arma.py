@@ -249,7 +249,9 @@ def model_blocks(
         packed = series_blocks(df, keys, t, x, depth, blocking).withColumns(
             {**model.columns, "drop": F.lit(depth)})
     else:
+        deep = F.raise_error(F.lit(f"a model has more than max_p = {max_p} AR terms"))
         ready = model.where(F.col("coef").isNotNull()).withColumns({
+            "p": F.when(F.col("p") > max_p, deep).otherwise(F.col("p")),
             "drop": F.col("drop") if "drop" in model.columns else F.col("p"),
             "with_mean": (F.col("with_mean") if "with_mean" in model.columns
                           else F.col("mu") != 0)})

@@ -94,6 +94,13 @@ def test_evaluation(make, cut):
     assert np.allclose(r.x_tail[:3], SERIES["a"][::-1][:3])
 
 
+def test_a_model_table_deeper_than_announced_stops(make):
+    df = make({"a": SERIES["a"]})
+    model = arma_fit_hr(df, K, "t", "x", 3, 0)
+    with pytest.raises(Exception, match="max_p = 2"):
+        arma_residuals(df, K, "t", "x", model, max_p=2).collect()
+
+
 def two_stage(x, p, q, mean=False):
     x = x - x.mean() if mean else x
     m = max(10, p + q + 5)
