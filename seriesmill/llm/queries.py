@@ -4,28 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .pieces import decode_pieces, encode_pieces
 from .sharding import histogram_shards
+from .simhash import simhash_components
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    encoded = encode_pieces(table(spark, sf, "documents"), PIECES)
+    return decode_pieces(encoded, PIECES).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     return histogram_shards(table(spark, sf, "documents"), shards=24)
 
 
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    return simhash_components(table(spark, sf, "documents"), shingle=4, distance=4)
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the row that stands for its text."""
     return exact_groups(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
