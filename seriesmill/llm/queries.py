@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .exact_dedup import exact_groups
 from .pieces import decode_pieces, encode_pieces
 from .sharding import histogram_shards
 from .simhash import simhash_components
+from .token_files import id_checksums, write_ids
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -38,6 +42,13 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"), shingle=4, distance=4)
 
 
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All ids written in order, and every document's read back from the files."""
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(table(spark, sf, "documents"), path, WORDS, end_id=2)
+    return id_checksums(spark, path)
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the row that stands for its text."""
     return exact_groups(table(spark, sf, "documents"))
@@ -47,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
