@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -15,6 +15,7 @@ from .pieces import decode_pieces, encode_pieces
 from .sharding import histogram_shards
 from .simhash import simhash_components
 from .token_files import id_checksums, write_ids
+from .toxicity import learn_lexicon, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +25,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's toxicity, with a lexicon learnt from labels that are not held out."""
+    docs = table(spark, sf, "documents")
+    lexicon = learn_lexicon(docs, table(spark, sf, "labels").where(~held_out()), sample=20000)
+    return toxicity(docs, lexicon, threshold=0.3).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "hits")
+
+
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again."""
     encoded = encode_pieces(table(spark, sf, "documents"), PIECES)
@@ -55,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
