@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .exact_dedup import exact_groups
 from .pieces import decode_pieces, encode_pieces
+from .quality import quality_scores
 from .sharding import histogram_shards
 from .simhash import simhash_components
 from .token_files import id_checksums, write_ids
@@ -56,6 +57,11 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"), shingle=4, distance=4)
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality by two views."""
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.5)
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """All ids written in order, and every document's read back from the files."""
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
