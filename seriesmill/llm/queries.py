@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
@@ -39,6 +40,11 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", "predicted", "hits")
 
 
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the items."""
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=5, share=0.8)
+
+
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again."""
     encoded = encode_pieces(table(spark, sf, "documents"), PIECES)
@@ -76,6 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
