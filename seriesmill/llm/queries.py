@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .html_text import extract_main_text, learn_weights
 from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .sharding import histogram_shards
 from .simhash import simhash_components
 from .token_files import id_checksums, write_ids
 from .toxicity import learn_lexicon, toxicity
+from .url_filter import judge_urls
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+RULES = (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -45,6 +49,14 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=5, share=0.8)
 
 
+def op3_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf, "pages")
+    weights = learn_weights(pages, sample=2000)
+    return extract_main_text(pages, weights, keep=("url",)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again."""
     encoded = encode_pieces(table(spark, sf, "documents"), PIECES)
@@ -63,6 +75,11 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"), shingle=4, distance=4)
 
 
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's URL judged by rules and aliases."""
+    return judge_urls(table(spark, sf, "pages"), RULES)
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality by two views."""
     return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.5)
@@ -83,15 +100,34 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_text": op3_html_text,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    # No page of the tables has a canonical link or a redirect, so aliases change no verdict there.
+    "op7_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules (verdict, rule_host, rule_path) AS (
+            VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                   ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        fits AS (
+            SELECT page_id, p.host, p.path, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS nth
+            FROM parts p LEFT JOIN rules
+              ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1""",
     "op10_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS len,
