@@ -21,12 +21,17 @@ DAY_TYPES = ("weekday", "weekend", "holiday")
 def step_table(load_steps: DataFrame) -> DataFrame:
     """One load step per day type and hour: at most 72 rows, whatever comes in.
 
-    Two different steps for one hour of a day type stop the job.
+    Two different steps for one hour of a day type stop the job, as do an
+    unknown day type and an hour that is not one of 0 to 23.
     """
     require(load_steps, ["day_type", "hour", "load_step"])
     clash = F.min("load_step") != F.max("load_step")
+    known = F.coalesce(F.col("day_type").isin(*DAY_TYPES) & F.col("hour").isin(*range(24)), F.lit(False))
+    stop = F.raise_error(F.concat(
+        F.lit("load steps have an unknown day type or hour: "),
+        F.to_json(F.struct("day_type", "hour"))))
     return (
-        load_steps.where(F.col("day_type").isin(*DAY_TYPES) & F.col("hour").between(0, 23))
+        load_steps.withColumn("day_type", F.when(known, F.col("day_type")).otherwise(stop.cast("string")))
         .groupBy("day_type", F.col("hour").cast("int").alias("_hour"))
         .agg(F.when(clash, F.raise_error(F.lit("an hour has two load steps")))
              .otherwise(F.min("load_step")).alias("load_step"))
@@ -66,7 +71,8 @@ def weekly_hourly_align(
     """Each hourly price beside the weekly price published for its week.
 
     A weekly price published on a Friday holds for the operating week starting
-    the next day.  Of several publications for one week the latest counts.
+    the next day.  Of several publications for one week the latest counts; rows
+    without a price are no publication, and two prices on one day stop the job.
     Result: keys, step, ``t``, ``op_week``, ``hourly``, ``weekly`` (NULL when
     nothing was published).  The join key includes the week, so a series with
     many hours is spread over its weeks.
@@ -74,10 +80,15 @@ def weekly_hourly_align(
     on = [*keys, *([step_column] if step_column else []), "op_week"]
     require(hourly, [*on[:-1], t, hourly_price])
     require(weekly, [*on[:-1], pub_date, weekly_price])
+    price = F.col(weekly_price).cast("double")
+    highest = F.max_by(price, F.struct(F.col(pub_date), price))
+    lowest = F.max_by(price, F.struct(F.col(pub_date), -price))
     published = (
-        weekly.withColumn("op_week", F.next_day(pub_date, "SAT"))
+        weekly.where(price.isNotNull() & ~F.isnan(price) & F.col(pub_date).isNotNull())
+        .withColumn("op_week", F.next_day(pub_date, "SAT"))
         .groupBy(*on)
-        .agg(F.max_by(weekly_price, pub_date).cast("double").alias("weekly"))
+        .agg(F.when(highest != lowest, F.raise_error(F.lit("two weekly prices on one day")).cast("double"))
+             .otherwise(highest).alias("weekly"))
     )
     return (
         hourly.select(

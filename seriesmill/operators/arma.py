@@ -120,9 +120,8 @@ def estimates(
             F.lit(skip).alias("skip"), F.lit(m).alias("with_mean"),
             F.array(*[F.lit(p) for p in ps]).alias("ps"))
         for (q, long, reach, skip), ps in groups.items() for m in means])
-    # few bytes but much arithmetic per row: use every core
-    cores = products.sparkSession.sparkContext.defaultParallelism
-    shared = products.select("*", F.inline(grid)).repartition(cores)
+    # few bytes but much arithmetic per row: dealt out by as many tasks as the session's shuffles have
+    shared = products.select("*", F.inline(grid)).hint("rebalance")
     ready = shared.where("n > skip + 1").select(
         *keys, "n", "mean", "q", "long", "reach", "skip", "with_mean", "ps",
         F.expr(f"inline(array({cross_products(depth)}))"))

@@ -30,14 +30,20 @@ def series_tail(
 ) -> DataFrame:
     """The last ``k`` observations of each series with ``pos`` 1…k ascending.
 
-    Each task keeps k rows per series before the shuffle (a group limit below
-    the window), so a long series costs no more than a short one.
+    Each task keeps k + 1 rows per series before the shuffle (a group limit
+    below the window), so a long series costs no more than a short one.  Two
+    rows at one of these times stop the job.
     """
     latest = Window.partitionBy(*keys).orderBy(F.col(t).desc())
     kept = (
         observations(df, keys, t, [x])
         .withColumn("_back", F.row_number().over(latest))
+        .where(F.col("_back") <= k + 1)
+        .withColumn("_same", F.col(t) == F.lead(t).over(latest))
         .where(F.col("_back") <= k)
+        .withColumn("_back", F.when(
+            F.col("_same"), F.raise_error(F.lit("two observations of one series share a time")).cast("int"),
+        ).otherwise(F.col("_back")))
     )
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     return kept.select(
@@ -80,11 +86,13 @@ def frac_weights(d: float, k: int) -> list[float]:
 
 def frac_diff(
     df: DataFrame, keys: Sequence[str], t: str, x: str,
-    d: float = 0.00943, lags: int = 50, blocking: Blocking = DEFAULT,
+    d: float, lags: int, blocking: Blocking = DEFAULT,
 ) -> DataFrame:
     """Fractional difference ``(1 − B)^d x`` with the weights cut at ``lags``.
 
-    Result ``(keys, t, fd)``; history before the first observation counts as 0.
+    The cut is part of the definition and has no default: for small d weights
+    fall slowly, and what lies further back than ``lags`` observations is left
+    out.  Result ``(keys, t, fd)``; history before the first observation counts as 0.
     """
     packed = blocks(df, keys, t, [x], lags, blocking)
     weights = doubles(reversed(frac_weights(d, lags)))

@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_tail, z_value
-from .blocks import DEFAULT, Blocking, attach, blocks, observations, pack, require, unblock
+from .blocks import DEFAULT, Blocking, blocks, observations, require, unblock
 from .moments import lag_products, lag_products_to
 from .quantiles import ecdf, exact_quantiles
 
 # the default lag limit grows with 10·log10(n): 130 serves 10^13 observations
 DEFAULT_LAG_REACH = 130
 
-# a histogram never gets more bins than this; beyond, they widen
-MAX_BINS = 1_000_000
-
 
 def sd_band(df: DataFrame, keys: Sequence[str], t: str, x: str, k: float = 3.0) -> DataFrame:
     """Mean, standard deviation and the band mean ± k·sd of each series."""
@@ -73,49 +70,55 @@ def ljung_box(
 
 
 def fd_histogram(
-    df: DataFrame, keys: Sequence[str], t: str, x: str, blocking: Blocking = DEFAULT,
+    df: DataFrame, keys: Sequence[str], t: str, x: str, max_bins: int | None = 1_000_000,
 ) -> DataFrame:
     """Histogram ``(keys, bin, lo, hi, n)`` with the Freedman–Diaconis bin width.
 
     Equal bins over [min, max], closed on the right, the lowest value included;
     empty bins are listed.  Without spread between the quartiles the number of
     bins follows Sturges; a constant series has one bin.
+
+    A few far values can ask for more bins than anyone wants to list: more than
+    ``max_bins`` stop the job.  With ``max_bins=None`` there is no limit, and
+    only bins that hold something are listed.  The order of observations does
+    not matter here, so equal times are no error.
     """
     keys = list(keys)
-    packed = pack(df, keys, t, [x], blocking)
+    values = observations(df, keys, t, [x]).select(*keys, F.col(x).alias("v"))
     spread = F.col("max") - F.col("min")
     iqr = F.col("q")[1] - F.col("q")[0]
     width = 2 * iqr * F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
     count = (
         F.when(spread == 0, F.lit(1.0))
         .when(iqr == 0, F.ceil(F.log2("n") + 1).cast("double"))
-        .otherwise(F.ceil(F.least(spread / F.nullif(width, F.lit(0.0)), F.lit(float(MAX_BINS)))))
+        .otherwise(F.ceil(spread / F.nullif(width, F.lit(0.0))).cast("double"))
     )
+    if max_bins is not None:
+        too_many = F.raise_error(F.format_string(
+            "a histogram needs %s bins, more than max_bins", count.cast("string")))
+        count = F.when(count > max_bins, too_many.cast("double")).otherwise(count)
     plan = (
-        exact_quantiles(packed, keys, x, [0.25, 0.75])
-        .withColumn("bins", count.cast("int"))
+        exact_quantiles(values, keys, [0.25, 0.75])
+        .withColumn("bins", count.cast("long"))
         .withColumn("step", spread / F.col("bins"))
         .select(*keys, "min", "max", "bins", "step")
     )
     place = F.greatest(F.lit(1), F.least(
         F.col("bins"),
-        F.ceil((F.col("v") - F.col("min")) / F.nullif(F.col("step"), F.lit(0.0))).cast("int")))
+        F.ceil((F.col("v") - F.col("min")) / F.nullif(F.col("step"), F.lit(0.0))).cast("long")))
     filled = (
-        attach(packed, keys, plan)
-        .select(*keys, "min", "bins", "step", F.explode(F.col("obs").getField(x)).alias("v"))
+        values.join(plan.select(*keys, "min", "bins", "step"), keys)
         .select(*keys, place.alias("bin"))
         .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = plan.select(
-        *keys, "min", "max", "bins", "step",
-        F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin"),
-    ).select(
-        *keys, "bin", (F.col("min") + (F.col("bin") - 1) * F.col("step")).alias("lo"),
-        F.when(F.col("bin") == F.col("bins"), F.col("max"))
-        .otherwise(F.col("min") + F.col("bin") * F.col("step")).alias("hi"),
-    )
+    lo = (F.col("min") + (F.col("bin") - 1) * F.col("step")).alias("lo")
+    hi = F.when(F.col("bin") == F.col("bins"), F.col("max")).otherwise(
+        F.col("min") + F.col("bin") * F.col("step")).alias("hi")
+    if max_bins is None:
+        return filled.join(plan, keys).select(*keys, "bin", lo, hi, "n")
+    edges = plan.select("*", F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin")).select(*keys, "bin", lo, hi)
     return edges.join(filled, [*keys, "bin"], "left").select(
-        *keys, "bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        *keys, F.col("bin").cast("int").alias("bin"), "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def accuracy_measures(
@@ -125,7 +128,9 @@ def accuracy_measures(
     """Training accuracy of a fit: me, rmse, mae, mpe, mape, mase and acf1.
 
     ``resid`` may be NULL where the model gives no fitted value.  The scale of
-    ``mase`` is the mean absolute change from one observation to the next.
+    ``mase`` is the mean absolute change from one observation to the next.  A
+    percentage of an observation that is zero does not exist: ``mpe`` and
+    ``mape`` are means over the others.
     """
     rows = unblock(
         blocks(df, keys, t, [x, resid], 1, blocking), keys, t, [x, resid], {x: 1, resid: 1})
@@ -155,7 +160,7 @@ DISTRIBUTION_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def diff_distribution(
-    df: DataFrame, keys: Sequence[str], t: str, x: str = "diff", blocking: Blocking = DEFAULT,
+    df: DataFrame, keys: Sequence[str], t: str, x: str = "diff",
 ) -> DataFrame:
     """Distribution of a difference per group, without assuming a family.
 
@@ -164,10 +169,10 @@ def diff_distribution(
     """
     keys = list(keys)
     require(df, [*keys, t, x])
-    packed = pack(df, keys, t, [x], blocking)
+    values = observations(df, keys, t, [x]).select(*keys, F.col(x).alias("v"))
     moments = [F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
                F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis")]
-    quantiles = exact_quantiles(packed, keys, x, DISTRIBUTION_PROBS, more=moments)
+    quantiles = exact_quantiles(values, keys, DISTRIBUTION_PROBS, more=moments)
     return quantiles.select(
         *keys, "n", "mean", "sd", "skewness", "kurtosis", "min", "max",
         *[F.col("q")[i].alias(f"p{round(100 * p):02d}")
@@ -175,7 +180,8 @@ def diff_distribution(
 
 
 def diff_ecdf(
-    df: DataFrame, keys: Sequence[str], t: str, x: str = "diff", blocking: Blocking = DEFAULT,
+    df: DataFrame, keys: Sequence[str], t: str, x: str = "diff",
 ) -> DataFrame:
     """Empirical distribution function of a difference at each of its values."""
-    return ecdf(pack(df, list(keys), t, [x], blocking), keys, x)
+    require(df, [*keys, t, x])
+    return ecdf(observations(df, keys, t, [x]).select(*keys, F.col(x).alias("value")), keys)

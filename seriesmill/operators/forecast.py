@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, doubles, each, fold, let
@@ -94,8 +94,8 @@ def forecast_chart_frame(
 ) -> DataFrame:
     """Long chart data ``(keys, pos, label, value)``.
 
-    Positions 1…history are the last training values, the steps ahead follow.
-    Labels: history, predicted, lower, upper, actual.
+    Positions up to ``history`` are the last training values (a shorter sample
+    starts later), the steps ahead follow.  Labels: history, predicted, lower, upper, actual.
     """
     ahead = (F.col("h") + history).cast("int").alias("pos")
 
@@ -103,8 +103,9 @@ def forecast_chart_frame(
         return frame.select(
             *keys, ahead, F.lit(label).alias("label"), F.col(value).alias("value"))
 
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     past = series_tail(train, keys, t, x, history).select(
-        *keys, "pos", F.lit("history").alias("label"), F.col("x").alias("value"))
+        *keys, (F.col("pos") + history - size).cast("int").alias("pos"), F.lit("history").alias("label"), F.col("x").alias("value"))
     # one scan of the forecast gives its three lines
     lines = forecast.select(*keys, ahead, F.col("mean").alias("predicted"), "lower", "upper").unpivot(
         [*keys, "pos"], ["predicted", "lower", "upper"], "label", "value")

@@ -56,7 +56,9 @@ def lag_products_to(
 
     ``c0`` is NULL for a constant series.  ``last`` may use ``n`` and must not exceed ``reach``.
     """
-    packed = blocks(df, keys, t, [x], reach, blocking).withColumn("_last", last)
+    beyond = F.raise_error(F.lit(f"lags beyond {reach} are asked for")).cast("int")
+    packed = blocks(df, keys, t, [x], reach, blocking).withColumn(
+        "_last", F.when(last > reach, beyond).otherwise(last))
     products = let(each(history(x, reach), lambda v: f"{v} - mean"), lambda z: let(
         f"slice({z}, {reach + 1}, size(obs))", lambda own: each(
             "sequence(0, _last)",

@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import attach
-
+from ..session import per_group, stored
 
 # shares of a group by which a bracket may reach beyond its quantile
 MARGINS = (0.1, 0.003)
 
 
 def exact_quantiles(
-    packed: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
+    values: DataFrame, keys: Sequence[str], probs: Sequence[float],
     accuracy: int = 10_000, more: Sequence[Column] = (),
 ) -> DataFrame:
-    """Per group: ``n``, ``min``, ``max`` and ``q``, linearly interpolated quantiles.
+    """Per group of ``values(keys, v)``: ``n``, ``min``, ``max`` and ``q``, linearly interpolated quantiles.
 
     ``more`` are further aggregates over the value ``v``, taken in the first pass.
 
@@ -27,18 +26,17 @@ def exact_quantiles(
     most n/accuracy, so a bracket some ranks wider surely holds the wanted
     ones.  A second pass counts the values below and ranks only those inside.
     The margin around a quantile is a share of the group, the smallest that
-    still spans the ranks needed; tiny groups are bracketed by minimum and maximum.
+    still spans the ranks needed; tiny groups are bracketed by minimum and
+    maximum.  The first pass runs when this is called; rows are never exchanged
+    but as counts of values inside a bracket.
     """
     keys = list(keys)
-    values = packed.select(*keys, F.explode(F.col("obs").getField(x)).alias("v"))
     margins = sorted({m for m in MARGINS if m > 4 / accuracy} | {4 / accuracy})
     marks = [m for p in probs for w in margins for m in (max(p - w, 0.0), min(p + w, 1.0))]
     sketch = values.groupBy(*keys).agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.percentile_approx("v", marks, accuracy).alias("marks"), *more,
     )
-    # the same for all rows of a group: they travel with the rows, not by a join
-    kept = [c for c in sketch.columns if c != "marks" and c not in keys]
 
     def bracket(i: int) -> Column:
         lo, hi = F.col("min"), F.col("max")
@@ -47,85 +45,56 @@ def exact_quantiles(
             place = 2 * (i * len(margins) + at)
             lo = F.when(enough, F.col("marks")[place]).otherwise(lo)
             hi = F.when(enough, F.col("marks")[place + 1]).otherwise(hi)
-        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
+        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), F.col("n").alias("all"))
 
-    brackets = sketch.select(
-        *keys, F.struct(*kept).alias("group"),
-        F.array(*[bracket(i) for i in range(len(probs))]).alias("brackets"))
+    groups = per_group(sketch.withColumn("brackets", F.array(*[bracket(i) for i in range(len(probs))])).drop("marks"))
     inside = (
-        attach(packed, keys, brackets)
-        .select(*keys, "group", "brackets", F.explode(F.col("obs").getField(x)).alias("v"))
-        .select(*keys, "group", "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"]))
-                .alias("b"))
+        values.join(groups.select(*keys, "brackets"), keys)
+        .select(*keys, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
         # one NULL stands for all values below the bracket
-        .select(*keys, "group", F.col("b.i").alias("i"),
-                F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-        .groupBy(*keys, "i", "v")
-        .agg(F.count(F.lit(1)).alias("_count"), F.first("group").alias("group"))
+        .select(*keys, "b.i", "b.all", F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
+        .groupBy(*keys, "i", "all", "v").agg(F.count(F.lit(1)).alias("_count"))
     )
     up_to = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0)
     p = F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("i") + 1)
-    n = F.col("group.n")
-    low = F.floor((n - 1) * p)
+    low = F.floor((F.col("all") - 1) * p)
     value = F.coalesce("v", F.lit(float("-inf")))
     ranked = (
         inside.withColumns({"_rank": F.sum("_count").over(up_to), "_low": low})
-        .groupBy(*keys, "i")
+        .groupBy(*keys, "i", "all")
         .agg(
-            F.first("group").alias("group"),
             F.min(F.when(F.col("_rank") > F.col("_low"), value)).alias("a"),
-            F.min(F.when(F.col("_rank") >= F.least(F.col("_low") + 2, n), value)).alias("b"),
+            F.min(F.when(F.col("_rank") >= F.least(F.col("_low") + 2, F.col("all")), value)).alias("b"),
         )
     )
     missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == float("-inf"))
-    between = (n - 1) * p - low
+    between = (F.col("all") - 1) * p - low
     quantile = F.when(missed, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(
         F.col("a") + (F.col("b") - F.col("a")) * between)
-    return (
-        ranked.select(*keys, "group", F.struct("i", quantile.alias("q")).alias("_q"))
-        .groupBy(*keys)
-        .agg(F.first("group").alias("group"), F.sort_array(F.collect_list("_q")).alias("_q"))
-        .select(*keys, "group.*", F.col("_q.q").alias("q"))
+    found = (
+        ranked.select(*keys, F.struct("i", quantile.alias("q")).alias("_q"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list("_q")).alias("_q"))
     )
+    return found.join(groups.drop("brackets"), keys).withColumn("q", F.col("_q.q")).drop("_q")
 
 
-# groups up to this size are ranked in one piece
-ONE_PIECE = 10_000
-
+def ecdf(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Empirical distribution function of ``values(keys, value)``: ``(keys, value, n, cum, ecdf)``.
 
-def ecdf(packed: DataFrame, keys: Sequence[str], x: str, pieces: int = 256) -> DataFrame:
-    """Empirical distribution function: ``(keys, value, n, cum, ecdf)`` per distinct value.
-
-    Equal values collapse first.  Sketched quantiles then cut each group's
-    value range into about ``pieces`` even ranges; ranking happens within a
-    range and the counts of lower ranges are added, so no group meets in a task.
+    Equal values collapse first, before the exchange.  What is left is dealt by
+    ranges of (keys, value), so a large group spreads over as many ranges as it
+    needs; ranking happens within a range, and the counts of lower ranges are
+    added.  The ranges are written to the shared folder when this is called.
     """
     keys = list(keys)
-    values = packed.select(*keys, F.explode(F.col("obs").getField(x)).alias("value"))
-    cuts = values.groupBy(*keys).agg(
-        F.count("value").alias("_n"),
-        F.percentile_approx(
-            "value", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts"),
-    ).select(
-        *keys, F.expr(f"if(_n > {ONE_PIECE}, _cuts, array())").alias("_cuts"),
-    ).withColumn("_coarse", F.expr(
-        f"transform(sequence(1, {pieces // 16}), i -> get(_cuts, 16 * i - 1))"))
-    # first among every 16th cut, then among the 16 that follow
-    coarse = "size(filter(_coarse, c -> c < value))"
-    counts = (
-        attach(packed, keys, cuts)
-        .select(*keys, "_cuts", "_coarse", F.explode(F.col("obs").getField(x)).alias("value"))
-        .withColumn("_from", F.expr(coarse))
-        .withColumn("_piece", F.expr(
-            "16 * _from + size(filter(slice(_cuts, 16 * _from + 1, 16), c -> c < value))"))
-        .groupBy(*keys, "_piece", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    piece = Window.partitionBy(*keys)
+    counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.repartitionByRange(*keys, "value").withColumn("_piece", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
     offsets = counts.groupBy(*keys, "_piece").agg(F.sum("n").alias("_in")).select(
         *keys, "_piece",
-        (F.sum("_in").over(piece.orderBy("_piece")) - F.col("_in")).alias("_below"),
-        F.sum("_in").over(piece).alias("_all"),
+        (F.sum("_in").over(group.orderBy("_piece")) - F.col("_in")).alias("_below"),
+        F.sum("_in").over(group).alias("_all"),
     )
     within = Window.partitionBy(*keys, "_piece").orderBy("value")
     return (

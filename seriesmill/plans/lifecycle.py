@@ -66,7 +66,7 @@ def analyse(
         "coefficients": arma.coef_table(model, keys, level),
         "fitted": fitted,
         "accuracy": diagnostics.accuracy_measures(fitted, keys, t, blocking=blocking),
-        "histogram": diagnostics.fd_histogram(residuals, keys, t, "resid", blocking),
+        "histogram": diagnostics.fd_histogram(residuals, keys, t, "resid"),
         "ljung_box": diagnostics.ljung_box(residuals, keys, t, "resid", lag, fit_df, blocking),
         "acf": diagnostics.acf(residuals, keys, t, "resid", blocking=blocking),
         "forecast": ahead,

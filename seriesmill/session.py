@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of one small row per group is sent to every task.
+SENT = 100_000
+
+
+def per_group(df: DataFrame) -> DataFrame:
+    """A table of one row per group, computed once and kept; sent to every task if it is small.
+
+    Joined with rows, a small one spares them the exchange.  One of more than
+    ``SENT`` rows is joined as Spark sees fit, which splits groups that stand out.
+    """
+    kept = stored(df)
+    return F.broadcast(kept) if kept.limit(SENT + 1).count() <= SENT else kept

@@ -122,3 +122,23 @@ def test_csv_needs_a_schema_and_fails_on_bad_values(spark, tmp_path):
         read_series(spark, str(path), fmt="csv")
     with pytest.raises(Exception):
         read_series(spark, str(path), "hour int, price double", "csv").collect()
+
+
+@pytest.mark.parametrize("row", [("weekday", 24, "light"), ("Sunday", 3, "light"), (None, 3, "light")])
+def test_unknown_load_steps_stop_the_job(spark, row):
+    steps = spark.createDataFrame([("weekday", 1, "light"), row], "day_type string, hour int, load_step string")
+    hourly = hours(spark, [("a", datetime(2024, 1, 1, 1), 1.0)])
+    holidays = spark.createDataFrame([], "d date")
+    with pytest.raises(Exception, match="unknown day type or hour"):
+        load_step_join(hourly, "ts", holidays, steps).collect()
+
+
+def test_publications_without_a_price_and_ties(spark):
+    hourly = hours(spark, [("a", datetime(2020, 11, 7, 0), 1.0)])
+    weekly = spark.createDataFrame(
+        [("a", date(2020, 11, 4), 90.0), ("a", date(2020, 11, 6), None)], "series string, pub_date date, price double")
+    got = weekly_hourly_align(hourly, weekly, ["series"], "ts", step_column=None).collect()
+    assert [r.weekly for r in got] == [90.0]
+    tied = weekly.unionByName(weekly.replace(90.0, 91.0))
+    with pytest.raises(Exception, match="two weekly prices"):
+        weekly_hourly_align(hourly, tied, ["series"], "ts", step_column=None).collect()

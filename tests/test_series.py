@@ -158,9 +158,9 @@ def test_histogram_without_quartile_spread_and_with_empty_bins(make):
 def test_quantiles_match_numpy_also_through_narrow_brackets(make, accuracy):
     from seriesmill.operators.quantiles import exact_quantiles
     heavy = np.concatenate([RNG.normal(size=3000) ** 3, np.zeros(1500)])
-    packed = pack(make({"a": heavy, "b": WALK}), K, "t", ["x"], Blocking(100))
+    values = make({"a": heavy, "b": WALK}).select(*K, F.col("x").alias("v"))
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    got = table(exact_quantiles(packed, K, "x", probs, accuracy), "series")
+    got = table(exact_quantiles(values, K, probs, accuracy), "series")
     assert np.allclose(got["a",].q, np.quantile(heavy, probs), atol=0, rtol=1e-12)
     assert np.allclose(got["b",].q, np.quantile(WALK, probs))
     assert got["a",].n == 4500 and got["a",].max == heavy.max()
@@ -228,3 +228,39 @@ def test_tails_and_quantiles(spark):
                       10: 2.22813885, 29: 2.04522964, 30: 2.04227246, 100: 1.98397152}.items():
         assert value(t_value(0.95, F.lit(float(df)))) == pytest.approx(point, abs=2e-7)
     assert value(t_value(0.95, F.lit(0.0))) is None
+
+
+def test_a_large_group_is_ranked_in_several_pieces(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(0, 20_000, 60_000) / 8, np.full(30_000, 99.5)])
+    df = spark.createDataFrame(
+        [("a", i, float(v)) for i, v in enumerate(x)] + [("b", 1, 2.0)], "series string, t int, diff double")
+    got = diff_ecdf(df, K, "t").where("series = 'a'").orderBy("value").collect()
+    distinct, counts = np.unique(x, return_counts=True)
+    assert [r.value for r in got] == distinct.tolist()
+    assert [r.cum for r in got] == counts.cumsum().tolist()
+    assert got[-1].ecdf == 1.0
+
+
+def test_a_far_value_does_not_widen_bins(make):
+    df = make({"a": [*np.linspace(0, 1, 999), 1e9]})
+    with pytest.raises(Exception, match="max_bins"):
+        fd_histogram(df, K, "t", "x").collect()
+    bars = fd_histogram(df, K, "t", "x", max_bins=None).orderBy("bin").collect()
+    assert sum(r.n for r in bars) == 1000
+    assert len(bars) > 5 and bars[0].hi - bars[0].lo < 0.2
+
+
+def test_rows_at_one_time_stop_the_tail(make):
+    df = make({"a": [1, 2, 3, 4]}, {"a": [1, 2, 3, 3]})
+    with pytest.raises(Exception, match="share a time"):
+        series_tail(df, K, "t", "x", 1).collect()
+    with pytest.raises(Exception, match="share a time"):
+        holdout(df, K, "t", "x", 3).collect()
+    assert series_tail(make({"a": [1, 2, 3]}), K, "t", "x", 2).count() == 2
+
+
+def test_lags_beyond_the_halo_stop_the_job(make):
+    from seriesmill.operators.moments import lag_products_to
+    with pytest.raises(Exception, match="lags beyond 3"):
+        lag_products_to(make({"a": WALK}), K, "t", "x", F.lit(4), 3).collect()
