@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators import arma, diagnostics, forecast
 from seriesmill.operators.align import load_step_join, weekly_hourly_align, weekly_hourly_diff
 from seriesmill.operators.arma import Arma
-from seriesmill.operators.blocks import lagged
+from seriesmill.operators.blocks import Blocking, lagged
 from seriesmill.operators.derive import (
     cc_returns, frac_diff, holdout, series_tail, train_holdout_split,
 )
@@ -425,6 +425,38 @@ def q_ar_fit_suppliers(spark, sf):
         arma.arma_fit_hr(daily_suppliers(spark, sf), SERIES, "day", "price", 2, 0, True))
 
 
+# ---- the same with many blocks per series -------------------------------------------------------
+
+#: Four days of hours per block: the hourly series have dozens of blocks each.
+SHORT = Blocking(rows=96)
+
+
+def q_lagged_blocks(spark, sf):
+    rows = lagged(hourly(spark, sf), SERIES, "ts", "price", 3, SHORT)
+    return show(rows, "series", "pos", text=("ts",), price=2, price_1=2, price_3=2)
+
+
+def q_acf_blocks(spark, sf):
+    return show(diagnostics.acf(hourly(spark, sf), SERIES, "ts", "price", blocking=SHORT), "series", "lag",
+                rho=6, limit=6)
+
+
+def q_arma_residuals_blocks(spark, sf):
+    prices = hourly(spark, sf)
+    models = model_table(prices, MODEL.phi, MODEL.theta)
+    return show(arma.arma_residuals(prices, SERIES, "ts", "price", models, 3, SHORT),
+                "series", text=("ts",), x=2, fitted=6, resid=6)
+
+
+def q_arma_fit_hr_blocks(spark, sf):
+    return coefficients(arma.arma_fit_hr(filtered(spark, sf), SERIES, "ts", "y", 3, 1, blocking=SHORT))
+
+
+def q_order_leaderboard_blocks(spark, sf):
+    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y", max_q=0, blocking=SHORT)
+    return show(board, "series", "p", "q", "with_mean", "rank", sse=2, aic=4, aicc=4, bic=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_series": scan_series,
     "series_select": q_series_select,
@@ -465,4 +497,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_search_ar": q_order_search_ar,
     "order_leaderboard_arma": q_order_leaderboard_arma,
     "order_search": q_order_search,
+    "lagged_blocks": q_lagged_blocks,
+    "acf_blocks": q_acf_blocks,
+    "arma_residuals_blocks": q_arma_residuals_blocks,
+    "arma_fit_hr_blocks": q_arma_fit_hr_blocks,
+    "order_leaderboard_blocks": q_order_leaderboard_blocks,
 }

@@ -590,3 +590,7 @@ ORACLES["order_search_ar"] = query(
     *FILTERED, *ar_board(), *ranked("ar_orders"))
 ORACLES["order_leaderboard_arma"] = query(
     BOARD, *FILTERED, *ar_board(), *arma_board(), *ranked("all_orders"))
+
+# the same results, whatever the number of blocks
+for _name in ("lagged", "acf", "arma_residuals", "arma_fit_hr", "order_leaderboard"):
+    ORACLES[f"{_name}_blocks"] = ORACLES[_name]

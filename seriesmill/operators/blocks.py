@@ -31,7 +31,9 @@ class Blocking:
     timestamps (default one hour), days for dates, units for whole numbers
     (default 1).  As ``(series, t)`` is unique, a block then holds at most
     ``rows`` observations, and the summary at most ``length / rows`` per series.
-    ``fitted_blocking`` measures the grain where it is not known.
+    ``fitted_blocking`` measures the grain where it is not known: rows closer
+    together than ``grain`` make blocks larger, rows further apart make more of
+    them than needed.
     """
 
     rows: int = 4096
@@ -40,20 +42,22 @@ class Blocking:
     def block_id(self, df: DataFrame, t: str) -> Column:
         kind = df.schema[t].dataType
         at = F.col(t)
+        per_grain = 1
         if isinstance(kind, T.DateType):
             units, grain = F.unix_date(at).cast("long"), 1
         elif isinstance(kind, T.TimestampType):
-            units, grain = F.unix_seconds(at), 3600
+            units, grain, per_grain = F.unix_micros(at), 3600, 1_000_000
         elif isinstance(kind, T.TimestampNTZType):
             # calendar arithmetic: independent of the session time zone
-            seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-            units, grain = F.unix_date(F.to_date(at)).cast("long") * 86400 + seconds, 3600
+            minutes = (F.unix_date(F.to_date(at)).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
+            units = minutes * 60_000_000 + (F.date_part(F.lit("SECONDS"), at) * 1_000_000).cast("long")
+            grain, per_grain = 3600, 1_000_000
         elif isinstance(kind, T.IntegralType):
             units, grain = at.cast("long"), 1
         else:
             raise TypeError(f"{t} must be a date, timestamp or whole number, not {kind}")
-        width = max(1, round(self.rows * (self.grain or grain)))
-        return F.floor(units / F.lit(width)).cast("long")
+        width = max(1, round(self.rows * (self.grain or grain) * per_grain))
+        return F.floor((units - F.pmod(units, F.lit(width))) / F.lit(width)).cast("long")
 
 
 DEFAULT = Blocking()
@@ -62,21 +66,40 @@ DEFAULT = Blocking()
 def fitted_blocking(
     df: DataFrame, keys: Sequence[str], t: str, rows: int = DEFAULT.rows,
 ) -> Blocking:
-    """Blocking under which no block of ``df`` holds more than ``rows`` observations.
-
-    Runs a few counting jobs that read only keys and time: the fullest block is
-    counted, and the width reduced in proportion until it fits (or is one unit).
+    """Blocking measured on ``df``, whatever its spacing: no block holds more than ``rows`` observations,
+    and the fullest at least half as many, if there are that many.
+
+    Runs a few counting jobs that read only keys and time.  The fullest block is
+    counted, and the width changed in proportion: narrower for dense data, wider
+    for sparse.  If more than ``rows`` observations of a series share one unit of
+    time (a day, a microsecond, a whole number), no blocking can be fitted and
+    ValueError is raised.
     """
     daily = isinstance(df.schema[t].dataType, (T.DateType, T.IntegralType))
+    least = 1 / rows if daily else 1e-6 / rows
     grain = 1.0 if daily else 3600.0
     known = df.where(F.col(t).isNotNull())
-    while True:
+    fits = None
+    for _ in range(24):
         blocking = Blocking(rows, grain)
         counts = known.groupBy(*keys, blocking.block_id(df, t).alias(BLOCK)).count()
-        fullest = counts.agg(F.max("count")).first()[0] or 0
-        if fullest <= rows or round(rows * grain) <= 1:
-            return blocking
-        grain *= rows / fullest
+        fullest, most = counts.agg(F.max("count"), F.count(F.lit(1)) - F.count_distinct(*keys)).first()
+        fullest = fullest or 0
+        if fullest <= rows:
+            fits = blocking
+            if 2 * fullest >= rows or not most:
+                return fits
+            # not quite to the brim, as the fullest of the wider blocks may be fuller
+            grain *= max(2.0, 0.8 * rows / max(fullest, 1))
+        elif fits is not None:
+            return fits
+        elif grain <= least:
+            raise ValueError(f"{fullest} observations of a series share one unit of time; blocks hold {rows}")
+        else:
+            grain = max(least, grain * rows / fullest * 0.8)
+    if fits is None:
+        raise ValueError("the spacing of times is too uneven to fit blocks")
+    return fits
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:

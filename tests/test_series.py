@@ -264,3 +264,26 @@ def test_lags_beyond_the_halo_stop_the_job(make):
     from seriesmill.operators.moments import lag_products_to
     with pytest.raises(Exception, match="lags beyond 3"):
         lag_products_to(make({"a": WALK}), K, "t", "x", F.lit(4), 3).collect()
+
+
+@pytest.mark.parametrize("seconds", [0.001, 1, 3600, 86_400, 604_800])
+def test_blocks_fit_any_spacing(spark, seconds):
+    from datetime import datetime, timedelta
+
+    start = datetime(2020, 1, 1)
+    times = [("a", start + timedelta(seconds=seconds * i), float(i)) for i in range(3000)]
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(times, "series string, t timestamp, x double")
+        df = df.withColumn("t", F.col("t").cast(kind))
+        fitted = fitted_blocking(df, K, "t", 100)
+        sizes = [r.s for r in pack(df, K, "t", ["x"], fitted).select(F.size("obs").alias("s")).collect()]
+        assert sum(sizes) == 3000
+        assert max(sizes) <= 100
+        assert len(sizes) <= 2 * 3000 / 100 + 2
+
+
+def test_blocks_that_cannot_fit(spark):
+    df = spark.createDataFrame([("a", 1, 1.0)] * 20, "series string, t int, x double")
+    with pytest.raises(ValueError, match="share one unit"):
+        fitted_blocking(df, K, "t", 10)
+    assert fitted_blocking(df.limit(0), K, "t", 10).rows == 10
