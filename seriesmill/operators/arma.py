@@ -35,6 +35,9 @@ from .moments import block_products, gram
 LONG_AR = 10
 SEARCH_SKIP = 5
 
+#: Blocks whose recursions run side by side.
+TOGETHER = 256
+
 VECTOR = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(VECTOR)
 POINT = T.StructType().add("coef", VECTOR).add("cross", VECTOR).add("step", T.DoubleType())
@@ -324,21 +327,27 @@ def residual_values(
     values: pd.Series, own: pd.Series, skip: pd.Series, model: pd.Series, start: pd.Series,
 ) -> pd.Series:
     out = []
-    for v, n, s, m, begin in zip(values, own, skip, model, start):
-        p, q = int(m[0]), int(m[1])
-        y = np.nan_to_num(np.asarray(v, float)[len(v) - n - p:] - m[2])
-        s = min(int(s), n)
-        u = y[p:].copy()
-        for i in range(p):
-            u -= m[3 + i] * y[p - 1 - i:p - 1 - i + n]
-        u[:s] = 0.0
-        # plain floats: one series is a scalar recursion
-        theta, e = [float(c) for c in m[3 + p:3 + p + q]], [float(c) for c in reversed(begin)]
-        for value in u.tolist():
-            for j in range(q):
-                value -= theta[j] * e[-1 - j]
-            e.append(value)
-        out.append([None] * s + e[q + s:])
+    for at in range(0, len(values), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        rows = list(zip(values[part], own[part], skip[part], model[part], start[part], strict=True))
+        most_q = max(int(m[1]) for *_, m, _ in rows)
+        shocks = np.zeros((max((int(n) for _, n, *_ in rows), default=0), len(rows)))
+        theta, before = np.zeros((most_q, len(rows))), np.zeros((most_q, len(rows)))
+        for column, (v, n, s, m, begin) in enumerate(rows):
+            p, q, n = int(m[0]), int(m[1]), int(n)
+            y = np.nan_to_num(np.asarray(v, float)[len(v) - n - p:] - m[2])
+            u = y[p:].copy()
+            for i in range(p):
+                u -= m[3 + i] * y[p - 1 - i:p - 1 - i + n]
+            u[:min(int(s), n)] = 0.0
+            shocks[:n, column] = u
+            theta[:q, column] = m[3 + p:3 + p + q]
+            before[most_q - q:, column] = np.asarray(begin, float)[::-1]
+        # one step of all blocks at a time; shorter blocks run on over zeros, unread
+        found = recursion.recurse(shocks, theta, before)[most_q:]
+        for column, (_, n, s, *_) in enumerate(rows):
+            s = min(int(s), int(n))
+            out.append([None] * s + found[s:int(n), column].tolist())
     return pd.Series(out)
 
 
