@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -17,43 +22,98 @@ MAGIC = b"DAC1"
 CHUNK, BLOCK = 8, 512
 #: Ids after which a task closes a file and opens the next; what one row of the table holds.
 FILE_IDS = 1 << 20
-#: Words whose ids a task remembers; beyond, it forgets them all and goes on.
+#: Parts of texts whose ids a Python worker remembers; beyond, it forgets those that did not come back.
 REMEMBERED = 400_000
+#: Texts that are encoded together.
+TOGETHER = 256
 #: Characters that Python's split takes for white space and the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Texts of these characters only are split here: ASCII and letters that have one lower form and are
+#: composed already.  The pattern is the vocabulary's own, for lowered texts.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each word once.
+    """Ids of whole texts by the tokenizers library, which sees each part of a text once.
 
-    Only for vocabularies that drop white space before they merge: then a text's
-    ids are its words' ids, one after the other.
+    For vocabularies that lower case, split texts into words, digits and marks,
+    and drop white space before they merge: then a text's ids are those of its
+    parts, one after the other.  Texts with other characters are cut at white
+    space only, which all such vocabularies allow.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        # Spark has a task per core already; the library's own threads would only wait for one another
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
+        self.parts: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        # a lone zero is a word of one id, and parts many words that are encoded in one call
+        mark = self._ids("0")
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.special = "<|"  # how special tokens start; texts that hold one keep their case
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of some parts, encoded together where no zero or special token is in them."""
+        apart = [p for p in parts if "0" in p or "<" in p or self.mark is None]
+        together = list(set(parts).difference(apart)) if apart else parts
+        for p in apart:
+            self.parts[p] = self._ids(p).tobytes()
+        if not together:
+            return
+        ids = self._ids(" 0 ".join(together))
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+        data, start = ids.tobytes(), 0
+        for p, end in zip(together, ends.tolist(), strict=True):
+            self.parts[p] = data[start:end]
+            start = end + 4
 
     def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; NULL and empty texts have none."""
-        if not text:
-            return b""
-        if any(c in text for c in SEPARATORS):
-            return next(self._ids([text]))
-        words, known = text.split(), self.known
-        new = list(set(words).difference(known))
+        whole: dict[int, bytes] = {}
+        split: list[list[str]] = []
+        for k, t in enumerate(texts):
+            if not t:
+                split.append([])
+            elif self.special not in t and PLAIN.fullmatch(t):
+                split.append(PARTS.findall(t.lower()))
+            elif any(c in t for c in SEPARATORS):
+                whole[k] = self._ids(t).tobytes()
+                split.append([])
+            else:
+                split.append(t.split())
+        parts = self.parts
+        here = set(chain.from_iterable(split))
+        new = here.difference(parts)
+        if len(parts) + len(new) > REMEMBERED:
+            stay = self.again if len(self.again) < REMEMBERED // 2 else set()
+            self.parts = parts = {p: ids for p, ids in parts.items() if p in stay}
+            self.again = set()
+            new = here.difference(parts)
+        else:
+            self.again.update(here.difference(new))
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
+            self._learn(list(new))
+        return [whole.get(k) or b"".join(map(parts.__getitem__, found)) for k, found in enumerate(split)]
+
+
+def worker_encoder(spec: str) -> WordEncoder:
+    """The encoder of this Python worker.  Spark uses a worker for many tasks, so what one learnt serves
+    the next; a new worker starts empty and gives the same ids."""
+    place = sys.modules.setdefault("seriesmill_worker", ModuleType("seriesmill_worker"))
+    key = zlib.crc32(spec.encode())
+    if getattr(place, "encoder_key", None) != key:
+        place.encoder, place.encoder_key = WordEncoder(spec), key
+    return place.encoder
 
 
 def pack_ids(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -164,7 +224,7 @@ def write_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, piece = WordEncoder(spec), TaskContext.get().partitionId()
+        encoder, piece = worker_encoder(spec), TaskContext.get().partitionId()
         keys: list[str | None] = []
         parts: list[bytes] = []
         held = seq = 0
@@ -176,15 +236,17 @@ def write_ids(
                                  "payload": [pack_ids(ids, ends)]})
 
         for frame in frames:
-            for key, t in zip(frame["key"], frame["text"], strict=True):
-                keys.append(key)
-                parts.append(encoder.encode(t) + end)
-                held += len(parts[-1]) // 4
-                if held >= file_ids:
-                    yield close()
-                    keys.clear()
-                    parts.clear()
-                    held, seq = 0, seq + 1
+            for at in range(0, len(frame), TOGETHER):
+                some = frame[at:at + TOGETHER]
+                for key, ids in zip(some["key"], encoder.encode_all(some["text"].tolist()), strict=True):
+                    keys.append(key)
+                    parts.append(ids + end)
+                    held += len(parts[-1]) // 4
+                    if held >= file_ids:
+                        yield close()
+                        keys.clear()
+                        parts.clear()
+                        held, seq = 0, seq + 1
         if parts:
             yield close()
 
