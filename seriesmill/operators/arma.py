@@ -517,8 +517,8 @@ def order_leaderboard(
     All candidates come from one set of lagged cross-products.  Plain AR sums of
     squares follow from it too; models with MA terms are scored in one more
     pass that runs every candidate over a block; with MA terms the estimates are
-    computed when called.  All condition on the same first 5 rows, so the
-    criteria are comparable.
+    computed when called.  All condition on the same first 5 rows, or as many as
+    the largest p, so the criteria are comparable.
     """
     depth = search_depth(max_p, max_q, max_order)
     packed = series_blocks(df, keys, t, x, depth, blocking)
@@ -526,15 +526,19 @@ def order_leaderboard(
     return _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
 
 
+def search_skip(max_p: int, max_q: int, max_order: int | None) -> int:
+    """Leading rows that every candidate is conditioned on."""
+    return max(SEARCH_SKIP, max(p for p, _ in candidate_orders(max_p, max_q, max_order)))
+
+
 def search_depth(max_p: int, max_q: int, max_order: int | None) -> int:
-    if max_p > SEARCH_SKIP:
-        raise ValueError(f"max_p must not exceed {SEARCH_SKIP}")
-    return max(hr_depth(p, q) for p, q in candidate_orders(max_p, max_q, max_order))
+    return max(search_skip(max_p, max_q, max_order), *(
+        hr_depth(p, q) for p, q in candidate_orders(max_p, max_q, max_order)))
 
 
 def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> DataFrame:
     keys = list(keys)
-    depth = search_depth(max_p, max_q, max_order)
+    depth, skip = search_depth(max_p, max_q, max_order), search_skip(max_p, max_q, max_order)
     orders = list(candidate_orders(max_p, max_q, max_order))
     found = estimates(products, keys, orders, means, depth).drop("used").where(
         F.col("coef").isNotNull())
@@ -546,7 +550,7 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
                          vector(model_columns()).alias("trial"))
         per_series = mixed.groupBy(*keys).agg(F.sort_array(F.collect_list(trial)).alias("_all"))
         tried = per_series.select(
-            *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(SEARCH_SKIP).alias("drop"))
+            *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(skip).alias("drop"))
         sums = (
             reports(attach(packed, keys, tried.select(*keys, "drop", "trials")),
                     keys, x, max_p, False).join(tried, keys)
@@ -557,7 +561,7 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
         )
         found = found.where("q = 0").unionByName(sums)
     parameters = F.expr("p + q + int(with_mean)")
-    used = F.col("n") - SEARCH_SKIP
+    used = F.col("n") - skip
     scored = found.withColumns({
         "n_used": used, **criteria(used, F.col("sse"), parameters)})
     rank = Window.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "with_mean")

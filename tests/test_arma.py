@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmill.operators import recursion
+from seriesmill.operators import arma, recursion
 from seriesmill.operators.arma import (
     Arma, arma_evaluate, arma_fit_css, arma_fit_hr, arma_residuals, coef_table,
     order_leaderboard, order_search,
@@ -273,3 +273,17 @@ def test_analysis_with_the_order_found(make):
     for r in ahead:
         assert r.se == pytest.approx(math.sqrt(models[r.series].sigma2))
     result["fitted"].unpersist()
+
+
+def test_a_search_beyond_five_lags(make):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=400)
+    for i in range(7, 400):
+        x[i] += 0.5 * x[i - 7]
+    board = arma.order_leaderboard(make({"a": x}), K, "t", "x", max_p=7, max_q=0, max_order=None, means=(False,))
+    got = {r.p: r.sse for r in board.collect()}
+    for p in (1, 5, 7):
+        lags = np.column_stack([x[7 - i:400 - i] for i in range(1, p + 1)])
+        rest = x[7:] - lags @ np.linalg.lstsq(lags, x[7:], rcond=None)[0]
+        assert got[p] == pytest.approx(rest @ rest, rel=1e-9)
+    assert board.where("rank = 1").first().p == 7
