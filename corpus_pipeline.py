@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm.decontaminate import drop_contaminated
 from seriesmill.llm.exact_dedup import drop_exact_copies
-from seriesmill.llm.pieces import decode_pieces, encode_pieces
+from seriesmill.llm.pieces import round_trip
 from seriesmill.llm.quality import drop_low_quality
 from seriesmill.llm.simhash import drop_near_copies
 from seriesmill.session import shared_folder
@@ -41,8 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, as ids; decoded again, which gives the text back."""
-    decoded = decode_pieces(encode_pieces(docs, MODEL), MODEL)
-    return decoded.select(
+    return round_trip(docs, MODEL).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -25,7 +25,9 @@ SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Rows that leave a task together.
+TOGETHER = 512
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -351,6 +353,27 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     return rows.mapInPandas(run, "key string, ids binary").select(F.col("key").cast(kind).alias("doc_id"), "ids")
 
 
+def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded``: ``encode_pieces`` and ``decode_pieces`` in one pass over the texts.
+
+    Rows leave a few hundred at a time, so a task holds little beside the batch it reads.
+    """
+    pieces = read_model(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = Encoder(pieces), Decoder(pieces)
+        for frame in frames:
+            for at in range(0, len(frame), TOGETHER):
+                some = frame[at:at + TOGETHER]
+                ids = [encoder.encode(t) for t in some["text"]]
+                yield pd.DataFrame({"key": some["key"].to_numpy(), "ids": ids, "decoded": [decoder.decode(x) for x in ids]})
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).cast("string").alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "key string, ids binary, decoded string").select(
+        F.col("key").cast(kind).alias("doc_id"), "ids", "decoded")
+
+
 def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The table with one more column, the decoded text.  NULL ids decode to an empty text."""
     pieces = read_model(model)

@@ -13,7 +13,7 @@ from ..session import shared_folder
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .html_text import extract_main_text, learn_weights
-from .pieces import decode_pieces, encode_pieces
+from .pieces import round_trip
 from .quality import quality_scores
 from .sharding import histogram_shards
 from .simhash import simhash_components
@@ -59,8 +59,7 @@ def op3_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    encoded = encode_pieces(table(spark, sf, "documents"), PIECES)
-    return decode_pieces(encoded, PIECES).select(
+    return round_trip(table(spark, sf, "documents"), PIECES).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -11,7 +11,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seriesmill.llm.pieces import Decoder, Encoder, decode_pieces, encode_pieces, merged, read_model
+from seriesmill.llm.pieces import Decoder, Encoder, decode_pieces, encode_pieces, merged, read_model, round_trip
 from seriesmill.llm.sharding import histogram_shards
 from seriesmill.llm.token_files import IdFile, WordEncoder, id_checksums, pack_ids, write_ids
 
@@ -58,6 +58,8 @@ def test_pieces_of_tables(odd_docs, no_docs, tables):
             ids = [1, *LIBRARY.encode(t or ""), 2]
             theirs.append((str(i), np.array(ids, "<u4").tobytes(), LIBRARY.decode(ids)))
         assert ours == sorted(theirs)
+        both = round_trip(docs, MODEL).collect()
+        assert sorted((str(r["doc_id"]), bytes(r["ids"]), r["decoded"]) for r in both) == ours
 
 
 def test_other_models_are_refused(tmp_path):
