@@ -206,10 +206,11 @@ def learn_weights(
                         words[run.tag] += n
                         inside_words[run.tag] += n if inside else 0
                 longest = max(longest, all_words)
-        yield pd.DataFrame({
-            "tag": list(tags), "n": list(tags.values()), "inside": [inside_tags[t] for t in tags],
-            "words": [words[t] for t in tags], "inside_words": [inside_words[t] for t in tags],
-            "longest": np.full(len(tags), longest)})
+        if tags:  # a task without a labelled page has nothing to say
+            yield pd.DataFrame({
+                "tag": list(tags), "n": list(tags.values()), "inside": [inside_tags[t] for t in tags],
+                "words": [words[t] for t in tags], "inside_words": [inside_words[t] for t in tags],
+                "longest": np.full(len(tags), longest)})
 
     counted = labelled.select("html").mapInPandas(
         count, "tag string, n long, inside long, words long, inside_words long, longest long")

@@ -207,6 +207,11 @@ def test_odd_pages(spark, tables):
     assert extract_main_text(pages.limit(0), Weights()).count() == 0
 
 
+def test_tasks_without_a_labelled_page(tables):
+    pages = tables("pages").limit(3)
+    assert learn_weights(pages.repartition(9)) == learn_weights(pages)
+
+
 # ---- URLs -----------------------------------------------------------------------------
 
 def test_aliases(spark):
