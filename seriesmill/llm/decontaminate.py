@@ -204,36 +204,20 @@ def _covered(hits: list, n: int, size: int) -> tuple[int, bool]:
     return best
 
 
-def contaminated(
+JUDGED = "key string, copy long, item string, covered double, changed boolean"
+
+
+def _judged(
     docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, least: int = 3,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     sent: int = SENT,
 ) -> DataFrame:
-    """``doc_id, item_id, covered, changed``: documents that hold ``share`` of an item's windows or more.
-
-    Texts become templates: numbers, names and units turn into typed
-    placeholders.  Windows of ``window`` words, as they are and as templates,
-    are joined by hash and compared in full.  What a document and an item share
-    then counts at one place of the document, and only with consistent slots:
-    each of the item's words behind a placeholder stands for one word there and
-    the other way round.  ``changed`` tells a re-parameterised item from a copy.
-
-    Items of fewer words than ``window`` are one window; those under ``least``
-    words, and NULL texts, are in no document.  NULL ids pass through.  Rows
-    that share an id are judged one by one; the best counts.  Extra columns are
-    not read; an empty table on either side gives no rows.
-
-    A task drops windows whose hash no item has.  For that it gets the item
-    hashes, if there are at most ``sent``; with more, every window goes into the
-    join, which gives the same rows.
-    """
+    """``contaminated`` by row: id (``key``) and hash of the text (``copy``)."""
     sizes = sorted({*range(min(least, window), window), window})
     items = stored(_windows(_rows(benchmark, item_id, item_text), sizes, least, None, True))
     count = items.count()
     if not count:
-        found = docs.select(F.col(doc_id).alias("doc_id")).limit(0)
-        return found.select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"),
-                            F.lit(0.0).alias("covered"), F.lit(False).alias("changed"))
+        return docs.sparkSession.createDataFrame([], JUDGED)
     only = None
     if count <= sent:
         only = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
@@ -258,12 +242,35 @@ def contaminated(
                 _covered([(h["at"], h["place"], h["template"], h["item_slots"], h["slots"]) for h in hs], n, size)
                 for hs, n, size in zip(frame["hits"], frame["item_n"], frame["size"], strict=True)]
             yield pd.DataFrame({
-                "key": frame["key"], "item": frame["item"],
+                "key": frame["key"], "copy": frame["copy"], "item": frame["item"],
                 "covered": [c / (n - s + 1) for (c, _), n, s in zip(judged, frame["item_n"], frame["size"], strict=True)],
                 "changed": [x for _, x in judged]})
 
-    judged = gathered.mapInPandas(judge, "key string, item string, covered double, changed boolean")
-    best = judged.where(F.col("covered") >= share).groupBy("key", "item").agg(
+    return gathered.mapInPandas(judge, JUDGED).where(F.col("covered") >= share)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
+                 **settings) -> DataFrame:
+    """``doc_id, item_id, covered, changed``: documents that hold ``share`` of an item's windows or more.
+
+    Texts become templates: numbers, names and units turn into typed
+    placeholders.  Windows of ``window`` words, as they are and as templates,
+    are joined by hash and compared in full.  What a document and an item share
+    then counts at one place of the document, and only with consistent slots:
+    each of the item's words behind a placeholder stands for one word there and
+    the other way round.  ``changed`` tells a re-parameterised item from a copy.
+
+    Items of fewer words than ``window`` are one window; those under ``least``
+    words, and NULL texts, are in no document.  NULL ids pass through.  Rows
+    that share an id are judged one by one; the best counts.  Extra columns are
+    not read; an empty table on either side gives no rows.
+
+    A task drops windows whose hash no item has.  For that it gets the item
+    hashes, if there are at most ``sent``; with more, every window goes into the
+    join, which gives the same rows.
+    """
+    judged = _judged(docs, benchmark, doc_id=doc_id, item_id=item_id, **settings)
+    best = judged.groupBy("key", "item").agg(
         F.max(F.struct("covered", (~F.col("changed")).alias("same"))).alias("best"))
     return best.select(
         F.col("key").cast(docs.schema[doc_id].dataType).alias("doc_id"),
@@ -279,8 +286,13 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **settings,
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings,
 ) -> DataFrame:
-    """The rows of ``docs`` whose id holds no benchmark item, with all columns."""
-    gone = contaminated(docs, benchmark, doc_id=doc_id, **settings).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all columns.
+
+    Rows go by id and text: a clean row stays, whatever other rows share its id or have none.
+    """
+    gone = _judged(docs, benchmark, doc_id=doc_id, text=text, **settings).select(
+        F.col("key").cast(docs.schema[doc_id].dataType).alias("__gone"), F.col("copy").alias("__copy")).distinct()
+    same = docs[doc_id].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text]) == F.col("__copy"))
+    return docs.join(gone, same, "left_anti")

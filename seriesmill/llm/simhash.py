@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -47,16 +47,19 @@ def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """``id, fp`` per row; ``fp`` is the fingerprint as a signed long.  NULL text: no words."""
+    """``id, copy, fp`` per row: ``copy`` is a hash of the text, ``fp`` the fingerprint as a signed
+    long.  NULL text: no words."""
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             values = [fingerprint(t or "", shingle) for t in frame["text"]]
             frame["fp"] = np.array(values, dtype=np.uint64).view(np.int64)
-            yield frame[["id", "fp"]]
+            yield frame[["id", "copy", "fp"]]
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(
+        F.col(doc_id).cast("string").alias("id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(compute, "id string, fp long").select(F.col("id").cast(kind).alias("id"), "fp")
+    return rows.mapInPandas(compute, "id string, copy long, fp long").select(
+        F.col("id").cast(kind).alias("id"), "copy", "fp")
 
 
 def _tree(a: np.ndarray, b: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +150,19 @@ def fingerprint_links(classes: DataFrame, distance: int = 4, tile: int = TILE) -
     return met.groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
+def _placed(
+    docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, tile: int, first: Column,
+) -> DataFrame:
+    """``id, copy, fp, component`` per row; ``component`` is the least ``first``, an aggregate, of all linked rows."""
+    rows = stored(fingerprints(docs, doc_id, text, shingle))
+    classes = stored(rows.groupBy("fp").agg(first.alias("first")))
+    roots = connected_components(fingerprint_links(classes, distance, tile))
+    roots = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first")
+    named = roots.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.join(roots.select("fp", "root").join(named, "root").select("fp", "component"), "fp")
+
+
 def simhash_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4,
     tile: int = TILE,
@@ -160,33 +176,33 @@ def simhash_components(
     nothing else has a NULL id.  Other columns are not read; an empty table
     gives an empty result.  Repeated rows each get a row.
     """
-    rows = stored(fingerprints(docs, doc_id, text, shingle))
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(fingerprint_links(classes, distance, tile))
-    roots = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(docs, doc_id, text, shingle, distance, tile, F.min("id")).select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"))
 
 
 def drop_near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the smallest id.
+    """The rows of ``docs`` that stay, with all columns: of each component the smallest id, NULL last.
 
-    An id names a document: rows that share it stay or go together, and of equal
-    rows with one id one stays.  Where a component has only NULL ids its rows stay.
+    Rows are judged by id and text, so rows that share an id, or have none, stay
+    or go by themselves.  Of a component's rows with its smallest id the one
+    with the smallest hash of its text stays, and of equal rows one.
     """
-    found = stored(simhash_components(docs, doc_id, text, shingle, distance))
-    per_id = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = per_id.where("NOT stays").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
-    several = stored(per_id.where("stays AND rows > 1").select(F.col("doc_id").alias("__several")))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copy"))
+    found = _placed(docs, doc_id, text, shingle, distance, TILE, first)
+    stays = F.col("id").eqNullSafe(F.col("component.id")) & (F.col("copy") == F.col("component.copy"))
+    # rows that agree in id and text agree in the rest
+    judged = stored(found.groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")))
+
+    def same(rows: DataFrame) -> Column:
+        return rows[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text]) == F.col("__copy"))
+
+    left = docs.join(judged.where("NOT stays").select("__id", "__copy"), same(docs), "left_anti")
+    several = stored(judged.where("stays AND rows > 1").select("__id", "__copy"))
     if several.isEmpty():
         return left
-    same = left[doc_id].eqNullSafe(F.col("__several"))
-    many = left.join(several, same, "left_semi").dropDuplicates([doc_id, text])
-    return left.join(several, same, "left_anti").unionByName(many)
+    many = left.join(several, same(left), "left_semi").dropDuplicates([doc_id, text])
+    return left.join(several, same(left), "left_anti").unionByName(many)

@@ -143,3 +143,16 @@ def test_near_copies_are_dropped(odd_docs, no_docs):
     assert drop_near_copies(no_docs).count() == 0
     again = drop_near_copies(docs.where("doc_id = 7"))
     assert again.count() == 1
+
+
+def test_near_copies_are_judged_by_row(spark):
+    """Rows that share an id, or have none, stay or go by themselves."""
+    words = [f"word{k}" for k in range(200)]
+    first, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(words[::-1])
+    assert (brute_fingerprint(first, 4) ^ brute_fingerprint(near, 4)).bit_count() <= 4
+    rows = [(1, first), (None, near), (None, other), (2, near), (2, "something else"), (3, other + " x"), (4, "z"),
+            (None, "of no id at all"), (None, "of no id at all")]
+    assert (brute_fingerprint(other, 4) ^ brute_fingerprint(other + " x", 4)).bit_count() <= 4
+    left = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted(
+        [(1, first), (2, "something else"), (3, other + " x"), (4, "z"), (None, "of no id at all")], key=str)

@@ -149,6 +149,17 @@ def test_odd_decontamination(odd_docs, no_docs, spark):
     assert drop_contaminated(odd_docs, items.limit(0)).count() == odd_docs.count()
 
 
+def test_clean_rows_stay_whatever_their_id(odd_docs, spark):
+    items = spark.createDataFrame([(1, "same text here for all")], "item_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in drop_contaminated(odd_docs, items).collect()), key=str)
+    expected = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert (None, None) in left
+    assert left == sorted(((i, t) for i, t in expected if not (t or "").split()[:2] == ["same", "text"]), key=str)
+    docs = spark.createDataFrame([(1, "same text here for all"), (1, "clean"), (None, "same text here for all"),
+                                  (None, "clean too")], "doc_id long, text string")
+    assert {r["text"] for r in drop_contaminated(docs, items).collect()} == {"clean", "clean too"}
+
+
 # ---- pages ----------------------------------------------------------------------------
 
 def marked(page):
