@@ -20,11 +20,22 @@ UNITS = frozenset(
     "hour hours day days week weeks month months year years $ € £ dollar dollars euro euros cent cents percent mph kmh "
     "hz khz mhz ghz kb mb gb tb w kw v a °c °f degree degrees".split())
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
+# Numbers written as words, also with a hyphen between them.
+_ONES = "one two three four five six seven eight nine"
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
+NUMBER_WORDS = frozenset(
+    f"zero {_ONES} {_TENS} ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen dozen hundred "
+    "thousand million billion trillion".split()) | {f"{t}-{o}" for t in _TENS.split() for o in _ONES.split()}
+# Signs that are units also before a number.
+SIGNS = "$€£"
+ORDINAL = re.compile(r"\d[\d,]*(?:st|nd|rd|th)")
+#: A number with something written to it: a currency before, anything behind.
+ATTACHED = re.compile(rf"((?:[^\W\d_]{{0,3}}[{SIGNS}])?)([+-]?\d(?:[\d.,:/]*\d)?)(?:[-–—](?=\w))?(.*)")
 EDGES = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
 NUM, NAME, UNIT = 1, 2, 3
 #: Placeholders as they stand in a template.
 SHOWN = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
-EMPTY, ENDS, CAPITAL, DIGITS, MEASURE = 1, 2, 4, 8, 16
+EMPTY, ENDS, CAPITAL, DIGITS, MEASURE, SIGN, PARTS = 1, 2, 4, 8, 16, 32, 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED = 400_000
@@ -32,6 +43,22 @@ REMEMBERED = 400_000
 SENT = 2_000_000
 
 
+def _parts(raw: str, core: str) -> list[str]:
+    """What a word with a number and something written to it consists of; other words: nothing."""
+    found = ATTACHED.fullmatch(core) if core else None
+    if not found:
+        return []
+    sign, number, rest = found.groups()
+    parts = [p for p in (sign, number, rest) if p]
+    if len(parts) < 2:
+        return []
+    # what stands around the core, such as the end of a sentence, stays where it is
+    at = raw.index(core)
+    parts[0] = raw[:at] + parts[0]
+    parts[-1] += raw[at + len(core):]
+    return parts
+
+
 class Templates:
     """Cuts texts into words, types them, and hashes windows; one per task."""
 
@@ -39,6 +66,7 @@ class Templates:
         self.window = window
         self.places: dict[str, int] = {}
         self.words: list[str] = []
+        self.parts: dict[int, list[int]] = {}
         self.flags = np.zeros(1024, np.uint8)
         self.hashes = np.zeros(1024, np.uint64)
         self.typed = np.array([0] + [xxhash.xxh64_intdigest(SHOWN[k]) for k in (NUM, NAME, UNIT)], np.uint64)
@@ -54,26 +82,41 @@ class Templates:
             word = core.lower()
             flags = (not word) * EMPTY | (raw[-1:] in ".!?:" or raw[-2:-1] in ".!?") * ENDS
             flags |= (core[:1].isupper() and core[1:].islower()) * CAPITAL
-            flags |= bool(NUMBER.fullmatch(word)) * DIGITS | (word in UNITS) * MEASURE
+            number = word in NUMBER_WORDS or bool(NUMBER.fullmatch(word) or ORDINAL.fullmatch(word))
+            flags |= number * DIGITS | (word in UNITS) * MEASURE | (word[-1:] in SIGNS and bool(word)) * SIGN
+            parts = [] if number else _parts(raw, core)
+            flags |= bool(parts) * PARTS
             self.words.append(word)
             self.flags[place] = flags
             self.hashes[place] = xxhash.xxh64_intdigest(word.encode())
+            if parts:
+                self.parts[place] = [q for part in parts for q in self._split(part)]
         return place
 
+    def _split(self, raw: str) -> list[int]:
+        place = self._place(raw)
+        return self.parts.get(place, [place])
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Per word its place in ``words`` and its type (0: itself).
 
-        A number is a number; a unit is a unit word after one; a name is a
-        capitalised word that does not start a sentence or line.
+        A number is a number, in digits, as an ordinal or as a word; a unit is a
+        unit word after one, or a currency sign next to one; a name is a
+        capitalised word that does not start a sentence or line.  What is written
+        to a number ('$12', '20%', '5km') is a word of its own.
         """
         if len(self.words) > REMEMBERED:
             self.places.clear()
+            self.parts.clear()
             self.words = []
         # a line's first word is like a sentence's
         raw = (text or "").replace("\n", " . ").split()
         places = np.fromiter(map(self._place, raw), np.int64, len(raw))
         flags = self.flags[places]
-        starts = np.ones(len(raw), bool)
+        if (flags & PARTS).any():
+            places = np.array([q for p in places.tolist() for q in self.parts.get(p, (p,))], np.int64)
+            flags = self.flags[places]
+        starts = np.ones(len(places), bool)
         starts[1:] = flags[:-1] & ENDS > 0
         full = flags & EMPTY == 0
         # an empty word, such as a lone dash, hands on whether a sentence starts
@@ -86,6 +129,9 @@ class Templates:
         types = np.zeros(len(places), np.uint8)
         types[(flags & CAPITAL > 0) & ~starts] = NAME
         types[(flags & MEASURE > 0) & after] = UNIT
+        before = np.zeros(len(places), bool)
+        before[:-1] = number[1:]
+        types[(flags & SIGN > 0) & (before | after)] = UNIT
         types[number] = NUM
         return places, types
 

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from seriesmill.llm import queries
-from seriesmill.llm.decontaminate import contaminated, drop_contaminated
+from seriesmill.llm.decontaminate import Templates, contaminated, drop_contaminated
 from seriesmill.llm.html_text import Weights, extract_main_text, learn_weights, main_text, region, runs
 from seriesmill.llm.quality import co_train, drop_low_quality, feature_table, quality_scores
 from seriesmill.llm.toxicity import Lexicon, Matcher, folded, learn_lexicon, toxicity
@@ -149,6 +149,43 @@ def test_odd_decontamination(odd_docs, no_docs, spark):
     assert drop_contaminated(odd_docs, items.limit(0)).count() == odd_docs.count()
 
 
+ATTACHED_FORMS = [
+    ("$12", "$15"), ("20%", "35%"), ("12€", "9€"), ("£1,200.50", "£7"), ("5km", "12miles"), ("10th", "21st"),
+    ("three", "eleven"), ("twenty-one", "7"), ("$ 12", "€ 15"), ("5-year", "12-year"), ("10-15kg", "20-25lbs"),
+    ("30°C", "4°F"), ("$12.", "€9.")]
+
+
+def test_attached_signs_and_units(spark):
+    """A change at two places that stand apart, in every form a number can have."""
+    text = ("the price was about {0} when all of them came back and then it rose over time until they had to pay {0} "
+            "for the very same thing on the next market day near here")
+    docs, items = [], []
+    for k, (ours, theirs) in enumerate(ATTACHED_FORMS):
+        items.append((k, text.format(ours)))
+        docs += [(3 * k, text.format(theirs)), (3 * k + 1, text.format(ours)), (3 * k + 2, text.format("what"))]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["covered"], r["changed"]) for r in found}
+    for k, form in enumerate(ATTACHED_FORMS):
+        assert got.get((3 * k, k)) == (1.0, True), form
+        assert got.get((3 * k + 1, k)) == (1.0, False), form
+    assert not any(d % 3 == 2 for d, _ in got)
+
+
+def test_words_with_numbers():
+    templates = Templates(5)
+
+    def shown(text):
+        places, types = templates.read(text)
+        return " ".join(templates.window_at(places, types, 0, len(places), True)[0].split())
+
+    assert shown("pay ($12), 20%. then 5km or 10th and three days") == (
+        "pay <unit> <num> <num> <unit> then <num> <unit> or <num> and <num> <unit>")
+    assert shown("in 2020-2021 the 12-year-old mp3 for us$5m") == (
+        "in <num> <num> the <num> year-old mp3 for <unit> <num> <unit>")
+    assert shown("") == shown("- $ -").replace("$", "")
+
+
 def test_clean_rows_stay_whatever_their_id(odd_docs, spark):
     items = spark.createDataFrame([(1, "same text here for all")], "item_id long, text string")
     left = sorted(((r["doc_id"], r["text"]) for r in drop_contaminated(odd_docs, items).collect()), key=str)
