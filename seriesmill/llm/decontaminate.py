@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ ORDINAL = re.compile(r"\d[\d,]*(?:st|nd|rd|th)")
 #: A number with something written to it: a currency before, anything behind.
 ATTACHED = re.compile(rf"((?:[^\W\d_]{{0,3}}[{SIGNS}])?)([+-]?\d(?:[\d.,:/]*\d)?)(?:[-–—](?=\w))?(.*)")
 EDGES = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
-NUM, NAME, UNIT = 1, 2, 3
+# MAYBE: a capitalised word that starts a sentence or line, a name in one reading and itself in the other
+NUM, NAME, UNIT, MAYBE = 1, 2, 3, 4
 #: Placeholders as they stand in a template.
 SHOWN = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
 EMPTY, ENDS, CAPITAL, DIGITS, MEASURE, SIGN, PARTS = 1, 2, 4, 8, 16, 32, 64
@@ -80,7 +82,7 @@ class Templates:
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             core = EDGES.sub("", raw)
             word = core.lower()
-            flags = (not word) * EMPTY | (raw[-1:] in ".!?:" or raw[-2:-1] in ".!?") * ENDS
+            flags = (not word) * EMPTY | (raw[-1:] in ".!?:" or len(raw) > 1 and raw[-2] in ".!?") * ENDS
             flags |= (core[:1].isupper() and core[1:].islower()) * CAPITAL
             number = word in NUMBER_WORDS or bool(NUMBER.fullmatch(word) or ORDINAL.fullmatch(word))
             flags |= number * DIGITS | (word in UNITS) * MEASURE | (word[-1:] in SIGNS and bool(word)) * SIGN
@@ -102,7 +104,7 @@ class Templates:
 
         A number is a number, in digits, as an ordinal or as a word; a unit is a
         unit word after one, or a currency sign next to one; a name is a
-        capitalised word that does not start a sentence or line.  What is written
+        capitalised word, or MAYBE one where a sentence or line starts.  What is written
         to a number ('$12', '20%', '5km') is a word of its own.
         """
         if len(self.words) > REMEMBERED:
@@ -127,7 +129,8 @@ class Templates:
         after = np.zeros(len(places), bool)
         after[1:] = number[:-1]
         types = np.zeros(len(places), np.uint8)
-        types[(flags & CAPITAL > 0) & ~starts] = NAME
+        types[flags & CAPITAL > 0] = NAME
+        types[(flags & CAPITAL > 0) & starts] = MAYBE
         types[(flags & MEASURE > 0) & after] = UNIT
         before = np.zeros(len(places), bool)
         before[:-1] = number[1:]
@@ -135,33 +138,92 @@ class Templates:
         types[number] = NUM
         return places, types
 
-    def hashed(self, places: np.ndarray, types: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of ``size`` words: as they are, and as templates (0 where a template
-        says too little: under two plain words, or no placeholder)."""
-        plain = self.hashes[places]
-        kinds = np.where(types > 0, self.typed[types], plain)
+    def hashed(self, places: np.ndarray, types: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Readings of the windows of ``size`` words: -1 for the words as they are, else a template whose
+        bits tell which offsets are names where they are MAYBE one; with places and hashes.
+
+        Templates that say too little are left out: under two plain words, or no placeholder.
+        """
         n = len(places) - size + 1
-        out = []
-        with np.errstate(over="ignore"):
-            for values in (plain, kinds):
-                total = np.zeros(n, np.uint64)
+        plain = self.hashes[places]
+        maybe = types == MAYBE
+        sure = np.where(maybe, 0, types)
+        kinds = np.where(sure > 0, self.typed[sure], plain)
+        everywhere = np.arange(n)
+        yield -1, everywhere, _mixed(_totals(plain, n, size))
+        totals = _totals(kinds, n, size)
+        slots = _counts(sure > 0, size)
+        most = size - min(2, size)
+        some = np.flatnonzero((slots > 0) & (slots <= most))
+        yield 0, some, _mixed(totals[some])
+        if not maybe.any():
+            return
+        # each MAYBE is a name or itself, so a window has as many readings as they have subsets
+        could = np.flatnonzero(_counts(maybe, size))
+        patterns = np.zeros(len(could), np.int64)
+        for k in range(size):
+            patterns |= maybe[could + k].astype(np.int64) << k
+        gains = self.typed[NAME] - plain
+        for mask in sorted({m for p in np.unique(patterns).tolist() for m in _subsets(p, most)}):
+            at = could[(patterns & mask == mask) & (slots[could] + mask.bit_count() <= most)]
+            if not len(at):
+                continue
+            with np.errstate(over="ignore"):
+                total = totals[at]
                 for k in range(size):
-                    total = total * FACTOR + values[k:k + n]
-                out.append(total ^ (total >> np.uint64(29)))
-        slots = np.concatenate([[0], np.cumsum(types > 0)])
-        slots = slots[size:] - slots[:-size]
-        out[1][(slots == 0) | (size - slots < min(2, size))] = 0
-        return out[0], out[1]
-
-    def window_at(self, places: np.ndarray, types: np.ndarray, at: int, size: int, template: bool) -> tuple:
-        """The window's text, and the words behind its placeholders."""
+                    if mask >> k & 1:
+                        total = total + gains[at + k] * _power(size - 1 - k)
+            yield mask, at, _mixed(total)
+
+    def able(self, types: np.ndarray, size: int) -> np.ndarray:
+        """Whether a window keeps two plain words, and can so match as a template, in every reading."""
+        out = _counts(types > 0, size) <= size - min(2, size)
+        return out if out.any() else ~out
+
+    def window_at(self, places: np.ndarray, types: np.ndarray, at: int, size: int, reading: int) -> tuple:
+        """The window's text in a reading, and the words behind its placeholders."""
         words = [self.words[p] for p in places[at:at + size]]
-        kinds = types[at:at + size]
-        shown = [SHOWN[int(k)] if template and k else w for w, k in zip(words, kinds, strict=True)]
-        return " ".join(shown), [f"{int(k)}{w}" for w, k in zip(words, kinds, strict=True) if template and k]
+        if reading < 0:
+            return " ".join(words), []
+        kinds = [(NAME if reading >> j & 1 else 0) if k == MAYBE else k for j, k in enumerate(types[at:at + size].tolist())]
+        shown = [SHOWN[k] if k else w for w, k in zip(words, kinds, strict=True)]
+        return " ".join(shown), [f"{k}{w}" for w, k in zip(words, kinds, strict=True) if k]
+
+
+def _totals(values: np.ndarray, n: int, size: int) -> np.ndarray:
+    total = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            total = total * FACTOR + values[k:k + n]
+    return total
+
+
+def _mixed(total: np.ndarray) -> np.ndarray:
+    return total ^ (total >> np.uint64(29))
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(FACTOR), k, 1 << 64))
+
+
+def _counts(flags: np.ndarray, size: int) -> np.ndarray:
+    """How many are set, per window."""
+    sums = np.concatenate([[0], np.cumsum(flags)])
+    return sums[size:] - sums[:-size]
+
+
+@lru_cache(4096)
+def _subsets(pattern: int, most: int) -> tuple[int, ...]:
+    """The subsets of at most ``most`` of the bits set, without the empty one."""
+    out, m = [], pattern
+    while m:
+        if m.bit_count() <= most:
+            out.append(m)
+        m = (m - 1) & pattern
+    return tuple(out)
 
 
-WINDOWS = "size int, at int, n int, template boolean, hash long, window string, slots array<string>"
+WINDOWS = "size int, at int, n int, template boolean, hash long, window string, slots array<string>, able boolean, ables int"
 
 
 def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | None, items: bool) -> DataFrame:
@@ -177,7 +239,7 @@ def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | N
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates(sizes[-1])
-        columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots"]
+        columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots", "able", "ables"]
         for frame in frames:
             out = []
             for key, copy, text in zip(frame["key"], frame["copy"], frame["text"], strict=True):
@@ -185,19 +247,21 @@ def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | N
                 for size in ([s for s in sizes if s <= len(places)][-1:] if items else sizes):
                     if size > len(places):
                         continue
-                    for template, hashes in enumerate(templates.hashed(places, types, size)):
-                        found = hashes != 0
+                    # what an item is judged by; documents need not know
+                    able = templates.able(types, size) if items else None
+                    ables = int(able.sum()) if items else 0
+                    for reading, at_, hashes in templates.hashed(places, types, size):
                         if keep is not None:
-                            found &= keep[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                            found = np.flatnonzero(found)
+                            found = np.flatnonzero(keep[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
                             spot = np.minimum(np.searchsorted(only, hashes[found]), len(only) - 1)
                             found = found[only[spot] == hashes[found]]
                         else:
-                            found = np.flatnonzero(found)
-                        for at in found.tolist():
-                            shown, slots = templates.window_at(places, types, at, size, bool(template))
-                            out.append((key, copy, size, at, len(places), bool(template),
-                                        int(hashes[at].astype(np.int64)), shown, slots))
+                            found = np.arange(len(hashes))
+                        for f in found.tolist():
+                            at = int(at_[f])
+                            shown, slots = templates.window_at(places, types, at, size, reading)
+                            out.append((key, copy, size, at, len(places), reading >= 0, int(hashes[f].astype(np.int64)),
+                                        shown, slots, items and bool(able[at]), ables))
                         if len(out) > 50_000:
                             yield pd.DataFrame(out, columns=columns)
                             out = []
@@ -210,16 +274,18 @@ def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
     return table.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
 
 
-def _covered(hits: list, n: int, size: int) -> tuple[int, bool]:
-    """Most item windows found at one place with consistent slots, and whether slots differ.
+def _covered(hits: list, n: int, size: int, ables: int) -> tuple[float, bool]:
+    """Largest share of an item's windows at one place with consistent slots, and whether slots differ.
 
     ``hits``: (place in document, place in item, template, item slots, document
-    slots).  A place is a stretch of at most 1.25 item lengths.  Within it each
-    item word behind a placeholder must stand for one word of the document, and
-    the other way round; windows that break this do not count.
+    slots, able).  A place is a stretch of at most 1.25 item lengths.  Within it
+    each item word behind a placeholder must stand for one word of the document,
+    and the other way round; windows that break this do not count.  The share is
+    that of all windows or that of the ``ables``, which can match as templates,
+    whichever is larger: other windows cannot match where a slot has changed.
     """
     hits = sorted(hits, key=lambda h: (h[0], h[1], h[2]))
-    span = n + n // 4
+    span, total = n + n // 4, n - size + 1
     # the densest stretches first; the first that cannot be beaten ends the search
     ends, end = [], 0
     for start in range(len(hits)):
@@ -227,26 +293,29 @@ def _covered(hits: list, n: int, size: int) -> tuple[int, bool]:
         while end < len(hits) and hits[end][0] - hits[start][0] <= span - size:
             end += 1
         ends.append(end)
-    best = (0, False)
+    best = (0.0, False)
     for start in sorted(range(len(hits)), key=lambda k: k - ends[k]):
-        if ends[start] - start <= best[0]:
+        if min(1.0, (ends[start] - start) / ables) <= best[0]:
             break
         there: dict[str, str] = {}
         back: dict[str, str] = {}
-        found: set[int] = set()
+        found: dict[int, bool] = {}
         changed = False
-        for _, place, template, ours, theirs in sorted(hits[start:ends[start]], key=lambda h: (h[2], h[0])):
+        # the readings of a window with the fewest placeholders first
+        for _, place, template, ours, theirs, able in sorted(
+                hits[start:ends[start]], key=lambda h: (h[2], h[0], len(h[3]))):
             if not template:
-                found.add(place)
+                found[place] = able
                 continue
             if any(there.get(a, b) != b or back.get(b, a) != a for a, b in zip(ours, theirs, strict=True)):
                 continue
             there.update(zip(ours, theirs, strict=True))
             back.update(zip(theirs, ours, strict=True))
             changed |= list(ours) != list(theirs)
-            found.add(place)
-        if len(found) > best[0]:
-            best = (len(found), changed)
+            found[place] = able
+        covered = max(len(found) / total, sum(found.values()) / ables)
+        if covered > best[0]:
+            best = (covered, changed)
     return best
 
 
@@ -271,25 +340,26 @@ def _judged(
     theirs = _windows(_rows(docs, doc_id, text), sorted(used), least, only, False)
     ours = items.select(
         "hash", "size", "template", "window", F.col("key").alias("item"), F.col("copy").alias("item_copy"),
-        F.col("at").alias("place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"))
+        F.col("at").alias("place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"), "able", "ables")
     pair = ["key", "copy", "item", "item_copy"]
     hits = stored(theirs.select("key", "copy", "hash", "size", "template", "window", "at", "slots").join(
         ours, ["hash", "size", "template", "window"]))
     # few pairs share enough windows at all; only those are looked at closely
-    enough = hits.groupBy(*pair, "item_n", "size").agg(F.count_distinct("place").alias("places")).where(
-        F.col("places") >= F.ceil(F.lit(share) * (F.col("item_n") - F.col("size") + 1)))
+    enough = hits.groupBy(*pair, "item_n", "size", "ables").agg(F.count_distinct("place").alias("places")).where(
+        F.col("places") >= F.lit(share) * F.col("ables"))
     same = [hits[c].eqNullSafe(enough[c]) for c in pair]
-    gathered = hits.join(enough.select(*pair), on=_all(same), how="left_semi").groupBy(*pair, "item_n", "size").agg(
-        F.collect_list(F.struct("at", "place", "template", "item_slots", "slots")).alias("hits"))
+    gathered = hits.join(enough.select(*pair), on=_all(same), how="left_semi").groupBy(*pair, "item_n", "size", "ables").agg(
+        F.collect_list(F.struct("at", "place", "template", "item_slots", "slots", "able")).alias("hits"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             judged = [
-                _covered([(h["at"], h["place"], h["template"], h["item_slots"], h["slots"]) for h in hs], n, size)
-                for hs, n, size in zip(frame["hits"], frame["item_n"], frame["size"], strict=True)]
+                _covered([(h["at"], h["place"], h["template"], h["item_slots"], h["slots"], h["able"]) for h in hs],
+                         n, size, ables)
+                for hs, n, size, ables in zip(frame["hits"], frame["item_n"], frame["size"], frame["ables"], strict=True)]
             yield pd.DataFrame({
                 "key": frame["key"], "copy": frame["copy"], "item": frame["item"],
-                "covered": [c / (n - s + 1) for (c, _), n, s in zip(judged, frame["item_n"], frame["size"], strict=True)],
+                "covered": [c for c, _ in judged],
                 "changed": [x for _, x in judged]})
 
     return gathered.mapInPandas(judge, JUDGED).where(F.col("covered") >= share)
@@ -297,10 +367,12 @@ def _judged(
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                  **settings) -> DataFrame:
-    """``doc_id, item_id, covered, changed``: documents that hold ``share`` of an item's windows or more.
+    """``doc_id, item_id, covered, changed``: documents that hold ``share`` of an item's windows or more,
+    or of those that keep two plain words and can so match as templates.
 
     Texts become templates: numbers, names and units turn into typed
-    placeholders.  Windows of ``window`` words, as they are and as templates,
+    placeholders; a capitalised word that starts a sentence is read both as a
+    name and as itself.  Windows of ``window`` words, as they are and as templates,
     are joined by hash and compared in full.  What a document and an item share
     then counts at one place of the document, and only with consistent slots:
     each of the item's words behind a placeholder stands for one word there and

@@ -1,6 +1,7 @@
 """Toxicity, quality, decontamination, page text and URL rules."""
 
 import html as references
+import itertools
 import random
 import re
 
@@ -177,7 +178,7 @@ def test_words_with_numbers():
 
     def shown(text):
         places, types = templates.read(text)
-        return " ".join(templates.window_at(places, types, 0, len(places), True)[0].split())
+        return " ".join(templates.window_at(places, types, 0, len(places), 0)[0].split())
 
     assert shown("pay ($12), 20%. then 5km or 10th and three days") == (
         "pay <unit> <num> <num> <unit> then <num> <unit> or <num> and <num> <unit>")
@@ -186,6 +187,58 @@ def test_words_with_numbers():
     assert shown("") == shown("- $ -").replace("$", "")
 
 
+NAME_FORMS = [
+    ("Tom has some apples left. Tom buys many more apples than before. Tom then gives them to his mother at home.",
+     "Anna has some apples left. Anna buys many more apples than before. Anna then gives them to his mother at home."),
+    ("we saw a Toyota on the road and then a Toyota was seen near the old bridge over there again today",
+     "we saw a Honda on the road and then a Honda was seen near the old bridge over there again today"),
+    ("he came back on 5 May to see what was left of it and then left on 7 May without any of it again",
+     "he came back on 12 May to see what was left of it and then left on 31 May without any of it again"),
+    ("the sum of 3 4 5 6 7 8 9 10 11 12 is what they were all asked to find before noon",
+     "the sum of 5 6 7 8 9 10 11 12 13 14 is what they were all asked to find before noon"),
+    ("She ran home. Tom was there first of all. Then it rained and nobody else was seen around here",
+     "as told she ran home. Bob was there first of all. Then it rained and nobody else was seen around here"),
+]
+
+
+def test_names_that_open_sentences(spark):
+    schema = "doc_id long, text string"
+    docs = [(k, theirs) for k, (_, theirs) in enumerate(NAME_FORMS)]
+    docs += [(10 + k, ours) for k, (ours, _) in enumerate(NAME_FORMS)]
+    docs += [(20, NAME_FORMS[0][1].replace("Anna then", "Berta then").replace("Anna buys", "Carl buys"))]
+    items = spark.createDataFrame([(k, ours) for k, (ours, _) in enumerate(NAME_FORMS)], "item_id long, text string")
+    found = contaminated(spark.createDataFrame(docs, schema), items).collect()
+    got = {r["doc_id"]: (r["item_id"], r["covered"], r["changed"]) for r in found}
+    # the places of names must agree, so the last one is no copy
+    assert got == {k: (k, 1.0, True) for k in range(5)} | {10 + k: (k, 1.0, False) for k in range(5)}
+
+
+def test_readings_are_all_readings():
+    rng = random.Random(8)
+    templates = Templates(5)
+    for _ in range(100):
+        words = [rng.choice(["Tom", "Ann.", "it", "was.", "3", "km", "so"]) for _ in range(rng.randint(5, 12))]
+        places, types = templates.read(" ".join(words))
+        if len(places) < 5:
+            continue
+        seen, hashes = [], {}
+        for reading, at, values in templates.hashed(places, types, 5):
+            for a, h in zip(at.tolist(), values.tolist(), strict=True):
+                shown, _ = templates.window_at(places, types, a, 5, reading)
+                seen.append((a, reading >= 0, shown))
+                assert hashes.setdefault(shown, h) == h
+        expected = []
+        for a in range(len(places) - 4):
+            plain = [templates.words[p] for p in places[a:a + 5]]
+            expected.append((a, False, " ".join(plain)))
+            choices = [[w, "<name>"] if t == 4 else [w if t == 0 else ("", "<num>", "<name>", "<unit>")[t]]
+                       for w, t in zip(plain, types[a:a + 5].tolist(), strict=True)]
+            for shown in itertools.product(*choices):
+                if 1 <= sum(w[0] == "<" for w in shown) <= 3:
+                    expected.append((a, True, " ".join(shown)))
+        assert sorted(seen) == sorted(expected)
+
+
 def test_clean_rows_stay_whatever_their_id(odd_docs, spark):
     items = spark.createDataFrame([(1, "same text here for all")], "item_id long, text string")
     left = sorted(((r["doc_id"], r["text"]) for r in drop_contaminated(odd_docs, items).collect()), key=str)
