@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .simhash import drop_near_copies
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -153,14 +154,9 @@ def learn_lexicon(
         .orderBy(F.xxhash64("id"), "id").limit(sample))
     # at most ``sample`` ids and flags
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted), "id")
-    # Copies and near copies are no new evidence for a word: of rows that share the least or the largest
-    # hash of their long words, which such copies mostly do, one teaches.
-    long = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 8)
-    hashes = F.transform(long, lambda w: F.xxhash64(w))
-    rows = stored(
-        rows.select("text", "toxic", F.coalesce(F.array_min(hashes), F.xxhash64("text")).alias("least"),
-                    F.coalesce(F.array_max(hashes), F.xxhash64("text")).alias("most"))
-        .dropDuplicates(["least"]).dropDuplicates(["most"]).select("text", "toxic"))
+    # Copies and near copies are no new evidence for a word: of rows with equal or close fingerprints the
+    # smallest id teaches.
+    rows = stored(drop_near_copies(stored(rows.select("id", "text", "toxic")), doc_id="id").select("text", "toxic"))
 
     def stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = {True: Counter(), False: Counter()}

@@ -56,6 +56,24 @@ def test_exceptions_are_learnt(spark):
     assert not any("plain".startswith(s) for s in lexicon.weights)
 
 
+def test_documents_that_share_a_word_all_teach(spark):
+    """Only copies are no new evidence; one common long word makes no copies."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(60):
+        # the same least and largest word of eight letters or more in every text
+        words = ["everywhere", "something", *(f"w{rng.randrange(5000)}" for _ in range(30))]
+        rows.append((k, " ".join([*words, "blargh" if k % 3 == 0 else "fine"])))
+        labels.append((k, int(k % 3 == 0)))
+    schema = "doc_id long, text string"
+    lexicon = learn_lexicon(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("blargh".startswith(s) for s in lexicon.weights)
+    # twenty copies of one toxic text are one text, which is too little evidence
+    copies = [(k, rows[0][1]) if k % 3 == 0 else rows[k] for k in range(60)]
+    lexicon = learn_lexicon(spark.createDataFrame(copies, schema), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not any("blargh".startswith(s) for s in lexicon.weights)
+
+
 def test_held_out_toxicity(spark):
     docs, labels = queries.table(spark, BIG, "documents"), queries.table(spark, BIG, "labels")
     found = queries.op1_toxicity(spark, BIG).join(labels, "doc_id").where("held_out").toPandas()
