@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.operators import arma, diagnostics, forecast
-from seriesmill.operators.align import load_step_join, weekly_hourly_align, weekly_hourly_diff
+from seriesmill.operators.align import (
+    calendar_join, load_step_calendar, load_step_join, weekly_hourly_align, weekly_hourly_diff,
+)
 from seriesmill.operators.arma import Arma
 from seriesmill.operators.blocks import Blocking, lagged
 from seriesmill.operators.derive import (
@@ -109,17 +111,51 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return load_step_join(hourly(spark, sf), "ts", holidays(spark), load_steps(spark))
 
 
-def weekly(spark: SparkSession, sf: str) -> DataFrame:
-    """Average of each operating week, published on its Friday; a draft on Tuesday."""
+#: Days on which yearly load-step tables begin; columns and hours of the steps change with them.
+CALENDARS = (("1900-01-01", "instante", "patamar", 7, 17), ("2024-01-16", "hora", "step", 8, 18))
+
+
+def calendar_tables(spark: SparkSession, sf: str) -> tuple[list[DataFrame], list[dict[str, str]]]:
+    """Load-step tables with a row every three hours, each with its own columns; the second has times as text."""
+    hours = hourly(spark, sf).select("ts").distinct().where(F.hour("ts") % 3 == 0)
+    tables, renames = [], []
+    ends = [first for first, *_ in CALENDARS[1:]] + ["9999-01-01"]
+    for (first, time, step, light, heavy), end in zip(CALENDARS, ends):
+        kept = hours.where((F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        named = F.when(F.hour("ts") < light, "light").when(F.hour("ts").between(heavy, heavy + 3), "heavy").otherwise("medium")
+        stamp = F.col("ts") if time == "instante" else as_text("ts")
+        tables.append(kept.select(stamp.alias(time), named.alias(step)))
+        renames.append({time: "ts", step: "load_step"})
+    return tables, renames
+
+
+def stepped(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices with the step of the calendar."""
+    return calendar_join(hourly(spark, sf), "ts", load_step_calendar(*calendar_tables(spark, sf), dst_edges(spark)))
+
+
+def weekly(spark: SparkSession, sf: str, prices: DataFrame | None = None) -> DataFrame:
+    """Average of each operating week, published on its Friday; a draft at half the price on Tuesday."""
     day = F.to_date("ts")
     past = (
-        classified(spark, sf)
+        (classified(spark, sf) if prices is None else prices)
         .groupBy("series", "load_step", F.date_sub(day, F.dayofweek(day) % 7).alias("_week"))
         .agg(F.round(F.avg("price"), 4).alias("price"))
     )
-    final = past.withColumn("pub_date", F.date_add("_week", 6))
-    draft = past.withColumn("pub_date", F.date_add("_week", 3)).withColumn("price", F.col("price") / 2)
-    return final.unionByName(draft).drop("_week")
+    published = F.explode(F.array(*[
+        F.struct(F.date_add("_week", after).alias("pub_date"), (F.col("price") / share).alias("price"))
+        for after, share in ((6, 1), (3, 2))]))
+    return past.select("series", "load_step", published.alias("_out")).select("series", "load_step", "_out.*")
+
+
+def mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """One series each with a value every millisecond, second, day and week, in one table; two run backwards."""
+    steps = {"ms": "1 millisecond", "second": "-1 second", "day": "1 day", "week": "-7 days"}
+    at = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("series"),
+                 (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr(f"event_id * INTERVAL '{step}'")).alias("ts"))
+        for name, step in steps.items()]))
+    return table(spark, sf, "events").select(at.alias("_at"), F.round("value", 2).alias("price")).select("_at.*", "price")
 
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,6 +288,21 @@ def q_prepared(spark, sf):
                 hourly=2, weekly=4, diff=4)
 
 
+def q_load_step_calendar(spark, sf):
+    return show(load_step_calendar(*calendar_tables(spark, sf), dst_edges(spark)), "load_step", text=("ts",))
+
+
+def q_calendar_join(spark, sf):
+    return show(stepped(spark, sf), "series", "load_step", text=("ts",), price=2)
+
+
+def q_prepared_calendar(spark, sf):
+    """The whole preparation, from load-step tables with times to the differences."""
+    tables, renames = calendar_tables(spark, sf)
+    done = prepare(hourly(spark, sf), weekly(spark, sf, stepped(spark, sf)), tables, renames, None, dst_edges(spark), SERIES)
+    return show(done, "series", "load_step", text=("ts", "op_week", "issue_date"), hourly=2, weekly=4, diff=4)
+
+
 # ---- derivation ---------------------------------------------------------------------
 
 def q_lagged(spark, sf):
@@ -394,8 +445,12 @@ def q_arma_fit_hr(spark, sf):
 
 
 def q_arma_fit_css(spark, sf):
-    fit = arma.arma_fit_css(filtered(spark, sf), SERIES, "ts", "y", 3, 1)
-    return show(fit, "series", "p", "q", "n", "n_used", "converged", "coef", sigma2=4, aicc=4)
+    return css_columns(arma.arma_fit_css(filtered(spark, sf), SERIES, "ts", "y", 3, 1))
+
+
+def css_columns(fit: DataFrame) -> DataFrame:
+    terms = {name: rounded(F.get("coef", F.lit(i)), 4) for i, name in enumerate(("ar1", "ar2", "ar3", "ma1"))}
+    return show(fit.withColumns(terms), "series", "p", "q", "n", "n_used", "converged", *terms, sigma2=4, aicc=4)
 
 
 def q_order_leaderboard(spark, sf):
@@ -419,6 +474,12 @@ def q_order_search(spark, sf):
     return show(best, "series", "p", "q", "with_mean", "n", "converged", sigma2=4, aicc=4)
 
 
+def q_order_search_top(spark, sf):
+    """The three best candidates refined."""
+    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", refine_top=3)
+    return show(best, "series", "p", "q", "with_mean", "n", "converged", sigma2=4, aicc=4)
+
+
 def q_ar_fit_suppliers(spark, sf):
     """Many series at once: AR(2) with mean per supplier."""
     return coefficients(
@@ -457,6 +518,27 @@ def q_order_leaderboard_blocks(spark, sf):
     return show(board, "series", "p", "q", "with_mean", "rank", sse=2, aic=4, aicc=4, bic=4)
 
 
+def q_arma_fit_css_blocks(spark, sf):
+    return css_columns(arma.arma_fit_css(filtered(spark, sf), SERIES, "ts", "y", 3, 1, blocking=SHORT))
+
+
+def q_order_leaderboard_arma_blocks(spark, sf):
+    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y", blocking=SHORT)
+    return show(board, "series", "p", "q", "with_mean", "rank", sse=2, aic=4, aicc=4, bic=4)
+
+
+# ---- spacings from milliseconds to weeks in one table: blocks have counted bounds ---------------------
+
+def q_lagged_mixed(spark, sf):
+    rows = lagged(mixed(spark, sf), SERIES, "ts", "price", 3, SHORT)
+    return show(rows, "series", "pos", price=2, price_1=2, price_3=2)
+
+
+def q_ljung_box_mixed(spark, sf):
+    test = diagnostics.ljung_box(mixed(spark, sf), SERIES, "ts", "price", 10, 4)
+    return show(test, "series", "n", "df", q=6, p_value=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_series": scan_series,
     "series_select": q_series_select,
@@ -468,6 +550,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weekly_hourly_align": q_weekly_hourly_align,
     "weekly_hourly_diff": q_weekly_hourly_diff,
     "prepared_dataset": q_prepared,
+    "load_step_calendar": q_load_step_calendar,
+    "calendar_join": q_calendar_join,
+    "prepared_calendar": q_prepared_calendar,
     "lagged": q_lagged,
     "cc_returns": q_cc_returns,
     "series_tail": q_series_tail,
@@ -497,9 +582,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_search_ar": q_order_search_ar,
     "order_leaderboard_arma": q_order_leaderboard_arma,
     "order_search": q_order_search,
+    "order_search_top": q_order_search_top,
     "lagged_blocks": q_lagged_blocks,
     "acf_blocks": q_acf_blocks,
     "arma_residuals_blocks": q_arma_residuals_blocks,
     "arma_fit_hr_blocks": q_arma_fit_hr_blocks,
     "order_leaderboard_blocks": q_order_leaderboard_blocks,
+    "arma_fit_css_blocks": q_arma_fit_css_blocks,
+    "order_leaderboard_arma_blocks": q_order_leaderboard_arma_blocks,
+    "lagged_mixed": q_lagged_mixed,
+    "ljung_box_mixed": q_ljung_box_mixed,
 }

@@ -3,7 +3,7 @@ series, recursive queries and elimination written out, for one machine."""
 
 from __future__ import annotations
 
-from .queries import MODEL, YEARS
+from .queries import CALENDARS, MODEL, YEARS
 
 Z = "1.959963984540054e0"
 
@@ -123,6 +123,47 @@ ORACLES["prepared_dataset"] = query(
     f" {rnd('hourly', 2)} AS hourly, {rnd('weekly', 4)} AS weekly, {rnd('diff', 4)} AS diff"
     " FROM diffs", *WEEK_CTES, DIFFS)
 
+def steps_by_table(t: str) -> str:
+    """The step of the table in force at a time."""
+    rules = [f"""WHEN {t} >= TIMESTAMP '{first}' THEN CASE WHEN hour({t}) < {light} THEN 'light'
+      WHEN hour({t}) BETWEEN {heavy} AND {heavy + 3} THEN 'heavy' ELSE 'medium' END"""
+             for first, _, _, light, heavy in reversed(CALENDARS)]
+    return f"CASE {' '.join(rules)} END"
+
+
+CALENDAR = f"""calendar AS (
+  SELECT {shifted('ts')} AS ts, {steps_by_table('ts')} AS load_step
+  FROM (SELECT DISTINCT ts FROM hourly) WHERE hour(ts) % 3 = 0)"""
+
+STEPPED = """stepped AS (
+  SELECT h.*, CAST(h.ts AS DATE) - CAST((dayofweek(h.ts) + 1) % 7 AS INTEGER) AS op_week,
+    CASE WHEN c.ts > h.ts + INTERVAL 30 MINUTE - INTERVAL 1 DAY THEN c.load_step END AS load_step
+  FROM hourly h ASOF LEFT JOIN calendar c ON h.ts + INTERVAL 30 MINUTE >= c.ts)"""
+
+ORACLES["load_step_calendar"] = query(
+    f"SELECT load_step, {text('ts')} AS ts FROM calendar", HOURLY, CALENDAR)
+
+ORACLES["calendar_join"] = query(
+    f"SELECT series, load_step, {text('ts')} AS ts, {rnd('price', 2)} AS price FROM stepped",
+    HOURLY, CALENDAR, STEPPED)
+
+ORACLES["prepared_calendar"] = query(
+    f"SELECT series, load_step, {text('ts')} AS ts, {text('CAST(op_week AS TIMESTAMP)')} AS op_week,"
+    f" {ISSUED} AS issue_date, {rnd('hourly', 2)} AS hourly, {rnd('weekly', 4)} AS weekly,"
+    f" {rnd('diff', 4)} AS diff FROM diffs",
+    HOURLY, CALENDAR, STEPPED, WEEKLY.replace("FROM classified", "FROM stepped"),
+    ALIGNED.replace("FROM classified", "FROM stepped"), DIFFS)
+
+MIXED = """mixed AS (
+  SELECT series, TIMESTAMP '2024-01-01' + event_id * step AS ts, round(value, 2) AS price
+  FROM events, (VALUES ('ms', INTERVAL 1 MILLISECOND), ('second', INTERVAL (-1) SECOND),
+                       ('day', INTERVAL 1 DAY), ('week', INTERVAL (-7) DAY)) AS s(series, step))"""
+
+ORACLES["lagged_mixed"] = query(
+    f"""SELECT series, row_number() OVER w AS pos, {rnd('price', 2)} AS price,
+  {rnd('lag(price, 1) OVER w', 2)} AS price_1, {rnd('lag(price, 3) OVER w', 2)} AS price_3
+FROM mixed WINDOW w AS (PARTITION BY series ORDER BY ts)""", MIXED)
+
 ORACLES["cc_returns"] = query(
     f"""SELECT series, {text('CAST(day AS TIMESTAMP)')} AS day, {rnd('ret')} AS ret FROM (
   SELECT *, CASE WHEN price > 0 AND prev > 0 THEN ln(price) - ln(prev) END AS ret FROM (
@@ -217,6 +258,7 @@ DEFAULT_LAGS = "least(floor(10 * log10(a.n)), a.n - 1)"
 ORACLES["acf"] = query(acf_sql(DEFAULT_LAGS), HOURLY, centred("hourly", "ts", "price"),
                        rho(DEFAULT_LAGS))
 ORACLES["ljung_box"] = ljung_sql((HOURLY,), "hourly", "ts", "price")
+ORACLES["ljung_box_mixed"] = ljung_sql((MIXED,), "mixed", "ts", "price", 6)
 ORACLES["ljung_box_suppliers"] = ljung_sql((DAILY_SUPPLIERS,), "daily", "day", "price", 6)
 
 
@@ -591,6 +633,116 @@ ORACLES["order_search_ar"] = query(
 ORACLES["order_leaderboard_arma"] = query(
     BOARD, *FILTERED, *ar_board(), *arma_board(), *ranked("all_orders"))
 
+
+
+def newton(start: str, rows: str, k: int, skip: int, keep: list[str], rounds: int) -> list[str]:
+    """Gauss–Newton steps written out from the coefficients c1 … ck of ``start``, as CTEs.
+
+    The first p are those of lags of the series, the next q those of lags of the
+    residual, where p and q are columns; the rest stay 0.  Each round walks
+    through every series at several shares of the last step, carrying residual,
+    derivatives and their sums of products, keeps the share with the least sum
+    of squares and solves the normal equations there.  The last CTE, ``newton``,
+    has the coefficients, the ``sse`` at them and ``step``, the largest move
+    that the next round would make.
+    """
+    each = range(1, k + 1)
+    coef, slope = [f"c{i}" for i in each], {(i, j): f"d{i}_{j}" for i in each for j in each}
+    cells = [(i, j) for i in each for j in each if i <= j]
+    # coefficients by what they belong to
+    split = ", ".join([f"CASE WHEN p >= {i} THEN c{i} ELSE 0 END AS f{i}" for i in each]
+                      + [f"CASE WHEN q >= {j} THEN [{', '.join(coef)}][p + {j}] ELSE 0 END AS t{j}" for j in each])
+    given = ", ".join(keep + coef)
+    fixed = ", ".join([given] + [f"f{i}" for i in each] + [f"t{i}" for i in each])
+    zeros = ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in [
+        *[f"e{j}" for j in each], *slope.values(), *[f"s{i}_{j}" for i, j in cells], *[f"b{i}" for i in each], "sse"])
+    on = " AND ".join(f"w.{c} = r.{c}" for c in keep if c in ("series", "with_mean"))
+    residual = "r.l0" + "".join(f" - w.f{i} * coalesce(r.l{i}, 0) - w.t{i} * w.e{i}" for i in each)
+    own = ", ".join(
+        f"CASE WHEN p >= {i} THEN l{i} WHEN p + q >= {i} THEN [{', '.join(f'e{j}' for j in each)}][{i} - p] ELSE 0 END"
+        f" + {' + '.join(f't{j} * {slope[i, j]}' for j in each)} AS g{i}" for i in each)
+    shifted_past = ", ".join(["e AS e1"] + [f"e{j - 1} AS e{j}" for j in each if j > 1])
+    shifted_slope = ", ".join(f"{f'-g{i}' if j == 1 else slope[i, j - 1]} AS {slope[i, j]}" for i, j in slope)
+    sums = ", ".join([f"s{i}_{j} + g{i} * g{j}" for i, j in cells] + [f"b{i} + g{i} * e" for i in each])
+    square = [f"s{min(i, j)}_{max(i, j)}" + (f" + CAST(p + q < {i} AS INTEGER)" if i == j else "")
+              + f" AS a{i - 1}_{j - 1}" for i in each for j in each]
+    ctes, last = [], start
+    for r in range(rounds):
+        ctes.append(f"""walk{r} AS (
+  SELECT {fixed}, CAST({skip} AS BIGINT) AS pos, {zeros} FROM (SELECT *, {split} FROM {last})
+  UNION ALL
+  SELECT {fixed}, place, {shifted_past}, {shifted_slope}, {sums}, sse + e * e FROM (
+    SELECT *, {own} FROM (
+      SELECT w.*, r.pos AS place, {', '.join(f'r.l{i}' for i in each)}, {residual} AS e
+      FROM walk{r} w JOIN {rows} r ON {on} AND r.pos = w.pos + 1)))""")
+        ctes.append(f"""equations{r} AS (
+  SELECT {given}, sse, {', '.join(square)}, {', '.join(f'b{i} AS a{i - 1}_{k}' for i in each)}
+  FROM walk{r} WHERE pos = n QUALIFY row_number() OVER (PARTITION BY {', '.join(keep)} ORDER BY sse) = 1)""")
+        ctes += eliminate(f"moves{r}", f"equations{r}", k, k + 1, f"{given}, sse")
+        if r < rounds - 1:
+            ctes.append(
+                f"round{r} AS (SELECT {', '.join(keep)}, "
+                + ", ".join(f"c{i} + share * a{i - 1}_{k} AS c{i}" for i in each)
+                + f" FROM moves{r}, (SELECT unnest({SHARES}) AS share))")
+        last = f"round{r}"
+    ctes.append(f"newton AS (SELECT {given}, sse, greatest({', '.join(f'abs(a{i}_{k})' for i in range(k))}) AS step"
+                f" FROM moves{rounds - 1})")
+    return ctes
+
+
+#: Shares of a step that are tried; the least sum of squares goes on.
+SHARES = "[1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.0]"
+ORACLES["arma_fit_css"] = query(
+    f"SELECT series, p, q, n, used AS n_used, step <= 1e-6 AS converged, {rnd('c1', 4)} AS ar1,"
+    f" {rnd('c2', 4)} AS ar2, {rnd('c3', 4)} AS ar3, {rnd('c4', 4)} AS ma1, {rnd('sse / (used - 4)', 4)} AS sigma2,"
+    f" {rnd('aicc', 4)} AS aicc FROM scored",
+    *FILTERED, lags("wide", "filtered", "y", 11),
+    normal("first_sums", "wide", "l0", LONG, "pos > 11"),
+    *eliminate("first_fit", "first_sums", 10, 11),
+    f"""shocks AS (
+  SELECT w.*, w.l1 - {' - '.join(f'f.a{i}_10 * w.l{i + 2}' for i in range(10))} AS e1
+  FROM wide w JOIN first_fit f USING (series))""",
+    normal("second_sums", "shocks", "l0", ["l1", "l2", "l3", "e1"], "pos > 11"),
+    *eliminate("second_fit", "second_sums", 4, 5),
+    """start AS (
+  SELECT series, n, 3 AS p, 1 AS q, a0_4 AS c1, a1_4 AS c2, a2_4 AS c3, a3_4 AS c4
+  FROM second_fit JOIN (SELECT series, count(*) AS n FROM filtered GROUP BY 1) USING (series))""",
+    *newton("start", "wide", 4, 3, ["series", "n", "p", "q"], 30),
+    "fitted AS (SELECT *, n - 3 AS used, 5 AS k FROM newton)", criteria("fitted"))
+
+
+def search(top: int) -> str:
+    """The ``top`` best candidates with MA terms or without, refined; the best of them."""
+    coef = [f"f{i}" for i in range(1, 6)] + [f"t{i}" for i in range(1, 6)]
+    # plain AR candidates start from their own estimates too, where the walk begins
+    ar = " UNION ALL ".join(
+        f"SELECT series, with_mean, {p} AS p, 0 AS q, " + ", ".join(
+            f"CAST({f'a{i}_{p}' if i < p else '0'} AS DOUBLE) AS f{i + 1}" for i in range(5)) + ", "
+        + ", ".join(f"CAST(0 AS DOUBLE) AS t{i}" for i in range(1, 6))
+        + (f" FROM fit{p}" if p else " FROM base") for p in range(6))
+    slots = ", ".join(
+        f"CASE WHEN p >= {i} THEN f{i} WHEN p + q >= {i} THEN [t1, t2, t3, t4, t5][{i} - p] ELSE 0 END AS c{i}"
+        for i in range(1, 6))
+    start = f"""start AS (
+  SELECT series, with_mean, n, p, q, {slots}
+  FROM (SELECT * FROM ranked WHERE rank <= {top}) JOIN (
+    {ar} UNION ALL SELECT series, with_mean, p, q, {', '.join(coef)} FROM candidates)
+  USING (series, with_mean, p, q))"""
+    refined = """refined AS (
+  SELECT series, with_mean, n, p, q, step, sse, n - 5 AS used, p + q + CAST(with_mean AS INTEGER) + 1 AS k FROM newton)"""
+    return query(
+        f"""SELECT series, p, q, with_mean, n, step <= 1e-6 AS converged, {rnd('sse / (used - k + 1)', 4)} AS sigma2,
+  {rnd('aicc', 4)} AS aicc FROM rescored
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY aicc, p, q, with_mean) = 1""",
+        *FILTERED, *ar_board(), *arma_board(), *ranked("all_orders"), start,
+        *newton("start", "deep", 5, 5, ["series", "with_mean", "n", "p", "q"], 15), refined,
+        criteria("refined").replace("scored AS", "rescored AS", 1))
+
+
+ORACLES["order_search"] = search(1)
+ORACLES["order_search_top"] = search(3)
+
 # the same results, whatever the number of blocks
-for _name in ("lagged", "acf", "arma_residuals", "arma_fit_hr", "order_leaderboard"):
+for _name in ("lagged", "acf", "arma_residuals", "arma_fit_hr", "order_leaderboard", "arma_fit_css",
+              "order_leaderboard_arma"):
     ORACLES[f"{_name}_blocks"] = ORACLES[_name]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import require
+from .prep import dst_adjust, harmonise_union
 
 
 def operating_week(day: Column) -> Column:
@@ -63,6 +64,69 @@ def load_step_join(
     )
 
 
+#: How long a calendar row holds if no other follows, and how far an adjusted row may lie behind its hour.
+HOLDS, SHIFTED = "1 day", "30 minutes"
+
+
+def load_step_calendar(
+    tables: Sequence[DataFrame], renames: Sequence[Mapping[str, str]], dst_edges: DataFrame,
+    keys: Sequence[str] = (), edge_column: str = "edge_ts",
+) -> DataFrame:
+    """One calendar ``(keys, ts, load_step)`` from yearly tables with a time column.
+
+    Each table's columns are renamed to ``ts`` and ``load_step``, its times read
+    as local time, and 30 minutes added at the hours in which daylight-saving
+    time starts or ends; then the tables are stacked.  Years may classify one
+    and the same hour of the day differently.  Rows without a time are left out,
+    repeated rows count once; two steps at one time stop the job.
+    """
+    ready = []
+    for table, names in zip(tables, renames, strict=True):
+        named = table.withColumnsRenamed(dict(names))
+        require(named, [*keys, "ts", "load_step"])
+        local = named.select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"), "load_step")
+        ready.append(dst_adjust(local.where(F.col("ts").isNotNull()), "ts", dst_edges, edge_column))
+    clash = F.min("load_step") != F.max("load_step")
+    return harmonise_union(ready, [{}] * len(ready)).groupBy(*keys, "ts").agg(
+        F.when(clash, F.raise_error(F.lit("a time has two load steps")).cast("string"))
+        .otherwise(F.min("load_step")).alias("load_step"))
+
+
+def calendar_join(
+    hourly: DataFrame, t: str, calendar: DataFrame, keys: Sequence[str] = (),
+    shifted: str = SHIFTED, holds: str = HOLDS,
+) -> DataFrame:
+    """Attach the ``load_step`` in force to each hour; every hour stays.
+
+    That is the step of the latest calendar row no later than ``shifted`` after
+    the hour, so the row of an hour that was moved by half an hour still is that
+    hour's own.  A row holds until the next one, at most for ``holds``; hours
+    without one, or without a time, have NULL.
+
+    Rows meet by day: a day's entries, with those of the days before that may
+    still hold, are one small sorted list (a year has 365 of them), which an
+    hour looks up by its own day.  No series is sorted, and no hour meets more
+    than its day's entries.
+    """
+    keys = list(keys)
+    require(hourly, [*keys, t])
+    require(calendar, [*keys, "ts", "load_step"])
+    span = F.expr(f"INTERVAL {holds}")
+    entry = F.col("ts").cast("timestamp_ntz")
+    days = (
+        calendar.where(F.col("ts").isNotNull())
+        .select(*keys, F.struct(entry.alias("ts"), F.col("load_step").alias("step")).alias("_entry"))
+        .withColumn("_day", F.explode(F.sequence(
+            F.to_date("_entry.ts"), F.to_date(F.col("_entry.ts") + span), F.expr("INTERVAL 1 DAY"))))
+        .groupBy(*keys, "_day").agg(F.sort_array(F.collect_set("_entry")).alias("_entries"))
+    )
+    last = (F.col(t).cast("timestamp_ntz") + F.expr(f"INTERVAL {shifted}")).alias("_last")
+    rows = hourly.select("*", last).withColumn("_day", F.to_date("_last"))
+    held = F.filter("_entries", lambda e: (e["ts"] <= F.col("_last")) & (e["ts"] > F.col("_last") - span))
+    return rows.join(days, [*keys, "_day"], "left").withColumn(
+        "load_step", F.try_element_at(held, F.lit(-1))["step"]).select(*hourly.columns, "load_step")
+
+
 def weekly_hourly_align(
     hourly: DataFrame, weekly: DataFrame, keys: Sequence[str], t: str,
     hourly_price: str = "price", weekly_price: str = "price", pub_date: str = "pub_date",

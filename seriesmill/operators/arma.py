@@ -12,7 +12,7 @@ A *model table* has one row per series with at least the keys, ``p``, ``q``,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,27 +191,61 @@ def block_inputs(x: str, depth: int) -> list[Column]:
     return [F.expr(history(x, max(depth, 1))), own, skip]
 
 
+#: Neighbouring blocks, or groups of blocks, whose reports become one.
+GROUP = 1024
+
+
+def merge_udf(slopes: bool):
+    @F.pandas_udf(MATRIX)
+    def merge(reports: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([
+            [recursion.merged([b[i] for b in blocks_], int(p), int(q), slopes) for i, (p, q) in enumerate(many)]
+            for blocks_, many in zip(reports, sizes)])
+
+    return merge
+
+
 def reports(
     packed: DataFrame, keys: Sequence[str], x: str, depth: int, slopes: bool,
-    constant: Sequence[str] = (),
+    constant: Sequence[str] = (), group: int = GROUP,
 ) -> DataFrame:
-    """Per series: ``n`` and the blocks' reports in time order for every trial.
+    """Per group of ``group`` neighbouring blocks (``_group``): the blocks' reports in time order.
 
-    Blocks carry ``drop`` (leading rows conditioned on) and ``trials``.  Reports
-    hold a few numbers per block, so this is the only gathering by series.
-    Columns in ``constant`` have one value per series and are kept.
+    Blocks carry ``drop`` (leading rows conditioned on) and ``trials``; a report
+    has one part per trial, a few numbers each.  Columns in ``constant`` have
+    one value per series and are kept.
     """
+    sizes = F.transform("trials", lambda v: F.slice(v, 1, 2))
     scored = packed.select(
-        *keys, BLOCK, "n", *constant,
+        *keys, BLOCK, "n", *constant, F.floor(F.col("nth") / group).cast("int").alias("_group"), sizes.alias("_sizes"),
         report_udf(slopes)(*block_inputs(x, depth), F.col("trials")).alias("report"),
         last_values(x, depth).alias("_recent"),
     )
-    return scored.groupBy(*keys).agg(
+    return scored.groupBy(*keys, "_group").agg(
         F.max("n").alias("n"),
         *[F.max(c).alias(c) for c in constant],
-        F.max_by("_recent", BLOCK).alias("x_tail"),
+        F.max_by("_recent", BLOCK).alias("_recent"),
+        F.any_value("_sizes").alias("_sizes"),
         F.sort_array(F.collect_list(F.struct(BLOCK, "report"))).alias("_reports"),
-    ).select(*keys, "n", *constant, "x_tail", F.col("_reports").getField(BLOCK).alias("at"),
+    ).select(*keys, "_group", "n", *constant, "_recent", "_sizes", F.col("_reports").getField(BLOCK).alias("at"),
+             F.col("_reports").getField("report").alias("reports"))
+
+
+def whole_reports(
+    grouped: DataFrame, keys: Sequence[str], slopes: bool, constant: Sequence[str] = (),
+) -> DataFrame:
+    """Per series: ``n``, ``x_tail`` and the reports of its groups, each merged to one.
+
+    A task merges the reports of one group; a series of B blocks then has B over
+    1024 reports left to gather, where a single list would hold them all.
+    """
+    merged = grouped.withColumn("report", merge_udf(slopes)("reports", "_sizes"))
+    return merged.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[F.max(c).alias(c) for c in constant],
+        F.max_by("_recent", "_group").alias("x_tail"),
+        F.sort_array(F.collect_list(F.struct("_group", "report"))).alias("_reports"),
+    ).select(*keys, "n", *constant, "x_tail", F.col("_reports").getField("_group").alias("at"),
              F.col("_reports").getField("report").alias("reports"))
 
 
@@ -265,12 +299,38 @@ def model_blocks(
 MODEL_COLUMNS = ["p", "q", "with_mean", "mu", "coef", "drop"]
 
 
-def chained(packed: DataFrame, keys: Sequence[str], x: str, depth: int, slopes: bool) -> DataFrame:
-    """One row per series: the model, sums, block starts and the last values."""
-    return reports(packed, keys, x, depth, slopes, MODEL_COLUMNS).withColumn(
+def chained(
+    packed: DataFrame, keys: Sequence[str], x: str, depth: int, slopes: bool, group: int = GROUP,
+) -> DataFrame:
+    """One row per series: the model, sums and the last values."""
+    grouped = reports(packed, keys, x, depth, slopes, MODEL_COLUMNS, group)
+    return whole_reports(grouped, keys, slopes, MODEL_COLUMNS).withColumn(
         "_sum", chain_one("reports", "p", "q", F.lit(slopes))
-    ).select(*keys, *MODEL_COLUMNS, "n", "at", "x_tail",
-             "_sum.cross", "_sum.starts", "_sum.e_tail")
+    ).select(*keys, *MODEL_COLUMNS, "n", "x_tail", "_sum.cross", "_sum.e_tail")
+
+
+@F.pandas_udf(MATRIX)
+def chain_starts(reports: pd.Series, p: pd.Series, q: pd.Series, before: pd.Series) -> pd.Series:
+    return pd.Series([
+        [list(v) for v in recursion.chain([b[0] for b in blocks_], int(p_), int(q_), False, start)[1]]
+        for blocks_, p_, q_, start in zip(reports, p, q, before)])
+
+
+def block_starts(packed: DataFrame, keys: Sequence[str], x: str, depth: int, group: int = GROUP) -> DataFrame:
+    """``(keys, _block, _state)``: the residual lags before each block.
+
+    Up the tree, reports of blocks become one per group; down it, the lags before
+    a group give those before each of its blocks.
+    """
+    grouped = reports(packed, keys, x, depth, False, ["p", "q"], group)
+    begin = whole_reports(grouped, keys, False, ["p", "q"]).withColumn(
+        "_sum", chain_one("reports", "p", "q", F.lit(False))
+    ).select(*keys, F.explode(F.arrays_zip("at", "_sum.starts")).alias("_at")).select(
+        *keys, F.col("_at.at").alias("_group"), F.col("_at.starts").alias("_before"))
+    return grouped.join(begin, [*keys, "_group"]).withColumn(
+        "starts", chain_starts("reports", "p", "q", "_before")
+    ).select(*keys, F.explode(F.arrays_zip("at", "starts")).alias("_at")).select(
+        *keys, F.col("_at.at").alias(BLOCK), F.col("_at.starts").alias("_state"))
 
 
 def depth_of(model: DataFrame | Arma, max_p: int) -> int:
@@ -357,15 +417,13 @@ def arma_residuals(
 ) -> DataFrame:
     """``(keys, t, x, fitted, resid)``; NULL for the first p rows, conditioned on.
 
-    First the state at each block start is chained along the series, then
-    all blocks are filtered in parallel.
+    First the state at each block start follows from the blocks' reports, merged
+    in groups, then all blocks are filtered in parallel.
     """
     keys = list(keys)
     depth = depth_of(model, max_p)
     packed = model_blocks(df, keys, t, x, model, max_p, blocking)
-    begin = chained(packed, keys, x, depth, False).select(
-        *keys, F.explode(F.arrays_zip("at", "starts")).alias("_at"),
-    ).select(*keys, F.col("_at.at").alias(BLOCK), F.col("_at.starts").alias("_state"))
+    begin = block_starts(packed, keys, x, depth)
     values = residual_values(
         *block_inputs(x, depth), vector(model_columns()), F.col("_state"))
     rows = packed.hint("merge").join(begin, [*keys, BLOCK]).withColumn("_e", values)
@@ -420,12 +478,15 @@ def refine_models(
 ) -> DataFrame:
     """Gauss–Newton with step halving from the coefficients in ``start``.
 
-    A series within one block is refined where it lies.  A longer one takes
-    one round of distributed reports per step; only its one-row state, written
-    to the checkpoint folder, passes from round to round.
+    ``start`` may hold several models of a series that differ in p, q or
+    ``with_mean``; all are refined side by side.  A series within one block is
+    refined where it lies.  A longer one takes one round of distributed reports
+    per step; only one row of state per model, written to the checkpoint folder,
+    passes from round to round.
     """
     keys = list(keys)
     names = ["p", "q", "with_mean", "mu", "drop"]
+    model = [*keys, "p", "q", "with_mean"]
     state = cut(start.where(F.col("coef").isNotNull()).select(*keys, *names, "coef")).withColumn(
         "coef", steady_coef("coef", "p", "q"))
     whole = F.size("obs") == F.col("n")
@@ -445,10 +506,11 @@ def refine_models(
             live = state.where(F.size("trials") > 0)
             if live.isEmpty():
                 break
+            grouped = reports(
+                attach(long, keys, live.select(*model, "drop", "trials")), model, x, depth, True)
             moved = (
-                reports(attach(long, keys, live.select(*keys, "drop", "trials")),
-                        keys, x, depth, True).select(*keys, "reports")
-                .join(live, keys)
+                whole_reports(grouped, model, True).select(*model, "reports")
+                .join(live, model)
                 .withColumn("_next", next_round("reports", "trials", "coef", "cross",
                                                 "p", "q", "mu"))
                 .select(*keys, *names, "n", "_next.*")
@@ -478,14 +540,15 @@ def arma_fit_css(
         products = cut(block_products(packed, keys, t, x, depth, edges=True))
         return _estimated(products, keys, p, q, mean, depth).withColumn("drop", F.lit(p))
 
-    return _refined(df, keys, t, x, depth, p, start, blocking, rounds)
+    return _over_blocks(
+        df, keys, t, x, depth, blocking, lambda packed: refine_models(packed, keys, x, p, start(packed), rounds))
 
 
-def _refined(df, keys, t, x, depth, max_p, start, blocking, rounds) -> DataFrame:
-    """Blocks are built once and kept for the start estimate and all rounds."""
+def _over_blocks(df, keys, t, x, depth, blocking, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A small result of several passes over the blocks, which are built once and kept meanwhile."""
     packed = series_blocks(df, keys, t, x, depth, blocking).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return cut(refine_models(packed, keys, x, max_p, start(packed), rounds))
+        return cut(result(packed))
     finally:
         packed.unpersist()
 
@@ -516,14 +579,19 @@ def order_leaderboard(
 
     All candidates come from one set of lagged cross-products.  Plain AR sums of
     squares follow from it too; models with MA terms are scored in one more
-    pass that runs every candidate over a block; with MA terms the estimates are
-    computed when called.  All condition on the same first 5 rows, or as many as
-    the largest p, so the criteria are comparable.
+    pass over the same blocks that runs every candidate over each; with MA terms
+    the whole runs when called.  All condition on the same first 5 rows, or as
+    many as the largest p, so the criteria are comparable.
     """
     depth = search_depth(max_p, max_q, max_order)
-    packed = series_blocks(df, keys, t, x, depth, blocking)
-    products = block_products(packed, keys, t, x, depth, edges=True)
-    return _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
+
+    def board(packed: DataFrame) -> DataFrame:
+        products = block_products(packed, keys, t, x, depth, edges=True)
+        return _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
+
+    if not max_q:
+        return board(series_blocks(df, keys, t, x, depth, blocking))
+    return _over_blocks(df, keys, t, x, depth, blocking, board)
 
 
 def search_skip(max_p: int, max_q: int, max_order: int | None) -> int:
@@ -551,9 +619,9 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
         per_series = mixed.groupBy(*keys).agg(F.sort_array(F.collect_list(trial)).alias("_all"))
         tried = per_series.select(
             *keys, "_all", F.col("_all.trial").alias("trials"), F.lit(skip).alias("drop"))
+        grouped = reports(attach(packed, keys, tried.select(*keys, "drop", "trials")), keys, x, max_p, False)
         sums = (
-            reports(attach(packed, keys, tried.select(*keys, "drop", "trials")),
-                    keys, x, max_p, False).join(tried, keys)
+            whole_reports(grouped, keys, False).join(tried, keys)
             .withColumn("_sse", chain_sums("reports", "trials"))
             .select(*keys, "n", F.inline(F.arrays_zip("_all", "_sse")))
             .select(*keys, "n", "_all.p", "_all.q", "_all.with_mean", "_all.mu", "_all.coef",
@@ -571,26 +639,35 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
 def order_search(
     df: DataFrame, keys: Sequence[str], t: str, x: str, max_p: int = 5, max_q: int = 5,
     max_order: int | None = 5, means: Sequence[bool] = (False, True), refine: bool = True,
-    blocking: Blocking = DEFAULT,
+    blocking: Blocking = DEFAULT, refine_top: int = 1,
 ) -> DataFrame:
     """The order with the least AICc per series, refined by least squares.
 
-    The whole grid is scored at two-stage estimates and only the winner is
-    refined (a run when called); ``refine=False`` returns the winner's row.
+    The whole grid is scored at two-stage estimates.  The ``refine_top`` best
+    candidates of each series are refined side by side (a run when called), and
+    the least AICc after that wins; with more of them it never gets worse.
+    Refined models are conditioned on the same leading rows (``drop``) as the
+    leaderboard, so their criteria compare with each other and with it.
+    ``refine=False`` returns the leaderboard's first row.
     """
     keys = list(keys)
+    if refine_top < 1:
+        raise ValueError("refine_top must be 1 or more; refine=False refines nothing")
     if not refine:
         board = order_leaderboard(df, keys, t, x, max_p, max_q, max_order, means, blocking)
         return board.where("rank = 1").drop("rank")
 
-    depth = search_depth(max_p, max_q, max_order)
+    depth, skip = search_depth(max_p, max_q, max_order), search_skip(max_p, max_q, max_order)
 
-    def start(packed: DataFrame) -> DataFrame:
+    def best(packed: DataFrame) -> DataFrame:
         products = block_products(packed, keys, t, x, depth, edges=True)
         board = _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means)
-        return board.where("rank = 1").withColumn("drop", F.col("p"))
+        start = board.where(F.col("rank") <= refine_top).withColumn("drop", F.lit(skip))
+        refined = refine_models(packed, keys, x, max_p, start)
+        order = Window.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "with_mean")
+        return refined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
-    return _refined(df, keys, t, x, depth, max_p, start, blocking, recursion.ROUNDS)
+    return _over_blocks(df, keys, t, x, depth, blocking, best)
 
 
 # ---- coefficient table ------------------------------------------------------------------

@@ -13,55 +13,161 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import each_at, let, total
+from ..session import per_group, stored
 
 BLOCK = "_block"
 
 
 @dataclass(frozen=True)
 class Blocking:
-    """How finely a series is cut.
-
-    ``grain`` is the closest spacing of two observations: seconds for
-    timestamps (default one hour), days for dates, units for whole numbers
-    (default 1).  As ``(series, t)`` is unique, a block then holds at most
-    ``rows`` observations, and the summary at most ``length / rows`` per series.
-    ``fitted_blocking`` measures the grain where it is not known: rows closer
-    together than ``grain`` make blocks larger, rows further apart make more of
-    them than needed.
+    """How finely a series is cut: into blocks of at most ``rows`` observations.
+
+    By default blocks are counted (``counted_blocking``), whatever the spacing
+    of the observations.  With ``grain``, the closest spacing of two
+    observations, blocks are equal stretches of time and nothing is counted:
+    seconds for timestamps, days for dates, units for whole numbers.  As
+    ``(series, t)`` is unique, a block then holds at most ``rows`` observations.
+    Rows closer together than ``grain`` make blocks larger, rows further apart
+    make more of them than needed.
     """
 
     rows: int = 4096
     grain: float | None = None
 
     def block_id(self, df: DataFrame, t: str) -> Column:
-        kind = df.schema[t].dataType
-        at = F.col(t)
-        per_grain = 1
-        if isinstance(kind, T.DateType):
-            units, grain = F.unix_date(at).cast("long"), 1
-        elif isinstance(kind, T.TimestampType):
-            units, grain, per_grain = F.unix_micros(at), 3600, 1_000_000
-        elif isinstance(kind, T.TimestampNTZType):
-            # calendar arithmetic: independent of the session time zone
-            minutes = (F.unix_date(F.to_date(at)).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
-            units = minutes * 60_000_000 + (F.date_part(F.lit("SECONDS"), at) * 1_000_000).cast("long")
-            grain, per_grain = 3600, 1_000_000
-        elif isinstance(kind, T.IntegralType):
-            units, grain = at.cast("long"), 1
-        else:
-            raise TypeError(f"{t} must be a date, timestamp or whole number, not {kind}")
+        at, grain, per_grain = units(df, t)
         width = max(1, round(self.rows * (self.grain or grain) * per_grain))
-        return F.floor((units - F.pmod(units, F.lit(width))) / F.lit(width)).cast("long")
+        return F.floor((at - F.pmod(at, F.lit(width))) / F.lit(width)).cast("long")
+
+    def placed(self, df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
+        """``df`` with the block of each row."""
+        if self.grain is None:
+            return counted_blocking(df, keys, t, self.rows).placed(df, keys, t)
+        return df.withColumn(BLOCK, self.block_id(df, t))
+
+
+def units(df: DataFrame, t: str) -> tuple[Column, int, int]:
+    """Time as whole numbers, the usual spacing of observations, and how many units a unit of ``grain`` has."""
+    kind, at = df.schema[t].dataType, F.col(t)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(at).cast("long"), 1, 1
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(at), 3600, 1_000_000
+    if isinstance(kind, T.TimestampNTZType):
+        # calendar arithmetic: independent of the session time zone
+        minutes = (F.unix_date(F.to_date(at)).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
+        return minutes * 60_000_000 + (F.date_part(F.lit("SECONDS"), at) * 1_000_000).cast("long"), 3600, 1_000_000
+    if isinstance(kind, T.IntegralType):
+        return at.cast("long"), 1, 1
+    raise TypeError(f"{t} must be a date, timestamp or whole number, not {kind}")
 
 
 DEFAULT = Blocking()
 
+#: Parts into which a stretch of time with too many rows is cut at least.
+PARTS = 32
+
+
+@dataclass(frozen=True)
+class Counted(Blocking):
+    """Blocks with bounds of their own in every series.
+
+    ``series`` holds the first time of each series and the width of its
+    stretches, ``splits`` the stretches that were cut again and the width of
+    their parts, one table per round, and ``stretches`` the block of each
+    stretch.  A time outside the stretches that were counted stops the job.
+    """
+
+    series: DataFrame | None = None
+    splits: tuple[DataFrame, ...] = ()
+    stretches: DataFrame | None = None
+
+    def placed(self, df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
+        rows = _stretched(df.withColumn("_unit", units(df, t)[0]), keys, self.series)
+        for split in self.splits:
+            rows = rows.join(split, [*keys, "_begin"], "left").withColumn("_begin", F.when(
+                F.col("_part").isNotNull(), _begin("_part")).otherwise(F.col("_begin"))).drop("_part")
+        rows = rows.join(self.stretches, [*keys, "_begin"], "left")
+        missed = F.raise_error(F.lit("a time lies where none was when blocks were counted")).cast("long")
+        return rows.select(*df.columns, F.when(F.col("_place").isNull(), missed).otherwise(F.col("_place")).alias(BLOCK))
+
+
+def _begin(width: str) -> Column:
+    """Start of the part of the given width that holds ``_unit``, counted from ``_begin``."""
+    return F.col("_unit") - F.pmod(F.col("_unit") - F.col("_begin"), F.col(width))
+
+
+def _stretched(rows: DataFrame, keys: Sequence[str], series: DataFrame) -> DataFrame:
+    return rows.join(series, list(keys), "left").withColumn("_begin", _begin("_width"))
+
+
+def counted_blocking(
+    df: DataFrame, keys: Sequence[str], t: str, rows: int = DEFAULT.rows,
+) -> Blocking:
+    """Blocks of at most ``rows`` observations and at most ``2 n / rows + 2`` per series, for any mix of spacings.
+
+    Runs when called and reads keys and time only.  One job tries blocks of equal
+    time at the usual spacing (an hour for timestamps, a day for dates, 1 for
+    whole numbers); where they hold for every series they are kept.  Otherwise
+    each series gets bounds of its own: its span is cut into stretches of equal
+    time, about ``4 n / rows`` of them, rows are counted per stretch, and
+    stretches with more than ``rows / 2`` are cut again in proportion to their
+    rows, round by round, until none is left.  Prefix sums of the counts then
+    join neighbouring stretches to blocks.  Rounds count only the rows of full
+    stretches; even data take one.
+
+    What meets in one task is a series' list of stretches, a small part of its
+    rows.  The tables of bounds are written to the shared folder; they go to
+    every task if they are small and into ordinary joins if not.  The result
+    serves every table with the same keys and times, or some of them.
+    """
+    keys = list(keys)
+    at, grain, _ = units(df, t)
+    known = df.where(F.col(t).isNotNull())
+    equal = Blocking(rows, grain)
+    per_series = (
+        known.select(*keys, equal.block_id(df, t).alias("_place"), at.alias("_unit"))
+        .groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_n"), F.min("_unit").alias("_lo"), F.max("_unit").alias("_hi"))
+        .groupBy(*keys).agg(
+            F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_blocks"), F.sum("_n").alias("_n"),
+            F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
+    uneven = (F.col("_most") > rows) | (F.col("_blocks") > 2 * F.col("_n") / rows + 2)
+    if per_series.where(uneven).isEmpty():
+        return equal
+    half = max(1, rows // 2)
+
+    def wide(span: Column, parts: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(span / parts)).cast("long")
+
+    wanted = F.ceil(4 * F.col("_n") / rows)
+    series = per_group(per_series.select(
+        *keys, F.col("_lo").alias("_begin"), wide(F.col("_hi") - F.col("_lo") + 1, wanted).alias("_width")))
+    active = _stretched(known.select(*keys, at.alias("_unit")), keys, series)
+    splits, done = [], []
+    while True:
+        counts = stored(active.groupBy(*keys, "_begin", "_width").agg(F.count(F.lit(1)).alias("_n")))
+        # rows that share one unit of time cannot be parted; packing reports them
+        full = (F.col("_n") > half) & (F.col("_width") > 1)
+        done.append(counts.where(~full).select(*keys, "_begin", "_n"))
+        if counts.where(full).isEmpty():
+            break
+        splits.append(per_group(counts.where(full).select(
+            *keys, "_begin", wide(F.col("_width"), F.greatest(F.lit(PARTS), wanted)).alias("_part"))))
+        active = active.drop("_width").join(splits[-1], [*keys, "_begin"]).withColumns(
+            {"_begin": _begin("_part"), "_width": F.col("_part")}).drop("_part")
+    before = F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = reduce(DataFrame.unionByName, done).select(
+        *keys, "_begin", F.floor(F.coalesce(before, F.lit(0)) / half).cast("long").alias("_place"))
+    return Counted(rows, grain, series, tuple(splits), per_group(stretches))
+
 
 def fitted_blocking(
     df: DataFrame, keys: Sequence[str], t: str, rows: int = DEFAULT.rows,
@@ -136,7 +242,7 @@ def gathered(df, keys, t, values, blocking) -> DataFrame:
     rows = observations(df, keys, t, values)
     obs = F.struct(F.col(t).alias("t"), *values)
     return (
-        rows.withColumn(BLOCK, blocking.block_id(rows, t))
+        blocking.placed(rows, keys, t)
         # stated here so that every reader of this shuffle asks for the same rows
         .where(F.col(BLOCK).isNotNull())
         .groupBy(*keys, BLOCK)
@@ -170,8 +276,8 @@ def blocks(
     """``pack`` plus what a block needs to know about the rest of its series.
 
     Adds ``halo`` (the up to ``lags`` observations before the block), ``start``
-    (observations before the block), ``n`` and ``mean`` (length of the series,
-    mean of the first value).  Columns of ``per_series``, one row per series,
+    (observations before the block), ``nth`` (blocks before it), ``n`` and ``mean``
+    (length of the series, mean of the first value).  Columns of ``per_series``, one row per series,
     travel with the summary; series it lacks are dropped.
     """
     keys = list(keys)
@@ -188,6 +294,7 @@ def blocks(
     summary = edges.select(
         *keys, BLOCK,
         F.coalesce(before, F.lit(0)).cast("long").alias("start"),
+        (F.row_number().over(ordered) - 1).alias("nth"),
         F.sum("_size").over(series).alias("n"),
         (F.sum("_sum").over(series) / F.sum("_size").over(series)).alias("mean"),
         *([F.lag("_tail").over(ordered).alias("_tail")] if lags else []),
@@ -202,7 +309,7 @@ def blocks(
         near = series.orderBy("start").rangeBetween(-(lags - 1), 0)
         tails = F.flatten(F.collect_list("_tail").over(near))
         summary = summary.withColumn("_tails", tails).select(
-            *keys, BLOCK, "start", "n", "mean", *more,
+            *keys, BLOCK, "start", "nth", "n", "mean", *more,
             F.expr(let("_tails", lambda a: f"slice({a}, greatest(size({a}) - {lags - 1}, 1), {lags})"))
             .alias("halo"),
         )

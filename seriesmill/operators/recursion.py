@@ -105,16 +105,19 @@ def score(tasks, slopes=True):
     return out
 
 
-def chain(reports, p: int, q: int, slopes=True):
-    """Exact sums over a series from its blocks' reports in time order.
+def chain(reports, p: int, q: int, slopes=True, before=None):
+    """Exact sums over a series, or a stretch of it, from its blocks' reports in time order.
 
-    Returns the cross-products of residual and derivatives, the residual lags
-    at the start of each block and those after the last one.
+    ``before`` holds the residual lags before the first block, zero at the start
+    of a series.  Returns the cross-products of residual and derivatives, the
+    residual lags at the start of each block and those after the last one.
     """
     width = 1 + q + (p + q + q * q if slopes else 0)
     rows = 1 + (p + q if slopes else 0)
     total = np.zeros((rows, rows))
     state = np.zeros((rows, q))
+    if before is not None:
+        state[0] = before
     starts = []
     with np.errstate(all="ignore"):
         for flat in reports:
@@ -135,6 +138,42 @@ def chain(reports, p: int, q: int, slopes=True):
     return total, starts, state[0]
 
 
+def merge(first, second, p: int, q: int, slopes=True):
+    """The report of two neighbouring blocks taken as one; merging is associative.
+
+    Every sequence of the first block goes on in the second as a combination of
+    the second's sequences: its own kind, plus what the values at the seam set
+    off.  ``carry`` holds these combinations.
+    """
+    width = 1 + q + (p + q + q * q if slopes else 0)
+    one, two = np.asarray(first, float), np.asarray(second, float)
+    ends = one[width * width:].reshape(width, q)
+    carry = np.zeros((width, width))
+    carry[0, 0] = 1.0
+    carry[:, 1:1 + q] = ends
+    if slopes:
+        for i in range(p + q):
+            carry[1 + q + i, 1 + q + i] = 1.0
+        for j in range(q):
+            # the residual at the seam also drives the derivatives by MA coefficients
+            at = 1 + q + p + q + j * q
+            carry[1 + q + p + j, at:at + q] = ends[0]
+            for lag in range(q):
+                carry[at + lag, at:at + q] = ends[1 + lag]
+    with np.errstate(all="ignore"):
+        cross = one[:width * width].reshape(width, width) + (
+            carry @ two[:width * width].reshape(width, width) @ carry.T)
+        return np.concatenate([cross.ravel(), (carry @ two[width * width:].reshape(width, q)).ravel()])
+
+
+def merged(reports, p: int, q: int, slopes=True):
+    """One report for many neighbouring blocks."""
+    total = reports[0]
+    for report in reports[1:]:
+        total = merge(total, report, p, q, slopes)
+    return total
+
+
 def stable(coef, p: int, q: int) -> bool:
     """Stationary AR part and invertible MA part, by step-down recursion."""
     for part in (np.asarray(coef[:p], float), -np.asarray(coef[p:p + q], float)):

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import arma, diagnostics, forecast
-from ..operators.align import load_step_join, weekly_hourly_align, weekly_hourly_diff
+from ..operators.align import (
+    calendar_join, load_step_calendar, load_step_join, weekly_hourly_align, weekly_hourly_diff,
+)
 from ..operators.blocks import DEFAULT, Blocking
 from ..operators.derive import holdout, train_holdout_split
 from ..operators.prep import dst_adjust, harmonise_union
@@ -17,14 +19,27 @@ from ..operators.prep import dst_adjust, harmonise_union
 
 def prepare(
     hourly: DataFrame, weekly: DataFrame, load_steps: Sequence[DataFrame],
-    renames: Sequence[Mapping[str, str]], holidays: DataFrame, dst_edges: DataFrame,
+    renames: Sequence[Mapping[str, str]], holidays: DataFrame | None, dst_edges: DataFrame,
     keys: Sequence[str], t: str = "ts",
 ) -> DataFrame:
     """Hourly prices with load step, weekly price of their operating week and difference.
 
-    Yearly load-step tables are renamed and stacked, clock changes applied, the
-    calendar joined and the weekly price paired.  Stays lazy.
+    Yearly load-step tables that have a time column ``ts`` after renaming are
+    adjusted for clock changes, stacked to a calendar and matched by time;
+    prices keep their times, and ``holidays`` is not needed.  Tables without one
+    (``day_type, hour, load_step``) are renamed and stacked, looked up by day
+    type and hour, and the clock changes applied to the prices.  Then the weekly
+    price is paired.  Stays lazy.
     """
+    stamped = ["ts" in (dict(names).get(c, c) for c in table.columns)
+               for table, names in zip(load_steps, renames, strict=True)]
+    if any(stamped):
+        if not all(stamped):
+            raise ValueError("some load-step tables have a time column ts and some have none")
+        classified = calendar_join(hourly, t, load_step_calendar(load_steps, renames, dst_edges))
+        return weekly_hourly_diff(weekly_hourly_align(classified, weekly, keys, t), t)
+    if holidays is None:
+        raise ValueError("load steps by day type need holidays")
     steps = harmonise_union(load_steps, renames)
     classified = load_step_join(hourly, t, holidays, steps)
     aligned = weekly_hourly_align(

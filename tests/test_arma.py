@@ -48,15 +48,16 @@ def shocks(x, phi, theta, drop):
     return e, d
 
 
-def least_squares(x, p, q, start, rounds=60):
-    """Independent Gauss–Newton with halving on the plain loop."""
+def least_squares(x, p, q, start, rounds=60, drop=None):
+    """Independent Gauss–Newton with halving on the plain loop, given the first ``drop`` values (p by default)."""
+    drop = p if drop is None else drop
     b = np.array(start, float)
-    e, d = shocks(x, b[:p], b[p:], p)
+    e, d = shocks(x, b[:p], b[p:], drop)
     for _ in range(rounds):
         step = -np.linalg.lstsq(d, e, rcond=None)[0]
         for s in 0.5 ** np.arange(12):
             c = b + s * step
-            e2, d2 = shocks(x, c[:p], c[p:], p)
+            e2, d2 = shocks(x, c[:p], c[p:], drop)
             if e2 @ e2 < e @ e:
                 b, e, d = c, e2, d2
                 break
@@ -194,7 +195,8 @@ def test_search_refines_the_winner(make):
         assert (r.p, r.q, r.with_mean) == (board[name].p, board[name].q, board[name].with_mean)
         y = df.where(F.col("series") == name).orderBy("t").toPandas().x.to_numpy()
         y = y - y.mean() if r.with_mean else y
-        _, sse = least_squares(y, r.p, r.q, board[name].coef)
+        # as the leaderboard, given the first five values
+        _, sse = least_squares(y, r.p, r.q, board[name].coef, drop=5)
         assert r.sse == pytest.approx(sse, rel=1e-8)
 
 
@@ -287,3 +289,81 @@ def test_a_search_beyond_five_lags(make):
         rest = x[7:] - lags @ np.linalg.lstsq(lags, x[7:], rcond=None)[0]
         assert got[p] == pytest.approx(rest @ rest, rel=1e-9)
     assert board.where("rank = 1").first().p == 7
+
+
+# ---- reports merged in groups ------------------------------------------------------------------
+
+@pytest.mark.parametrize("p, q", [(0, 0), (2, 0), (0, 3), (3, 1), (2, 2)])
+@pytest.mark.parametrize("slopes", [True, False])
+def test_merging_reports_is_associative(p, q, slopes):
+    draw = np.random.default_rng(p + 10 * q)
+    y, cuts = draw.normal(size=300), [0, 40, 41, 42, 150, 300]
+    model = [p, q, 0.1, *draw.uniform(-0.3, 0.3, p + q)]
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        before = min(a, 5)
+        parts.append((np.concatenate([np.full(5 - before, np.nan), y[a - before:b]]), 5, max(p - a, 0), model))
+    found = recursion.score(parts, slopes)
+    left = recursion.merged(found, p, q, slopes)
+    right = found[-1]
+    for r in found[-2::-1]:
+        right = recursion.merge(r, right, p, q, slopes)
+    assert np.allclose(left, right)
+    whole = recursion.score([(np.concatenate([np.full(5, np.nan), y]), 5, p, model)], slopes)
+    for a, b in zip(recursion.chain([left], p, q, slopes)[::2], recursion.chain(whole, p, q, slopes)[::2]):
+        assert np.allclose(a, b)
+
+
+def test_thousands_of_blocks_are_one(make):
+    series = {"long": simulate(12000, PHI, THETA, 3), "short": simulate(40, PHI, THETA, 4)}
+    df, many, one = make(series), Blocking(rows=5, grain=1), Blocking(rows=20000, grain=1)
+    model = Arma(tuple(PHI), tuple(THETA), mu=0.1)
+    # 2400 blocks: three groups of 1024
+    fine = {r["series"]: r for r in arma_evaluate(df, K, "t", "x", model, blocking=many).collect()}
+    coarse = {r["series"]: r for r in arma_evaluate(df, K, "t", "x", model, blocking=one).collect()}
+    for k in series:
+        assert fine[k]["sse"] == pytest.approx(coarse[k]["sse"], rel=1e-10)
+        assert np.allclose(fine[k]["vcov"], coarse[k]["vcov"])
+        assert np.allclose(fine[k]["e_tail"], coarse[k]["e_tail"])
+    resid = {b: {(r["series"], r["t"]): r["resid"] for r in arma_residuals(df, K, "t", "x", model, blocking=b).collect()}
+             for b in (many, one)}
+    assert resid[many].keys() == resid[one].keys()
+    assert all(v is None and resid[one][k] is None or v == pytest.approx(resid[one][k], abs=1e-9)
+               for k, v in resid[many].items())
+
+
+@pytest.mark.parametrize("group", [1, 3, 1000])
+def test_any_size_of_group(make, group):
+    df, model = make(SERIES), Arma(tuple(PHI), tuple(THETA))
+    packed = arma.model_blocks(df, K, "t", "x", model, 3, Blocking(rows=20, grain=1))
+    sums = {r["series"]: r for r in arma.chained(packed, K, "x", 3, True, group).collect()}
+    states = {(r["series"], r["_block"]): r["_state"] for r in arma.block_starts(packed, K, "x", 3, group).collect()}
+    for k, x in SERIES.items():
+        e, _ = shocks(np.asarray(x), PHI, THETA, 3)
+        assert sums[k]["cross"][0] == pytest.approx(float(e @ e))
+        for b in range(1, 20):
+            # times start at 1 and block b at time 20 b
+            assert states[k, b][0] == pytest.approx(e[20 * b - 2], abs=1e-9)
+
+
+# ---- several candidates refined -----------------------------------------------------------------
+
+@pytest.mark.parametrize("rows", [50, 4096])
+def test_refining_more_never_ends_worse(make, rows):
+    draw = {f"s{k}": simulate(150, [0.3], [0.9], 20 + k) for k in range(4)}
+    df, blocking = make(draw), Blocking(rows=rows, grain=1)
+    board = {(r["series"], r["p"], r["q"], r["with_mean"]): r for r in order_leaderboard(
+        df, K, "t", "x", 2, 2, 3, blocking=blocking).collect()}
+    one, three, all_ = (
+        {r["series"]: r for r in order_search(df, K, "t", "x", 2, 2, 3, blocking=blocking, refine_top=top).collect()}
+        for top in (1, 3, 100))
+    for k in draw:
+        assert all_[k]["aicc"] <= three[k]["aicc"] + 1e-9 <= one[k]["aicc"] + 2e-9
+        for found in (one, three, all_):
+            r = found[k]
+            start = board[k, r["p"], r["q"], r["with_mean"]]
+            # conditioned alike, so a refined model is no worse than its own start
+            assert r["drop"] == 5 and r["n_used"] == start["n_used"]
+            assert r["aicc"] <= start["aicc"] + 1e-6
+    with pytest.raises(ValueError, match="refine_top"):
+        order_search(df, K, "t", "x", refine_top=0)

@@ -3,11 +3,12 @@ from datetime import date, datetime
 import pytest
 
 from seriesmill.operators.align import (
-    load_step_join, operating_week, weekly_hourly_align, weekly_hourly_diff,
+    calendar_join, load_step_calendar, load_step_join, operating_week, weekly_hourly_align, weekly_hourly_diff,
 )
 from seriesmill.operators.prep import (
     dst_adjust, harmonise_union, period_filter, series_select, tidy_unpivot,
 )
+from seriesmill.plans.lifecycle import prepare
 from seriesmill.sources.tables import read_prepared, read_series, write_prepared
 
 
@@ -142,3 +143,67 @@ def test_publications_without_a_price_and_ties(spark):
     tied = weekly.unionByName(weekly.replace(90.0, 91.0))
     with pytest.raises(Exception, match="two weekly prices"):
         weekly_hourly_align(hourly, tied, ["series"], "ts", step_column=None).collect()
+
+
+# ---- load-step calendars with times --------------------------------------------------------------
+
+def at(text):
+    return datetime.strptime(text, "%Y-%m-%d %H:%M")
+
+
+def stamped(spark):
+    """Two yearly tables with columns of their own that class one hour of the day differently."""
+    first = spark.createDataFrame(
+        [(at("2018-12-31 00:00"), "light"), (at("2018-12-31 07:00"), "medium"), (at("2018-12-31 18:00"), "heavy"),
+         (at("2018-12-31 18:00"), "heavy"), (None, "light")], "instante timestamp_ntz, patamar string")
+    second = spark.createDataFrame(
+        [("2019-01-01 00:00:00", "light"), ("2019-01-01 07:00:00", "light"), ("2019-01-01 18:00:00", "medium")],
+        "hora string, step string")
+    edges = spark.createDataFrame([(at("2018-12-31 07:00"), "start")], "edge_ts timestamp_ntz, kind string")
+    return [first, second], [{"instante": "ts", "patamar": "load_step"}, {"hora": "ts", "step": "load_step"}], edges
+
+
+def test_calendar_of_yearly_tables(spark):
+    found = {r["ts"]: r["load_step"] for r in load_step_calendar(*stamped(spark)).collect()}
+    assert found == {
+        at("2018-12-31 00:00"): "light", at("2018-12-31 07:30"): "medium", at("2018-12-31 18:00"): "heavy",
+        at("2019-01-01 00:00"): "light", at("2019-01-01 07:00"): "light", at("2019-01-01 18:00"): "medium"}
+
+
+def test_a_time_with_two_steps_stops_the_job(spark):
+    tables, renames, edges = stamped(spark)
+    again = spark.createDataFrame([("2018-12-31 18:00:00", "light")], "hora string, step string")
+    with pytest.raises(Exception, match="two load steps"):
+        load_step_calendar([*tables, again], [*renames, renames[1]], edges).collect()
+
+
+def test_hours_take_the_step_in_force(spark):
+    calendar = load_step_calendar(*stamped(spark))
+    times = {
+        "2018-12-30 23:00": None, "2018-12-30 23:30": "light", "2018-12-31 06:00": "light",
+        "2018-12-31 07:00": "medium",  # its own row, moved to half past
+        "2018-12-31 17:00": "medium", "2018-12-31 23:00": "heavy", "2019-01-01 07:00": "light",
+        "2019-01-01 18:00": "medium", "2019-01-02 17:00": "medium", "2019-01-02 18:00": None, "2019-01-05 00:00": None}
+    hourly = spark.createDataFrame([(k, at(k), i) for i, k in enumerate(times)] + [("none", None, 1)],
+                                   "name string, t timestamp_ntz, _more int")
+    found = calendar_join(hourly, "t", calendar)
+    assert found.columns == ["name", "t", "_more", "load_step"]
+    assert {r["name"]: r["load_step"] for r in found.collect()} == {**times, "none": None}
+    assert calendar_join(hourly, "t", calendar.limit(0)).where("load_step IS NOT NULL").isEmpty()
+
+
+def test_calendars_by_market(spark):
+    calendar = spark.createDataFrame(
+        [("n", at("2019-01-01 00:00"), "light"), ("s", at("2019-01-01 00:00"), "heavy")],
+        "market string, ts timestamp_ntz, load_step string")
+    hourly = spark.createDataFrame([(m, at("2019-01-01 05:00")) for m in "nsx"], "market string, t timestamp_ntz")
+    found = calendar_join(hourly, "t", calendar, ["market"])
+    assert {r["market"]: r["load_step"] for r in found.collect()} == {"n": "light", "s": "heavy", "x": None}
+
+
+def test_tables_with_and_without_times_do_not_mix(spark):
+    tables, renames, edges = stamped(spark)
+    plain = spark.createDataFrame([("weekday", 1, "light")], "day_type string, hour int, load_step string")
+    hourly = spark.createDataFrame([("a", at("2019-01-01 05:00"), 1.0)], "series string, ts timestamp_ntz, price double")
+    with pytest.raises(ValueError, match="time column"):
+        prepare(hourly, hourly, [tables[0], plain], [renames[0], {}], None, edges, ["series"])
