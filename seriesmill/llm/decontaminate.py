@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -37,7 +36,8 @@ EDGES = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
 NUM, NAME, UNIT, MAYBE = 1, 2, 3, 4
 #: Placeholders as they stand in a template.
 SHOWN = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
-EMPTY, ENDS, CAPITAL, DIGITS, MEASURE, SIGN, PARTS = 1, 2, 4, 8, 16, 32, 64
+# KNOWN: some item has the word
+EMPTY, ENDS, CAPITAL, DIGITS, MEASURE, SIGN, PARTS, KNOWN = 1, 2, 4, 8, 16, 32, 64, 128
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED = 400_000
@@ -61,25 +61,44 @@ def _parts(raw: str, core: str) -> list[str]:
     return parts
 
 
+class Places(dict):
+    """A word's place in the table of words met; new ones are added."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, raw: str) -> int:
+        return self.add(raw)
+
+
 class Templates:
-    """Cuts texts into words, types them, and hashes windows; one per task."""
+    """Cuts texts into words, types them, and hashes windows; one per task.
+
+    ``known`` are the words that items have, if only windows matter that an item
+    can have too: others are passed over before any reading is made of them.
+    """
 
-    def __init__(self, window: int):
+    def __init__(self, window: int, known: frozenset[str] | None = None):
         self.window = window
-        self.places: dict[str, int] = {}
+        self.known = known
+        self.places = Places(self._new)
         self.words: list[str] = []
         self.parts: dict[int, list[int]] = {}
         self.flags = np.zeros(1024, np.uint8)
         self.hashes = np.zeros(1024, np.uint64)
         self.typed = np.array([0] + [xxhash.xxh64_intdigest(SHOWN[k]) for k in (NUM, NAME, UNIT)], np.uint64)
-
-    def _place(self, raw: str) -> int:
-        place = self.places.get(raw)
-        if place is None:
-            place = self.places[raw] = len(self.words)
-            if place == len(self.flags):
-                self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.subsets: dict[tuple[int, int], tuple[int, ...]] = {}
+
+    def _new(self, raw: str) -> int:
+        place = self.places[raw] = len(self.words)
+        if place == len(self.flags):
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        if raw.isalpha() and raw.islower():  # most words: neither marks, digits nor capitals to look at
+            word = raw
+            flags = (word in NUMBER_WORDS) * DIGITS | (word in UNITS) * MEASURE
+        else:
             core = EDGES.sub("", raw)
             word = core.lower()
             flags = (not word) * EMPTY | (raw[-1:] in ".!?:" or len(raw) > 1 and raw[-2] in ".!?") * ENDS
@@ -87,16 +106,19 @@ class Templates:
             number = word in NUMBER_WORDS or bool(NUMBER.fullmatch(word) or ORDINAL.fullmatch(word))
             flags |= number * DIGITS | (word in UNITS) * MEASURE | (word[-1:] in SIGNS and bool(word)) * SIGN
             parts = [] if number else _parts(raw, core)
-            flags |= bool(parts) * PARTS
-            self.words.append(word)
-            self.flags[place] = flags
-            self.hashes[place] = xxhash.xxh64_intdigest(word.encode())
             if parts:
-                self.parts[place] = [q for part in parts for q in self._split(part)]
+                flags |= PARTS
+        self.words.append(word)
+        if self.known is None or word in self.known:
+            flags |= KNOWN
+            self.hashes[place] = xxhash.xxh64_intdigest(word.encode())
+        self.flags[place] = flags
+        if flags & PARTS:
+            self.parts[place] = [q for part in parts for q in self._split(part)]
         return place
 
     def _split(self, raw: str) -> list[int]:
-        place = self._place(raw)
+        place = self.places[raw]
         return self.parts.get(place, [place])
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +135,7 @@ class Templates:
             self.words = []
         # a line's first word is like a sentence's
         raw = (text or "").replace("\n", " . ").split()
-        places = np.fromiter(map(self._place, raw), np.int64, len(raw))
+        places = np.fromiter(map(self.places.__getitem__, raw), np.int64, len(raw))
         flags = self.flags[places]
         if (flags & PARTS).any():
             places = np.array([q for p in places.tolist() for q in self.parts.get(p, (p,))], np.int64)
@@ -144,37 +166,54 @@ class Templates:
 
         Templates that say too little are left out: under two plain words, or no placeholder.
         """
-        n = len(places) - size + 1
+        known = self.flags[places] & KNOWN > 0
+        # windows of words that items have or that stand behind a placeholder
+        possible = np.flatnonzero(_counts(known | (types > 0), size) == size)
+        if not len(possible):
+            return
         plain = self.hashes[places]
+        whole = possible[_counts(known, size)[possible] == size]
+        yield -1, whole, _mixed(_totals(plain, whole, size))
         maybe = types == MAYBE
         sure = np.where(maybe, 0, types)
         kinds = np.where(sure > 0, self.typed[sure], plain)
-        everywhere = np.arange(n)
-        yield -1, everywhere, _mixed(_totals(plain, n, size))
-        totals = _totals(kinds, n, size)
         slots = _counts(sure > 0, size)
         most = size - min(2, size)
-        some = np.flatnonzero((slots > 0) & (slots <= most))
-        yield 0, some, _mixed(totals[some])
-        if not maybe.any():
-            return
+        some = possible[(slots[possible] > 0) & (slots[possible] <= most)]
+        yield 0, some, _mixed(_totals(kinds, some, size))
         # each MAYBE is a name or itself, so a window has as many readings as they have subsets
-        could = np.flatnonzero(_counts(maybe, size))
+        could = possible[_counts(maybe, size)[possible] > 0]
+        if not len(could):
+            return
+        totals = _totals(kinds, could, size)
         patterns = np.zeros(len(could), np.int64)
         for k in range(size):
             patterns |= maybe[could + k].astype(np.int64) << k
         gains = self.typed[NAME] - plain
-        for mask in sorted({m for p in np.unique(patterns).tolist() for m in _subsets(p, most)}):
-            at = could[(patterns & mask == mask) & (slots[could] + mask.bit_count() <= most)]
+        for mask in sorted({m for p in np.unique(patterns).tolist() for m in self._subsets(p, most)}):
+            chosen = (patterns & mask == mask) & (slots[could] + mask.bit_count() <= most)
+            at = could[chosen]
             if not len(at):
                 continue
             with np.errstate(over="ignore"):
-                total = totals[at]
+                total = totals[chosen]
                 for k in range(size):
                     if mask >> k & 1:
                         total = total + gains[at + k] * _power(size - 1 - k)
             yield mask, at, _mixed(total)
 
+    def _subsets(self, pattern: int, most: int) -> tuple[int, ...]:
+        """The subsets of at most ``most`` of the bits set, without the empty one."""
+        found = self.subsets.get((pattern, most))
+        if found is None:
+            out, m = [], pattern
+            while m:
+                if m.bit_count() <= most:
+                    out.append(m)
+                m = (m - 1) & pattern
+            found = self.subsets[pattern, most] = tuple(out)
+        return found
+
     def able(self, types: np.ndarray, size: int) -> np.ndarray:
         """Whether a window keeps two plain words, and can so match as a template, in every reading."""
         out = _counts(types > 0, size) <= size - min(2, size)
@@ -190,11 +229,11 @@ class Templates:
         return " ".join(shown), [f"{k}{w}" for w, k in zip(words, kinds, strict=True) if k]
 
 
-def _totals(values: np.ndarray, n: int, size: int) -> np.ndarray:
-    total = np.zeros(n, np.uint64)
+def _totals(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    total = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            total = total * FACTOR + values[k:k + n]
+            total = total * FACTOR + values[at + k]
     return total
 
 
@@ -212,25 +251,21 @@ def _counts(flags: np.ndarray, size: int) -> np.ndarray:
     return sums[size:] - sums[:-size]
 
 
-@lru_cache(4096)
-def _subsets(pattern: int, most: int) -> tuple[int, ...]:
-    """The subsets of at most ``most`` of the bits set, without the empty one."""
-    out, m = [], pattern
-    while m:
-        if m.bit_count() <= most:
-            out.append(m)
-        m = (m - 1) & pattern
-    return tuple(out)
-
-
 WINDOWS = "size int, at int, n int, template boolean, hash long, window string, slots array<string>, able boolean, ables int"
+#: Of an item its words' types, of a document those around a window, and how many come before it.
+WINDOWS += ", kinds string, lead int"
 
 
-def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | None, items: bool) -> DataFrame:
+def _windows(
+    rows: DataFrame, sizes: list[int], only: np.ndarray | None, known: frozenset[str] | None, longest: int | None,
+) -> DataFrame:
     """Windows of the rows' texts (``key`` passes through); those with a hash in ``only``, if given.
 
-    ``items``: one window size per text, the largest it has room for.
+    Without ``longest`` the texts are items: one window size per text, the
+    largest it has room for.  Else they are documents, and ``longest`` is the
+    number of words of the longest item.
     """
+    items = longest is None
     keep = None
     if only is not None:
         only = np.sort(only)
@@ -238,12 +273,13 @@ def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | N
         keep[(only & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates = Templates(sizes[-1])
-        columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots", "able", "ables"]
+        templates = Templates(sizes[-1], known)
+        columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots", "able", "ables", "kinds", "lead"]
         for frame in frames:
             out = []
             for key, copy, text in zip(frame["key"], frame["copy"], frame["text"], strict=True):
                 places, types = templates.read(text)
+                kinds = None
                 for size in ([s for s in sizes if s <= len(places)][-1:] if items else sizes):
                     if size > len(places):
                         continue
@@ -257,11 +293,15 @@ def _windows(rows: DataFrame, sizes: list[int], least: int, only: np.ndarray | N
                             found = found[only[spot] == hashes[found]]
                         else:
                             found = np.arange(len(hashes))
+                        if len(found) and kinds is None:
+                            kinds = (types + 48).astype(np.uint8).tobytes().decode()
                         for f in found.tolist():
                             at = int(at_[f])
                             shown, slots = templates.window_at(places, types, at, size, reading)
+                            first = 0 if items else max(0, at - longest)
+                            around = kinds if items else kinds[first:at + size + longest]
                             out.append((key, copy, size, at, len(places), reading >= 0, int(hashes[f].astype(np.int64)),
-                                        shown, slots, items and bool(able[at]), ables))
+                                        shown, slots, items and bool(able[at]), ables, around, at - first))
                         if len(out) > 50_000:
                             yield pd.DataFrame(out, columns=columns)
                             out = []
@@ -274,15 +314,48 @@ def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
     return table.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
 
 
-def _covered(hits: list, n: int, size: int, ables: int) -> tuple[float, bool]:
-    """Largest share of an item's windows at one place with consistent slots, and whether slots differ.
+def _alike(a: str, b: str) -> bool:
+    """Whether two words can be of one type; MAYBE is a name or none."""
+    return a == b or str(MAYBE) in (a, b) and {a, b} <= {"0", str(NAME), str(MAYBE)}
+
+
+def _words(found: dict[int, tuple], kinds: str, size: int) -> int:
+    """How many of an item's words a place of a document has.
+
+    Those of the windows found, and beside them placeholders in place: from a
+    window outwards, as long as the types of both texts agree word by word.
+    """
+    words = np.zeros(len(kinds), bool)
+    for place in found:
+        words[place:place + size] = True
+    for back in (True, False):
+        for place in sorted(found, reverse=not back):
+            around, lead = found[place][1:]
+            i, j, step = (place - 1, lead - 1, -1) if back else (place + size, lead + size, 1)
+            while 0 <= i < len(kinds) and 0 <= j < len(around) and not words[i] and _alike(kinds[i], around[j]):
+                if kinds[i] == "0" or around[j] == "0":
+                    # a plain word is not compared here, so it does not count
+                    i, j = i + step, j + step
+                    continue
+                words[i] = True
+                i, j = i + step, j + step
+    return int(words.sum())
+
+
+def _covered(hits: list, n: int, size: int, ables: int, kinds: str, share: float = 0.0) -> tuple[float, bool]:
+    """Largest share of an item at one place with consistent slots, and whether slots differ.
 
     ``hits``: (place in document, place in item, template, item slots, document
-    slots, able).  A place is a stretch of at most 1.25 item lengths.  Within it
-    each item word behind a placeholder must stand for one word of the document,
-    and the other way round; windows that break this do not count.  The share is
-    that of all windows or that of the ``ables``, which can match as templates,
-    whichever is larger: other windows cannot match where a slot has changed.
+    slots, able, types around, words before).  A place is a stretch of at most
+    1.25 item lengths.  Within it each item word behind a placeholder must stand
+    for one word of the document, and the other way round; windows that break
+    this do not count.
+
+    The share is that of all windows or that of the ``ables``, which can match as
+    templates, whichever is larger, as other windows cannot match where a slot
+    has changed; and it is at most the share of the item's words that are there
+    (``_words``).  So an item of little but numbers or names is not found by the
+    few plain words it has.
     """
     hits = sorted(hits, key=lambda h: (h[0], h[1], h[2]))
     span, total = n + n // 4, n - size + 1
@@ -299,21 +372,23 @@ def _covered(hits: list, n: int, size: int, ables: int) -> tuple[float, bool]:
             break
         there: dict[str, str] = {}
         back: dict[str, str] = {}
-        found: dict[int, bool] = {}
+        found: dict[int, tuple] = {}
         changed = False
         # the readings of a window with the fewest placeholders first
-        for _, place, template, ours, theirs, able in sorted(
+        for _, place, template, ours, theirs, able, around, lead in sorted(
                 hits[start:ends[start]], key=lambda h: (h[2], h[0], len(h[3]))):
             if not template:
-                found[place] = able
+                found[place] = (able, around, lead)
                 continue
             if any(there.get(a, b) != b or back.get(b, a) != a for a, b in zip(ours, theirs, strict=True)):
                 continue
             there.update(zip(ours, theirs, strict=True))
             back.update(zip(theirs, ours, strict=True))
             changed |= list(ours) != list(theirs)
-            found[place] = able
-        covered = max(len(found) / total, sum(found.values()) / ables)
+            found[place] = (able, around, lead)
+        covered = max(len(found) / total, sum(f[0] for f in found.values()) / ables)
+        if covered > best[0] and covered >= share:
+            covered = min(covered, _words(found, kinds, size) / n)
         if covered > best[0]:
             best = (covered, changed)
     return best
@@ -329,34 +404,48 @@ def _judged(
 ) -> DataFrame:
     """``contaminated`` by row: id (``key``) and hash of the text (``copy``)."""
     sizes = sorted({*range(min(least, window), window), window})
-    items = stored(_windows(_rows(benchmark, item_id, item_text), sizes, least, None, True))
-    count = items.count()
+    items = stored(_windows(_rows(benchmark, item_id, item_text), sizes, None, None, None))
+    count, longest = items.agg(F.count(F.lit(1)), F.max("n")).first()
     if not count:
         return docs.sparkSession.createDataFrame([], JUDGED)
-    only = None
+    only = known = None
     if count <= sent:
         only = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
+        words = items.where("NOT template").select(F.explode(F.split("window", " ")).alias("word")).distinct()
+        known = frozenset(r["word"] for r in words.collect())
     used = [r["size"] for r in items.select("size").distinct().collect()]
-    theirs = _windows(_rows(docs, doc_id, text), sorted(used), least, only, False)
+    same = ["hash", "size", "template", "window"]
+    theirs = stored(_windows(_rows(docs, doc_id, text), sorted(used), only, known, longest).select(
+        "key", "copy", *same, "at", "slots", "kinds", "lead"))
     ours = items.select(
-        "hash", "size", "template", "window", F.col("key").alias("item"), F.col("copy").alias("item_copy"),
-        F.col("at").alias("place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"), "able", "ables")
-    pair = ["key", "copy", "item", "item_copy"]
-    hits = stored(theirs.select("key", "copy", "hash", "size", "template", "window", "at", "slots").join(
-        ours, ["hash", "size", "template", "window"]))
-    # few pairs share enough windows at all; only those are looked at closely
-    enough = hits.groupBy(*pair, "item_n", "size", "ables").agg(F.count_distinct("place").alias("places")).where(
-        F.col("places") >= F.lit(share) * F.col("ables"))
-    same = [hits[c].eqNullSafe(enough[c]) for c in pair]
-    gathered = hits.join(enough.select(*pair), on=_all(same), how="left_semi").groupBy(*pair, "item_n", "size", "ables").agg(
-        F.collect_list(F.struct("at", "place", "template", "item_slots", "slots", "able")).alias("hits"))
+        *same, F.col("key").alias("item"), F.col("copy").alias("item_copy"),
+        F.col("at").alias("place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"), "able", "ables",
+        F.col("kinds").alias("item_kinds"))
+    one, pair = ["item", "item_copy"], ["key", "copy", "item", "item_copy"]
+    # An item needs ``share`` of its windows, so a document that has them has one of any few of the rest: the
+    # rarest ones lead to it.  Only pairs that share one of those are looked at, however common the others are.
+    often = theirs.groupBy(*same).agg(F.count(F.lit(1)).alias("often"))
+    places = ours.join(often, same, "left").groupBy(*one, "place", "item_n", "size", "ables").agg(
+        F.coalesce(F.sum("often"), F.lit(0)).alias("often"))
+    spare = F.col("item_n") - F.col("size") + 1 - F.ceil(F.lit(share) * F.col("ables"))
+    rare = places.withColumn("nth", F.row_number().over(
+        Window.partitionBy(*one).orderBy("often", "place"))).where(F.col("nth") <= spare + 1)
+    leads = _meet(ours.select(*same, *one, "place"), rare.select(*one, "place"), [*one, "place"]).select(
+        *same, *one).distinct()
+    pairs = stored(theirs.select("key", "copy", *same).distinct().join(leads, same).select(*pair).distinct())
+    hits = _meet(_meet(theirs, pairs, ["key", "copy"]), ours, [*same, *one])
+    gathered = hits.groupBy(*pair, "item_n", "size", "ables", "item_kinds").agg(
+        F.count_distinct("place").alias("places"),
+        F.collect_list(F.struct("at", "place", "template", "item_slots", "slots", "able", "kinds", "lead")).alias("hits")
+    ).where(F.col("places") >= F.lit(share) * F.col("ables"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             judged = [
-                _covered([(h["at"], h["place"], h["template"], h["item_slots"], h["slots"], h["able"]) for h in hs],
-                         n, size, ables)
-                for hs, n, size, ables in zip(frame["hits"], frame["item_n"], frame["size"], frame["ables"], strict=True)]
+                _covered([(h["at"], h["place"], h["template"], h["item_slots"], h["slots"], h["able"], h["kinds"], h["lead"])
+                          for h in hs], n, size, ables, kinds, share)
+                for hs, n, size, ables, kinds in zip(
+                    frame["hits"], frame["item_n"], frame["size"], frame["ables"], frame["item_kinds"], strict=True)]
             yield pd.DataFrame({
                 "key": frame["key"], "copy": frame["copy"], "item": frame["item"],
                 "covered": [c for c, _ in judged],
@@ -376,16 +465,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     are joined by hash and compared in full.  What a document and an item share
     then counts at one place of the document, and only with consistent slots:
     each of the item's words behind a placeholder stands for one word there and
-    the other way round.  ``changed`` tells a re-parameterised item from a copy.
+    the other way round.  Numbers, names and units beside a window count where
+    they stand in place, and no less than ``share`` of the item's words must be
+    there in all, so an item of little but numbers is not found by a common
+    phrase.  ``changed`` tells a re-parameterised item from a copy.
 
     Items of fewer words than ``window`` are one window; those under ``least``
     words, and NULL texts, are in no document.  NULL ids pass through.  Rows
     that share an id are judged one by one; the best counts.  Extra columns are
     not read; an empty table on either side gives no rows.
 
-    A task drops windows whose hash no item has.  For that it gets the item
-    hashes, if there are at most ``sent``; with more, every window goes into the
-    join, which gives the same rows.
+    A task drops windows with a word or a hash that no item has.  For that it gets
+    the items' words and hashes, if there are at most ``sent`` windows; with more,
+    every window is exchanged, which gives the same rows.  Of an item's windows
+    the rarest in the documents lead to the pairs that are looked at, so a phrase
+    that a third of the documents share with many items costs no pairs.
     """
     judged = _judged(docs, benchmark, doc_id=doc_id, item_id=item_id, **settings)
     best = judged.groupBy("key", "item").agg(
@@ -396,6 +490,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.col("best.covered").alias("covered"), (~F.col("best.same")).alias("changed"))
 
 
+def _meet(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``others`` on equal values, NULLs included, and the rest of the columns of both."""
+    others = others.withColumnsRenamed({c: f"__{c}" for c in on})
+    met = rows.join(others, on=_all([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]))
+    return met.drop(*[f"__{c}" for c in on])
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -231,6 +231,40 @@ def test_names_that_open_sentences(spark):
     assert got == {k: (k, 1.0, True) for k in range(5)} | {10 + k: (k, 1.0, False) for k in range(5)}
 
 
+SPARSE = [
+    ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 is the sum", "3 4 5 is the sum",
+     "4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 is the sum"),
+    ("then Ann Bob Carl Dan Eve Fay Gus Hal Ida Jon Kim Leo Max Otto Tom are the friends", "so Max Otto Tom are the friends",
+     "then Abe Ben Cid Don Eli Fox Gil Hue Ian Jim Kay Lou Moe Ned Pam are the friends"),
+    ("Table 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 and the rest", "14 15 16 and the rest",
+     "Table 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 and the rest"),
+]
+
+
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_items_of_little_but_numbers_and_names(spark, sent):
+    """A short common phrase is no leak of a long list; the whole list with other numbers is one."""
+    items = spark.createDataFrame([(k, item) for k, (item, _, _) in enumerate(SPARSE)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(10 * k + j, f"what follows here is new: {text}. nothing of it was ever seen before")
+         for k, (item, clean, changed) in enumerate(SPARSE) for j, text in enumerate((item, clean, changed))],
+        "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["changed"] for r in contaminated(docs, items, sent=sent).collect()}
+    assert found == {(10 * k + j, k): j == 2 for k in range(3) for j in (0, 2)}
+
+
+def test_a_phrase_that_all_share(spark):
+    """Windows that every document and item has lead to no pairs; leaks are found all the same."""
+    phrase = "please read all of the following words before the answer is given"
+    rng = random.Random(3)
+    tails = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    items = spark.createDataFrame([(k, f"{phrase} {tail}") for k, tail in enumerate(tails)], "item_id long, text string")
+    docs = [(k, f"{phrase} and nothing else {k}") for k in range(300)]
+    docs += [(1000 + k, f"intro {phrase} {tail} outro") for k, tail in enumerate(tails)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1000 + k, k) for k in range(40)}
+
+
 def test_readings_are_all_readings():
     rng = random.Random(8)
     templates = Templates(5)
