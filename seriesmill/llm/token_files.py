@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 from types import ModuleType
@@ -32,6 +34,11 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: composed already.  The pattern is the vocabulary's own, for lowered texts.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Lowered plain texts without these consist of words and of single full stops and commas.
+INTRICATE = re.compile(r"[^\sa-zß-öø-ÿ.,]|[.,]{2}")
+#: Characters that stand for bytes which byte-level vocabularies do not write as themselves.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 0x100 + n for n, b in enumerate(sorted(set(range(0x100)).difference(_OWN)))}
 
 
 class WordEncoder:
@@ -39,8 +46,10 @@ class WordEncoder:
 
     For vocabularies that lower case, split texts into words, digits and marks,
     and drop white space before they merge: then a text's ids are those of its
-    parts, one after the other.  Texts with other characters are cut at white
-    space only, which all such vocabularies allow.
+    parts, one after the other, and a plain part goes straight to the library's
+    merges.  The tokenizer's own description has to say so (``_checked``); texts
+    are encoded whole with any other.  Texts with characters that are not plain
+    are cut at white space only, which all such vocabularies allow.
     """
 
     def __init__(self, spec: str):
@@ -49,30 +58,23 @@ class WordEncoder:
         # Spark has a task per core already; the library's own threads would only wait for one another
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
+        self.by_parts = _checked(spec)
         self.parts: dict[str, bytes] = {}
         self.again: set[str] = set()
-        # a lone zero is a word of one id, and parts many words that are encoded in one call
-        mark = self._ids("0")
-        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.special = "<|"  # how special tokens start; texts that hold one keep their case
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, parts: list[str]) -> None:
-        """Remember the ids of some parts, encoded together where no zero or special token is in them."""
-        apart = [p for p in parts if "0" in p or "<" in p or self.mark is None]
-        together = list(set(parts).difference(apart)) if apart else parts
-        for p in apart:
-            self.parts[p] = self._ids(p).tobytes()
-        if not together:
-            return
-        ids = self._ids(" 0 ".join(together))
-        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-        data, start = ids.tobytes(), 0
-        for p, end in zip(together, ends.tolist(), strict=True):
-            self.parts[p] = data[start:end]
-            start = end + 4
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha() and part.islower():
+            written = part
+        elif "<" in part or part != part.lower() or not PARTS.fullmatch(part) or not PLAIN.fullmatch(part):
+            return self._ids(part)
+        else:
+            written = part.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -84,11 +86,15 @@ class WordEncoder:
         for k, t in enumerate(texts):
             if not t:
                 split.append([])
-            elif self.special not in t and PLAIN.fullmatch(t):
-                split.append(PARTS.findall(t.lower()))
-            elif any(c in t for c in SEPARATORS):
-                whole[k] = self._ids(t).tobytes()
+            elif not self.by_parts or any(c in t for c in SEPARATORS):
+                whole[k] = self._ids(t)
                 split.append([])
+            elif self.special not in t and PLAIN.fullmatch(t):
+                t = t.lower()
+                if INTRICATE.search(t):
+                    split.append(PARTS.findall(t))
+                else:
+                    split.append(t.replace(".", " . ").replace(",", " , ").split())
             else:
                 split.append(t.split())
         parts = self.parts
@@ -101,11 +107,38 @@ class WordEncoder:
             new = here.difference(parts)
         else:
             self.again.update(here.difference(new))
-        if new:
-            self._learn(list(new))
+        for p in new:
+            parts[p] = self._part(p)
         return [whole.get(k) or b"".join(map(parts.__getitem__, found)) for k, found in enumerate(split)]
 
 
+# The pattern by which such a vocabulary splits lowered texts.
+WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _checked(spec: str) -> bool:
+    """Whether a tokenizer's description says that texts can be cut into words and parts."""
+    described = json.loads(spec)
+    if array("I").itemsize != 4 or sys.byteorder != "little":
+        return False
+
+    def steps(part: dict | None, many: str) -> list[dict]:
+        return [] if part is None else part[many] if part["type"] == "Sequence" else [part]
+
+    normal = steps(described.get("normalizer"), "normalizers")
+    before = steps(described.get("pre_tokenizer"), "pretokenizers")
+    spaces = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"}
+                 and n["content"] == " " for n in normal)
+    splits = [b for b in before if b["type"] == "Split"]
+    return (
+        described["model"]["type"] == "BPE" and spaces and any(n["type"] == "Lowercase" for n in normal)
+        and len(splits) == 1 and splits[0]["pattern"] == {"Regex": WORDS_AND_MARKS}
+        and splits[0]["behavior"] == "Removed" and splits[0]["invert"] is True
+        and all(b["type"] == "Split" or b["type"] == "ByteLevel" and not b["add_prefix_space"] for b in before)
+        and all(a["content"].startswith("<|") and not a["content"].split()[1:] for a in described["added_tokens"])
+        and not described["model"].get("ignore_merges") and not described["model"].get("dropout"))
+
+
 def worker_encoder(spec: str) -> WordEncoder:
     """The encoder of this Python worker.  Spark uses a worker for many tasks, so what one learnt serves
     the next; a new worker starts empty and gives the same ids."""

@@ -151,3 +151,24 @@ def test_odd_shards(odd_docs, no_docs, spark):
     law_holds(odd_docs, 4)
     law_holds(no_docs, 4)
     law_holds(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 24)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from seriesmill.llm.token_files import WordEncoder
+
+    texts = ["It's  a test, isn't it?\tYes: 10.5%...", "Ärger, ÉTÉ naïve ß ﬁ", "<|endoftext|>Mixed CASE<x>", None, "a\x1cb", "日本語 x"]
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    changed = json.loads(spec)
+    changed["normalizer"]["normalizers"] = [n for n in changed["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    specs = [spec, open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), json.dumps(changed)]
+    assert [WordEncoder(s).by_parts for s in specs] == [True, False, False]
+    for s in specs:
+        library = Tokenizer.from_str(s)
+        for ids, text in zip(WordEncoder(s).encode_all(texts), texts, strict=True):
+            want = library.encode(text, add_special_tokens=False).ids if text else []
+            assert np.frombuffer(ids, "<u4").tolist() == want
