@@ -38,6 +38,8 @@ NUM, NAME, UNIT, MAYBE = 1, 2, 3, 4
 SHOWN = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
 # KNOWN: some item has the word
 EMPTY, ENDS, CAPITAL, DIGITS, MEASURE, SIGN, PARTS, KNOWN = 1, 2, 4, 8, 16, 32, 64, 128
+#: Marks for pairs of words, hashed.
+PAIR_BITS = 1 << 22
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED = 400_000
@@ -75,29 +77,49 @@ class Places(dict):
 class Templates:
     """Cuts texts into words, types them, and hashes windows; one per task.
 
-    ``known`` are the words that items have, if only windows matter that an item
-    can have too: others are passed over before any reading is made of them.
+    ``known`` are the words that items have and ``pairs`` those that follow each
+    other in a window of theirs, if only windows matter that an item can have
+    too: others are passed over before any reading is made of them.
     """
 
-    def __init__(self, window: int, known: frozenset[str] | None = None):
+    def __init__(
+        self, window: int, known: frozenset[str] | None = None, pairs: list[tuple[str, str]] | None = None,
+    ):
         self.window = window
         self.known = known
         self.places = Places(self._new)
         self.words: list[str] = []
+        self.pairs = None
+        if pairs is not None:
+            hashes = np.array([[xxhash.xxh64_intdigest(w) for w in pair] for pair in pairs], np.uint64).reshape(-1, 2)
+            self.pairs = np.zeros(PAIR_BITS, bool)
+            self.pairs[_pair(hashes[:, 0], hashes[:, 1])] = True
         self.parts: dict[int, list[int]] = {}
         self.flags = np.zeros(1024, np.uint8)
         self.hashes = np.zeros(1024, np.uint64)
         self.typed = np.array([0] + [xxhash.xxh64_intdigest(SHOWN[k]) for k in (NUM, NAME, UNIT)], np.uint64)
         self.subsets: dict[tuple[int, int], tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew; the first two places stand for plain words that no item has, within and at ends of sentences."""
+        self.places.clear()
+        self.parts.clear()
+        self.words = ["", ""]
+        self.flags[:2] = 0, ENDS
+        self.hashes[:2] = 0
 
     def _new(self, raw: str) -> int:
-        place = self.places[raw] = len(self.words)
-        if place == len(self.flags):
-            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        if raw.isalpha() and raw.islower():  # most words: neither marks, digits nor capitals to look at
-            word = raw
-            flags = (word in NUMBER_WORDS) * DIGITS | (word in UNITS) * MEASURE
+        last = raw[-1]
+        core = raw if last.isalpha() else raw[:-1] if last in ".,!?;:" else ""
+        if core.isalpha():  # most words: letters, and a mark behind them perhaps
+            word = core.lower()
+            flags = (word in NUMBER_WORDS) * DIGITS | (word in UNITS) * MEASURE | (last in ".!?:") * ENDS
+            flags |= (core[0].isupper() and core[1:].islower()) * CAPITAL
+            if not flags & ~ENDS and self.known is not None and word not in self.known:
+                # a plain word that no item has: nothing more is asked of it
+                self.places[raw] = place = bool(flags & ENDS) + 0
+                return place
         else:
             core = EDGES.sub("", raw)
             word = core.lower()
@@ -108,7 +130,12 @@ class Templates:
             parts = [] if number else _parts(raw, core)
             if parts:
                 flags |= PARTS
+        place = self.places[raw] = len(self.words)
+        if place == len(self.flags):
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         self.words.append(word)
+        self.hashes[place] = 0
         if self.known is None or word in self.known:
             flags |= KNOWN
             self.hashes[place] = xxhash.xxh64_intdigest(word.encode())
@@ -129,10 +156,8 @@ class Templates:
         capitalised word, or MAYBE one where a sentence or line starts.  What is written
         to a number ('$12', '20%', '5km') is a word of its own.
         """
-        if len(self.words) > REMEMBERED:
-            self.places.clear()
-            self.parts.clear()
-            self.words = []
+        if len(self.places) > REMEMBERED:
+            self._forget()
         # a line's first word is like a sentence's
         raw = (text or "").replace("\n", " . ").split()
         places = np.fromiter(map(self.places.__getitem__, raw), np.int64, len(raw))
@@ -168,10 +193,18 @@ class Templates:
         """
         known = self.flags[places] & KNOWN > 0
         # windows of words that items have or that stand behind a placeholder
-        possible = np.flatnonzero(_counts(known | (types > 0), size) == size)
-        if not len(possible):
+        able = _counts(known | (types > 0), size) == size
+        if not able.any():
             return
         plain = self.hashes[places]
+        if self.pairs is not None and size > 1:
+            kinds = np.where((types > 0) & (types < MAYBE), self.typed[types % MAYBE], plain)
+            follow = self.pairs[_pair(plain[:-1], plain[1:])] | self.pairs[_pair(kinds[:-1], kinds[1:])]
+            follow |= (types[:-1] == MAYBE) | (types[1:] == MAYBE)
+            able &= _counts(follow, size - 1) == size - 1
+        possible = np.flatnonzero(able)
+        if not len(possible):
+            return
         whole = possible[_counts(known, size)[possible] == size]
         yield -1, whole, _mixed(_totals(plain, whole, size))
         maybe = types == MAYBE
@@ -229,6 +262,12 @@ class Templates:
         return " ".join(shown), [f"{k}{w}" for w, k in zip(words, kinds, strict=True) if k]
 
 
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where two words that follow each other are marked."""
+    with np.errstate(over="ignore"):
+        return (_mixed(first * FACTOR + second) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+
+
 def _totals(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
@@ -258,6 +297,7 @@ WINDOWS += ", kinds string, lead int"
 
 def _windows(
     rows: DataFrame, sizes: list[int], only: np.ndarray | None, known: frozenset[str] | None, longest: int | None,
+    pairs: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Windows of the rows' texts (``key`` passes through); those with a hash in ``only``, if given.
 
@@ -273,7 +313,7 @@ def _windows(
         keep[(only & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates = Templates(sizes[-1], known)
+        templates = Templates(sizes[-1], known, pairs)
         columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots", "able", "ables", "kinds", "lead"]
         for frame in frames:
             out = []
@@ -408,14 +448,19 @@ def _judged(
     count, longest = items.agg(F.count(F.lit(1)), F.max("n")).first()
     if not count:
         return docs.sparkSession.createDataFrame([], JUDGED)
-    only = known = None
+    only = known = pairs = None
     if count <= sent:
         only = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
         words = items.where("NOT template").select(F.explode(F.split("window", " ")).alias("word")).distinct()
         known = frozenset(r["word"] for r in words.collect())
+        shown = F.split("window", " ")
+        follow = items.select(F.explode(F.arrays_zip(
+            F.slice(shown, F.lit(1), F.size(shown) - 1).alias("a"), F.slice(shown, F.lit(2), F.size(shown) - 1).alias("b")
+        )).alias("pair")).select("pair.*").distinct()
+        pairs = [(r["a"], r["b"]) for r in follow.collect()]
     used = [r["size"] for r in items.select("size").distinct().collect()]
     same = ["hash", "size", "template", "window"]
-    theirs = stored(_windows(_rows(docs, doc_id, text), sorted(used), only, known, longest).select(
+    theirs = stored(_windows(_rows(docs, doc_id, text), sorted(used), only, known, longest, pairs).select(
         "key", "copy", *same, "at", "slots", "kinds", "lead"))
     ours = items.select(
         *same, F.col("key").alias("item"), F.col("copy").alias("item_copy"),
@@ -475,8 +520,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     that share an id are judged one by one; the best counts.  Extra columns are
     not read; an empty table on either side gives no rows.
 
-    A task drops windows with a word or a hash that no item has.  For that it gets
-    the items' words and hashes, if there are at most ``sent`` windows; with more,
+    A task drops windows with a word, a pair of words or a hash that no item has.
+    For that it gets the items' words, pairs and hashes, if there are at most ``sent`` windows; with more,
     every window is exchanged, which gives the same rows.  Of an item's windows
     the rarest in the documents lead to the pairs that are looked at, so a phrase
     that a third of the documents share with many items costs no pairs.
