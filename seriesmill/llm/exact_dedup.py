@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import per_group, stored
 
 #: White space that does not count: U+0020 and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]"
+#: Copies of one text that go back to their rows in one task at most; beyond, the winner goes to the rows.
+HOT = 100_000
 
 
 def normalised(text: str | Column) -> Column:
@@ -35,10 +37,16 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
        say, spread over ``salts`` tasks;
     3. the winners of the salts, at most ``salts`` rows per text, are combined.
 
+    The salt is dealt by the row's place in its task, so copies spread whatever
+    their ids, NULL or repeated, and lengths are.
+
     What goes back to the rows is the digest with a second hash and the length;
-    should even those be equal for different texts, the job stops.  A hot text
-    is broken up again on the way back: members carry a salt and meet a winner
-    that is repeated per salt.
+    should even those be equal for different texts, the job stops.  Winners of
+    texts with more than ``HOT`` copies, of which there are few, go to the rows
+    wherever those are; the rows of other texts meet their winner by the digest.
+    Where several rows have the winner's id and length, the one that is kept is
+    the first by its place in a written table: a minimum, combined before it is
+    exchanged.  No text's rows are ever gathered or sorted in one task.
 
     NULL texts count as empty, so all empty texts are one group.  Of rows with
     equal text and one id (repeated rows) only one, of the longest, is kept.  A
@@ -52,7 +60,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
         F.sha2("content", 256).alias("digest"),
         F.xxhash64("content").alias("second"),
         F.char_length("content").alias("bare"),
-        F.pmod(F.xxhash64("id", "length"), F.lit(salts)).cast("int").alias("salt"))
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"))
     per_salt = rows.groupBy("digest", "second", "bare", "salt", "content").agg(
         F.min(_best("length", "id")).alias("best"), F.count(F.lit(1)).alias("n"))
     winners = per_salt.groupBy("digest", "second", "bare", "content").agg(
@@ -63,19 +71,27 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
         raise ValueError("different texts share a digest, a second hash and their length")
     # Only texts with copies have to travel back to their rows; a row whose text
     # occurs once is its own winner.
-    groups = (
-        winners.where("n > 1")
-        .select("digest", "second", "bare", "best", "n",
-                F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
-    light = rows.drop("content").join(groups, ["digest", "second", "bare", "salt"], "left")
-    repeated = Window.partitionBy("digest", "second", "bare", "salt", "id", "length").orderBy("salt")
-    wins = (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("length") == -F.col("best.less"))
-            & (F.row_number().over(repeated) == 1))
-    return light.select("*", wins.alias("wins")).select(
+    text_key = ["digest", "second", "bare"]
+    light = stored(rows.select("id", "length", *text_key, F.monotonically_increasing_id().alias("row")))
+    hot = per_group(winners.where(F.col("n") > HOT))
+    cold = winners.where((F.col("n") > 1) & (F.col("n") <= HOT))
+    spread = light.join(hot.withColumnsRenamed({"n": "hot_n", "best": "hot_best"}), text_key, "left")
+    near = spread.where("hot_n IS NULL").drop("hot_n", "hot_best").join(cold, text_key, "left")
+    met = near.unionByName(spread.where("hot_n IS NOT NULL").withColumnsRenamed({"hot_n": "n", "hot_best": "best"}))
+    wins = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("length") == -F.col("best.less"))
+    decided = met.select(
+        "id", "n", "best", *text_key, "row", (F.col("n").isNull() | wins).alias("wins"))
+    # several rows that agree in text, id and length: one of them
+    several = stored(decided.where("n IS NOT NULL AND wins").groupBy(*text_key).agg(
+        F.count(F.lit(1)).alias("__alike"), F.min("row").alias("__first")).where("__alike > 1"))
+    if not several.isEmpty():
+        decided = decided.join(per_group(several), text_key, "left").withColumn(
+            "wins", F.col("wins") & (F.col("__first").isNull() | (F.col("row") == F.col("__first"))))
+    return decided.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
-        (F.col("n").isNull() | F.col("wins")).alias("kept"),
+        F.col("wins").alias("kept"),
         F.col("digest").alias("text_sha256"))
 
 
@@ -101,6 +117,7 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     many = many.withColumn("__digest", F.sha2(normalised(F.col(text)), 256))
     many = many.join(
         keys, many[doc_id].eqNullSafe(F.col("__several_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    first = Window.partitionBy(doc_id, "__digest").orderBy(F.desc(F.char_length(F.coalesce(F.col(text), F.lit("")))))
-    many = many.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+    # an aggregate, so tasks combine their rows before any is exchanged
+    longest = F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce(F.col(text), F.lit(""))))
+    many = many.groupBy(F.col(doc_id).alias("__id"), "__digest").agg(longest.alias("__row")).select("__row.*")
     return single.unionByName(many)

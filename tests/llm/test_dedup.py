@@ -156,3 +156,29 @@ def test_near_copies_are_judged_by_row(spark):
     left = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left), key=str) == sorted(
         [(1, first), (2, "something else"), (3, other + " x"), (4, "z"), (None, "of no id at all")], key=str)
+
+
+@pytest.mark.parametrize("hot", [10, 100_000])
+def test_copies_without_ids_or_with_one(spark, hot, monkeypatch):
+    """A third of all rows is one text without ids, some ids are on many rows: one row per text and id at most."""
+    from seriesmill.llm import exact_dedup
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    rows = [(None, "hot text", 1)] * 400 + [(7, "other  text", 2)] * 100 + [(7, "other text", 3)] * 100
+    rows += [(i, f"text {i}", 4) for i in range(100, 700)] + [(None, "hot  text", 5)] * 2 + [(i, "copied", 6) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(7)
+    found = exact_dedup.exact_groups(docs).collect()
+    assert len(found) == len(rows)
+    kept = sorted(((r["doc_id"], r["group_size"]) for r in found if r["kept"]), key=str)
+    assert kept == sorted([(None, 402), (7, 200), (0, 50), *[(i, 1) for i in range(100, 700)]], key=str)
+    left = exact_dedup.drop_exact_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(
+        [(None, "hot  text"), (7, "other  text"), (0, "copied"), *[(i, f"text {i}") for i in range(100, 700)]], key=str)
+
+
+def test_hot_copies_spread_over_salts(spark):
+    """Rows that agree in id and text are dealt to all salts alike."""
+    from pyspark.sql import functions as F
+    rows = spark.range(32000).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("salt"))
+    sizes = [r["count"] for r in rows.groupBy("salt").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.2 * 2000
