@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import per_group, stored
 from .components import connected_components
 
 #: Fingerprints in a tile, about: two of them are what one comparison task holds.
@@ -159,7 +159,9 @@ def _placed(
     roots = connected_components(fingerprint_links(classes, distance, tile))
     roots = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = roots.groupBy("root").agg(F.min("first").alias("component"))
+    # written, so that the join back does not inherit the exchange by root and Spark can split a large component
+    roots = stored(roots)
+    named = per_group(roots.groupBy("root").agg(F.min("first").alias("component")))
     return rows.join(roots.select("fp", "root").join(named, "root").select("fp", "component"), "fp")
 
 
