@@ -322,6 +322,41 @@ def test_text_of_the_pages(spark, tables):
             assert r["n_chars"] == len(r["text"])
 
 
+ARTICLE = "<article><h1>Head line</h1><p>one two three</p><p>four five six</p></article>"
+BODY = "Head line\none two three\nfour five six"
+FORMS = {
+    f"<body class='has-sidebar'>{ARTICLE}</body>": BODY,
+    f"<body class='has-sidebar'><nav>menu here</nav><main class='with-sidebar'>{ARTICLE}</main></body>": BODY,
+    f"<div id='page' class='no-header'>{ARTICLE}</div>": BODY,
+    f"<div class='widget'>{ARTICLE}<div class='comments'>what a page</div></div>": BODY,
+    f"<form action='x'>{ARTICLE}<input name='q'></form>": BODY,
+    f"{ARTICLE}<div class='comments'><article>first comment here</article></div>": BODY,
+    "<article><p>a b c<ins>new</ins> and <label>this</label> <math>x y</math> d</article>": "a b cnew and this x y d",
+    "<article><p>a b c<p class='ad'>buy this now<p>d e f</article>": "a b c\nd e f",
+    "<article><p>a b c</p><div class='social-history'><p>d e f</p></div><div class='ad-slot x y z'>g h</div></article>":
+        "a b c\nd e f",
+    "<article><ul><li>a b<li>c d<ul><li>e f</ul><li>g h</ul></article>": "a b\nc d\ne f\ng h",
+    "<article><p class='one two three four sponsored'>a b c</p><p>d e f</p></article>": "d e f",
+    "<article><table><tr><td>a b<td>c d<tr><td>e f</table></article>": "a b\nc d\ne f",
+}
+
+
+@pytest.mark.parametrize("page", sorted(FORMS))
+def test_forms_of_pages(page):
+    """Names of the page's state, elements around the article, and end tags that are left out."""
+    assert main_text(page, Weights({"nav": -9.0, "/nav": -9.0}, {})) == FORMS[page]
+
+
+def test_names_are_learnt_from_labelled_pages(spark):
+    page = "<div class='menu'>home {0} there</div><article><p>{0} b c</p><div class='header'><p>d e f</p></div></article>"
+    more = "<div class='header'>not read</div>"
+    pages = [(i, page.format(f"w{i}") + (more if i < 2 else "")) for i in range(9)]
+    pages += [(9, None), (10, "<article>cut"), (11, "<article><p class='ad'>buy</p><p>x y z</p></article>")]
+    weights = learn_weights(spark.createDataFrame(pages, "page_id long, html string"))
+    assert weights.names == {"header": False}
+    assert main_text(page.format("w"), weights) == "w b c\nd e f"
+
+
 def test_best_region_is_the_best_of_all():
     rng = random.Random(4)
     weights = Weights({"p": -0.01, "div": -3.0, "a": -1.0}, {"p": 1.0, "a": 0.2, "div": 0.5}, -0.25, 1.0)
