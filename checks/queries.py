@@ -8,6 +8,7 @@ and doubles rounded, so both engines print the same value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -27,9 +28,15 @@ from seriesmill.operators.prep import (
     dst_adjust, harmonise_union, period_filter, series_select, tidy_unpivot,
 )
 from seriesmill.plans.lifecycle import prepare
-from seriesmill.sources.tables import read_series
+from seriesmill.sources.views import analysis_views
+from seriesmill.session import shared_folder
+from seriesmill.sources.tables import read_prepared, read_series, touched_weeks, update_prepared, write_prepared
 
 SERIES = ["series"]
+#: Four days of hours per block: the hourly series have dozens of blocks each.
+SHORT = Blocking(rows=96)
+#: Fits and searches go over series that are known to be hourly: nothing is counted.
+HOURS = Blocking(grain=3600)
 MODEL = Arma(phi=(0.5, -0.2, 0.1), theta=(0.6,))
 YEARS = range(1995, 2002)
 
@@ -182,7 +189,7 @@ def filtered(spark: SparkSession, sf: str) -> DataFrame:
     prices = hourly(spark, sf)
     inverse = model_table(prices, (-0.6,), (-0.5, 0.2, -0.1))
     return (
-        arma.arma_residuals(prices, SERIES, "ts", "price", inverse, 1)
+        arma.arma_residuals(prices, SERIES, "ts", "price", inverse, 1, HOURS)
         .where(F.col("resid").isNotNull()).select("series", "ts", F.col("resid").alias("y"))
     )
 
@@ -190,13 +197,13 @@ def filtered(spark: SparkSession, sf: str) -> DataFrame:
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
     prices = hourly(spark, sf)
     models = model_table(prices, MODEL.phi, MODEL.theta)
-    return arma.arma_residuals(prices, SERIES, "ts", "price", models, 3)
+    return arma.arma_residuals(prices, SERIES, "ts", "price", models, 3, HOURS)
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     prices = hourly(spark, sf)
     return arma.arma_evaluate(
-        prices, SERIES, "ts", "price", model_table(prices, MODEL.phi, MODEL.theta), 3)
+        prices, SERIES, "ts", "price", model_table(prices, MODEL.phi, MODEL.theta), 3, HOURS)
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,6 +310,25 @@ def q_prepared_calendar(spark, sf):
     return show(done, "series", "load_step", text=("ts", "op_week", "issue_date"), hourly=2, weekly=4, diff=4)
 
 
+#: From here on hours and publications arrive late.
+LATE = "2024-01-18"
+
+
+def q_prepared_update(spark, sf):
+    """The prepared table, first written without what arrives late, then brought up to date week by week."""
+    prices, published, steps = hourly(spark, sf), weekly(spark, sf), load_steps(spark)
+
+    def prepared(prices, published):
+        return prepare(prices, published, [steps], [{}], holidays(spark), dst_edges(spark), SERIES)
+
+    path = f"{shared_folder(spark)}/prepared-{uuid.uuid4().hex}"
+    write_prepared(prepared(prices.where(F.col("ts") < LATE), published.where(F.col("pub_date") < LATE)), path)
+    late = touched_weeks(prices.where(F.col("ts") >= LATE), published.where(F.col("pub_date") >= LATE))
+    update_prepared(prepared(prices, published), path, late)
+    return show(read_prepared(spark, path), "series", "load_step", text=("ts", "op_week", "issue_date"),
+                hourly=2, weekly=4, diff=4)
+
+
 # ---- derivation ---------------------------------------------------------------------
 
 def q_lagged(spark, sf):
@@ -330,6 +356,15 @@ def q_frac_diff(spark, sf):
                 "series", text=("day",), fd=4)
 
 
+#: A memory of most of the daily series, which have dozens of blocks of 96 days.
+MEMORY = 2000
+
+
+def q_frac_diff_long(spark, sf):
+    return show(frac_diff(daily_orders(spark, sf), SERIES, "day", "price", 0.3, MEMORY, SHORT),
+                "series", text=("day",), fd=4)
+
+
 # ---- diagnostics -----------------------------------------------------------------------
 
 def q_sd_band(spark, sf):
@@ -369,6 +404,32 @@ def q_diff_ecdf(spark, sf):
                 "series", "load_step", "n", "cum", value=4, ecdf=6)
 
 
+# ---- from SQL -----------------------------------------------------------------------------
+
+def views(spark: SparkSession, sf: str) -> str:
+    """The hourly prices as a view, with the views of the operators beside it."""
+    name = f"prices_{uuid.uuid4().hex}"
+    hourly(spark, sf).createTempView(name)
+    analysis_views(spark, name, SERIES, "ts", "price", lags=3, test_lags=10, fit_df=6)
+    return name
+
+
+def q_sql_ljung_box(spark, sf):
+    return spark.sql(f"""
+        SELECT series, n, df, round(q, 6) + 0D AS q, round(p_value, 6) + 0D AS p_value FROM {views(spark, sf)}_ljung_box""")
+
+
+def q_sql_acf(spark, sf):
+    return spark.sql(
+        f"SELECT series, lag, round(rho, 6) + 0D AS rho, round(`limit`, 6) + 0D AS `limit` FROM {views(spark, sf)}_acf")
+
+
+def q_sql_lagged(spark, sf):
+    return spark.sql(f"""
+        SELECT series, pos, substring(cast(ts AS string), 1, 19) AS ts, round(price, 2) + 0D AS price,
+               round(price_1, 2) + 0D AS price_1, round(price_3, 2) + 0D AS price_3 FROM {views(spark, sf)}_lagged""")
+
+
 # ---- residuals of a given model ------------------------------------------------------------
 
 def known(df: DataFrame) -> DataFrame:
@@ -441,11 +502,11 @@ def coefficients(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def q_arma_fit_hr(spark, sf):
-    return coefficients(arma.arma_fit_hr(filtered(spark, sf), SERIES, "ts", "y", 3, 1))
+    return coefficients(arma.arma_fit_hr(filtered(spark, sf), SERIES, "ts", "y", 3, 1, blocking=HOURS))
 
 
 def q_arma_fit_css(spark, sf):
-    return css_columns(arma.arma_fit_css(filtered(spark, sf), SERIES, "ts", "y", 3, 1))
+    return css_columns(arma.arma_fit_css(filtered(spark, sf), SERIES, "ts", "y", 3, 1, blocking=HOURS))
 
 
 def css_columns(fit: DataFrame) -> DataFrame:
@@ -455,28 +516,28 @@ def css_columns(fit: DataFrame) -> DataFrame:
 
 def q_order_leaderboard(spark, sf):
     """Pure AR candidates, which are least-squares fits SQL can repeat."""
-    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y", max_q=0)
+    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y", max_q=0, blocking=HOURS)
     return show(board, "series", "p", "q", "with_mean", "rank", sse=2, aic=4, aicc=4, bic=4)
 
 
 def q_order_search_ar(spark, sf):
-    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", max_q=0, refine=False)
+    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", max_q=0, refine=False, blocking=HOURS)
     return show(best, "series", "p", "q", "with_mean", aicc=4)
 
 
 def q_order_leaderboard_arma(spark, sf):
-    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y")
+    board = arma.order_leaderboard(filtered(spark, sf), SERIES, "ts", "y", blocking=HOURS)
     return show(board, "series", "p", "q", "with_mean", "rank", sse=2, aic=4, aicc=4, bic=4)
 
 
 def q_order_search(spark, sf):
-    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y")
+    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", blocking=HOURS)
     return show(best, "series", "p", "q", "with_mean", "n", "converged", sigma2=4, aicc=4)
 
 
 def q_order_search_top(spark, sf):
     """The three best candidates refined."""
-    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", refine_top=3)
+    best = arma.order_search(filtered(spark, sf), SERIES, "ts", "y", refine_top=3, blocking=HOURS)
     return show(best, "series", "p", "q", "with_mean", "n", "converged", sigma2=4, aicc=4)
 
 
@@ -488,10 +549,6 @@ def q_ar_fit_suppliers(spark, sf):
 
 # ---- the same with many blocks per series -------------------------------------------------------
 
-#: Four days of hours per block: the hourly series have dozens of blocks each.
-SHORT = Blocking(rows=96)
-
-
 def q_lagged_blocks(spark, sf):
     rows = lagged(hourly(spark, sf), SERIES, "ts", "price", 3, SHORT)
     return show(rows, "series", "pos", text=("ts",), price=2, price_1=2, price_3=2)
@@ -550,6 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weekly_hourly_align": q_weekly_hourly_align,
     "weekly_hourly_diff": q_weekly_hourly_diff,
     "prepared_dataset": q_prepared,
+    "prepared_update": q_prepared_update,
     "load_step_calendar": q_load_step_calendar,
     "calendar_join": q_calendar_join,
     "prepared_calendar": q_prepared_calendar,
@@ -559,6 +617,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_holdout_split": q_train_holdout_split,
     "frac_diff": q_frac_diff,
     "sd_band": q_sd_band,
+    "frac_diff_long": q_frac_diff_long,
+    "sql_lagged": q_sql_lagged,
+    "sql_acf": q_sql_acf,
+    "sql_ljung_box": q_sql_ljung_box,
     "acf": q_acf,
     "ljung_box": q_ljung_box,
     "ljung_box_suppliers": q_ljung_box_suppliers,

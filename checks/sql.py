@@ -3,7 +3,7 @@ series, recursive queries and elimination written out, for one machine."""
 
 from __future__ import annotations
 
-from .queries import CALENDARS, MODEL, YEARS
+from .queries import CALENDARS, MEMORY, MODEL, YEARS
 
 Z = "1.959963984540054e0"
 
@@ -164,6 +164,9 @@ ORACLES["lagged_mixed"] = query(
   {rnd('lag(price, 1) OVER w', 2)} AS price_1, {rnd('lag(price, 3) OVER w', 2)} AS price_3
 FROM mixed WINDOW w AS (PARTITION BY series ORDER BY ts)""", MIXED)
 
+# however it was written
+ORACLES["prepared_update"] = ORACLES["prepared_dataset"]
+
 ORACLES["cc_returns"] = query(
     f"""SELECT series, {text('CAST(day AS TIMESTAMP)')} AS day, {rnd('ret')} AS ret FROM (
   SELECT *, CASE WHEN price > 0 AND prev > 0 THEN ln(price) - ln(prev) END AS ret FROM (
@@ -208,6 +211,16 @@ ORACLES["frac_diff"] = query(
   SELECT series, day, {frac_terms(0.00943, 50)} AS fd
   FROM daily WINDOW w AS (PARTITION BY series ORDER BY day))""", DAILY_ORDERS)
 
+ORACLES["frac_diff_long"] = query(
+    f"""SELECT series, {text('CAST(day AS TIMESTAMP)')} AS day, {rnd('fd', 4)} AS fd FROM (
+  SELECT a.series, a.day, sum(w * b.price) AS fd
+  FROM placed a JOIN placed b ON a.series = b.series AND b.pos BETWEEN a.pos - {MEMORY} AND a.pos
+  JOIN weights ON k = a.pos - b.pos GROUP BY 1, 2)""", DAILY_ORDERS,
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS pos FROM daily)",
+    f"""weights AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS w UNION ALL
+  SELECT k + 1, w * (k - 0.3) / (k + 1) FROM weights WHERE k < {MEMORY})""")
+
 ORACLES["sd_band"] = query(
     f"""SELECT series, count(*) AS n, {rnd('avg(price)', 4)} AS mean,
   {rnd('stddev_samp(price)', 4)} AS sd,
@@ -742,6 +755,10 @@ QUALIFY row_number() OVER (PARTITION BY series ORDER BY aicc, p, q, with_mean) =
 ORACLES["order_search"] = search(1)
 ORACLES["order_search_top"] = search(3)
 
+# the same results, reached from SQL
+for _name in ("lagged", "acf", "ljung_box"):
+    ORACLES[f"sql_{_name}"] = ORACLES[_name]
+
 # the same results, whatever the number of blocks
 for _name in ("lagged", "acf", "arma_residuals", "arma_fit_hr", "order_leaderboard", "arma_fit_css",
               "order_leaderboard_arma"):

@@ -28,7 +28,7 @@ from ..functions.arrays import (
 from ..functions.distributions import t_value
 from ..session import cut
 from . import recursion
-from .blocks import BLOCK, DEFAULT, Blocking, attach, blocks, history
+from .blocks import BLOCK, DEFAULT, Blocking, attach, blocks, history, own_names
 from .moments import block_products, gram
 
 # orders of the long autoregression and the rows plain AR candidates condition on
@@ -135,6 +135,7 @@ def estimates(
     ).select(*keys, "p", "q", "with_mean", centre().alias("mu"), "n", "used", "coef", "sse")
 
 
+@own_names
 def arma_fit_hr(
     df: DataFrame, keys: Sequence[str], t: str, x: str, p: int = 3, q: int = 1,
     mean: bool = False, blocking: Blocking = DEFAULT,
@@ -368,6 +369,7 @@ def summarise(fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
         "vcov", *[c.alias(name) for name, c in measures.items()], *extra)
 
 
+@own_names
 def arma_evaluate(
     df: DataFrame, keys: Sequence[str], t: str, x: str, model: DataFrame | Arma,
     max_p: int = 5, blocking: Blocking = DEFAULT,
@@ -411,6 +413,7 @@ def residual_values(
     return pd.Series(out)
 
 
+@own_names
 def arma_residuals(
     df: DataFrame, keys: Sequence[str], t: str, x: str, model: DataFrame | Arma,
     max_p: int = 5, blocking: Blocking = DEFAULT,
@@ -524,6 +527,7 @@ def refine_models(
     return summarise(result, keys)
 
 
+@own_names
 def arma_fit_css(
     df: DataFrame, keys: Sequence[str], t: str, x: str, p: int = 3, q: int = 1,
     mean: bool = False, blocking: Blocking = DEFAULT, rounds: int = recursion.ROUNDS,
@@ -570,6 +574,7 @@ def candidate_orders(max_p: int, max_q: int, max_order: int | None) -> Iterator[
                 yield p, q
 
 
+@own_names
 def order_leaderboard(
     df: DataFrame, keys: Sequence[str], t: str, x: str, max_p: int = 5, max_q: int = 5,
     max_order: int | None = 5, means: Sequence[bool] = (False, True),
@@ -636,6 +641,7 @@ def _leaderboard(packed, products, keys, x, max_p, max_q, max_order, means) -> D
     return scored.withColumn("rank", F.row_number().over(rank))
 
 
+@own_names
 def order_search(
     df: DataFrame, keys: Sequence[str], t: str, x: str, max_p: int = 5, max_q: int = 5,
     max_order: int | None = 5, means: Sequence[bool] = (False, True), refine: bool = True,

@@ -11,9 +11,10 @@ summary is ever grouped by series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+import inspect
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,14 @@ class Counted(Blocking):
         return rows.select(*df.columns, F.when(F.col("_place").isNull(), missed).otherwise(F.col("_place")).alias(BLOCK))
 
 
+    def renamed(self, names: Mapping[str, str]) -> Counted:
+        """The same bounds for keys of other names."""
+        names = dict(names)
+        return replace(
+            self, series=self.series.withColumnsRenamed(names), stretches=self.stretches.withColumnsRenamed(names),
+            splits=tuple(s.withColumnsRenamed(names) for s in self.splits))
+
+
 def _begin(width: str) -> Column:
     """Start of the part of the given width that holds ``_unit``, counted from ``_begin``."""
     return F.col("_unit") - F.pmod(F.col("_unit") - F.col("_begin"), F.col(width))
@@ -208,6 +217,51 @@ def fitted_blocking(
     return fits
 
 
+#: Columns that operators use inside, and so the names that a table's own columns must not meet there.
+INSIDE = frozenset((
+    "n", "mean", "obs", "halo", "start", "nth", "pos", "t", "lag", "c", "c0", "head", "tail", "v", "p", "q", "mu", "coef",
+    "with_mean", "drop", "trials", "step", "cross", "starts", "e_tail", "x_tail", "report", "reports", "at", "used", "sse",
+    "g", "long", "reach", "skip", "ps", "rank", "min", "max", "bins", "bin", "lo", "hi", "price", "x", "resid", "fitted"))
+
+
+def own_names(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator ``op(df, keys, t, x, …)`` work on columns of any name.
+
+    Where one of the four has a name that is used inside, the operator sees the
+    table, and model tables with the same keys, under other names, and the keys
+    and the time get their names back in the result.  A result that has a column
+    of its own by such a name cannot be told apart: ValueError.
+    """
+    signature = inspect.signature(op)
+    df_, keys_, t_, x_ = list(signature.parameters)[:4]
+
+    @wraps(op)
+    def run(*args, **more) -> DataFrame:
+        bound = signature.bind(*args, **more)
+        given = bound.arguments
+        df, keys, t, x = given[df_], list(given[keys_]), given[t_], given[x_]
+        # a time column's name comes back in the result, so "t" itself is fine
+        if not INSIDE.intersection([*keys, *({t} - {"t"}), *({x} - {"x", "price", "resid"})]):
+            return op(*args, **more)
+        require(df, [*keys, t, x])
+        inner = {k: f"_key{i}" for i, k in enumerate(keys)}
+        for name, value in list(given.items())[4:]:
+            if isinstance(value, DataFrame):
+                given[name] = value.withColumnsRenamed({k: c for k, c in inner.items() if k in value.columns})
+            elif isinstance(value, Counted):
+                given[name] = value.renamed(inner)
+        given[df_] = df.select(*[F.col(k).alias(c) for k, c in inner.items()], F.col(t).alias("_when"), F.col(x).alias("_value"))
+        given[keys_], given[t_], given[x_] = list(inner.values()), "_when", "_value"
+        out = op(*bound.args, **bound.kwargs)
+        back = {c: k for k, c in inner.items()} | {"_when": t}
+        twice = [name for c, name in back.items() if c in out.columns and name in out.columns]
+        if twice:
+            raise ValueError(f"the result of {op.__name__} has columns {twice} of its own: rename the table's")
+        return out.withColumnsRenamed(back)
+
+    return run
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import dot, doubles, each, each_at, let
-from .blocks import DEFAULT, Blocking, blocks, history, observations, unblock
+from ..session import stored
+from .blocks import DEFAULT, Blocking, blocks, history, observations, own_names, unblock
 
 
+@own_names
 def cc_returns(
     df: DataFrame, keys: Sequence[str], t: str, price: str, blocking: Blocking = DEFAULT,
 ) -> DataFrame:
@@ -25,6 +31,7 @@ def cc_returns(
     return rows.where(F.col("pos") > 1).select(*keys, t, log.alias("ret"))
 
 
+@own_names
 def series_tail(
     df: DataFrame, keys: Sequence[str], t: str, x: str, k: int = 10,
 ) -> DataFrame:
@@ -58,6 +65,7 @@ def holdout(df: DataFrame, keys: Sequence[str], t: str, x: str, h: int = 3) -> D
     )
 
 
+@own_names
 def train_holdout_split(
     df: DataFrame, keys: Sequence[str], t: str, x: str, h: int = 3,
     blocking: Blocking = DEFAULT,
@@ -84,6 +92,80 @@ def frac_weights(d: float, k: int) -> list[float]:
     return weights
 
 
+#: Lags from which a weight is taken from the expansion of the gamma function, and blocks to a stretch.
+FAR, STRETCH = 100_000, 4
+
+
+def weights_between(d: float, first: int, last: int, lags: int) -> np.ndarray:
+    """Weights of ``(1 − B)^d`` for the lags first…last; 0 outside 0…lags."""
+    out = np.zeros(last - first + 1)
+    lo, hi = max(first, 0), min(last, lags)
+    if hi < lo:
+        return out
+    if lo < FAR:
+        k = np.arange(1, hi + 1, dtype=float)
+        out[lo - first:hi - first + 1] = np.concatenate([[1.0], np.cumprod((k - 1 - d) / k)])[lo:]
+    elif not (d >= 0 and float(d).is_integer()):  # else the weights have ended
+        # Γ(k − d) / Γ(k + 1) by its expansion in 1 / k, which leaves out less than a rounding error here
+        a, b = -d - 1, -d
+        start = lo ** a * (1 + a * b / (2 * lo) + a * (a - 1) * (3 * b * b - (a + 1)) / (24 * lo * lo)) / math.gamma(-d)
+        k = np.arange(lo + 1, hi + 1, dtype=float)
+        out[lo - first:hi - first + 1] = start * np.concatenate([[1.0], np.cumprod((k - 1 - d) / k)])
+    return out
+
+
+def _long_memory(df, keys, t, x, d, lags, blocking) -> DataFrame:
+    """``frac_diff`` with a memory of many blocks.
+
+    Neighbouring blocks form stretches of ``STRETCH``.  What a stretch adds to a
+    later one, or to itself, is one convolution with the weights of the lags
+    between them, by a Fourier transform over both lengths.  Pairs are found
+    from a table of one small row per stretch, by its place in the series; a
+    task holds one pair, and a later stretch gathers a sum per earlier one
+    within reach.  Work grows with length times ``lags``.
+    """
+    keys = list(keys)
+    packed = blocks(df, keys, t, [x], 0, blocking)
+    spans = stored(
+        packed.groupBy(*keys, F.floor(F.col("nth") / STRETCH).alias("_span")).agg(
+            F.min("start").alias("_start"), F.flatten(F.transform(
+                F.sort_array(F.collect_list(F.struct("nth", "obs"))), lambda b: b["obs"])).alias("_obs")))
+    listed = spans.select(*keys, "_span", "_start", F.size("_obs").alias("_size"))
+    # a stretch reaches those that begin in its own part of the series or the next
+    width = lags + STRETCH * blocking.rows
+    near = F.explode(F.array(F.floor(F.col("_start") / width), F.floor(F.col("_start") / width) + 1))
+    later = listed.select(*keys, F.floor(F.col("_start") / width).alias("_part"), F.col("_span").alias("_to"),
+                          F.col("_start").alias("_to_start"), F.col("_size").alias("_to_size"))
+    ahead = F.col("_to_start") - F.col("_start")
+    pairs = listed.withColumn("_part", near).join(later, [*keys, "_part"]).where(
+        (ahead >= 0) & (ahead - F.col("_size") < lags)).select(
+        *keys, "_span", "_to", ahead.cast("long").alias("_ahead"), "_to_size")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def added(values: pd.Series, ahead: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for v, offset, n in zip(values, ahead, size, strict=True):
+            v = np.asarray(v, float)
+            w = weights_between(d, offset - len(v) + 1, offset + n - 1, lags)
+            room = 1 << (len(v) + len(w) - 1).bit_length()
+            whole = np.fft.irfft(np.fft.rfft(v, room) * np.fft.rfft(w, room), room)
+            out.append(whole[len(v) - 1:len(v) - 1 + n])
+        return pd.Series(out)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def summed(parts: pd.Series) -> pd.Series:
+        return pd.Series([np.sum([np.asarray(p, float) for p in many], axis=0) for many in parts])
+
+    values = F.transform("_obs", lambda o: o[x])
+    sums = (
+        spans.join(pairs, [*keys, "_span"]).select(*keys, "_to", added(values, F.col("_ahead"), F.col("_to_size")).alias("_add"))
+        .groupBy(*keys, F.col("_to").alias("_span")).agg(F.collect_list("_add").alias("_adds"))
+        .withColumn("_sum", summed("_adds")).drop("_adds"))
+    rows = F.zip_with("_obs", "_sum", lambda o, s: F.struct(o["t"].alias(t), s.alias("fd")))
+    return spans.join(sums, [*keys, "_span"]).select(*keys, F.inline(rows))
+
+
+@own_names
 def frac_diff(
     df: DataFrame, keys: Sequence[str], t: str, x: str,
     d: float, lags: int, blocking: Blocking = DEFAULT,
@@ -93,7 +175,13 @@ def frac_diff(
     The cut is part of the definition and has no default: for small d weights
     fall slowly, and what lies further back than ``lags`` observations is left
     out.  Result ``(keys, t, fd)``; history before the first observation counts as 0.
+
+    Up to a block's length the values needed travel with the block.  A longer
+    memory, up to the whole history, is summed over pairs of stretches of a few
+    blocks (``_long_memory``).
     """
+    if lags > blocking.rows:
+        return _long_memory(df, keys, t, x, d, lags, blocking)
     packed = blocks(df, keys, t, [x], lags, blocking)
     weights = doubles(reversed(frac_weights(d, lags)))
     past = each(history(x, lags), lambda v: f"coalesce({v}, 0D)")

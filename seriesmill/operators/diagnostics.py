@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_tail, z_value
-from .blocks import DEFAULT, Blocking, blocks, observations, require, unblock
+from .blocks import DEFAULT, Blocking, blocks, observations, own_names, require, unblock
 from .moments import lag_products, lag_products_to
 from .quantiles import ecdf, exact_quantiles
 
@@ -16,6 +16,7 @@ from .quantiles import ecdf, exact_quantiles
 DEFAULT_LAG_REACH = 130
 
 
+@own_names
 def sd_band(df: DataFrame, keys: Sequence[str], t: str, x: str, k: float = 3.0) -> DataFrame:
     """Mean, standard deviation and the band mean ± k·sd of each series."""
     stats = observations(df, keys, t, [x]).groupBy(*keys).agg(
@@ -24,6 +25,7 @@ def sd_band(df: DataFrame, keys: Sequence[str], t: str, x: str, k: float = 3.0)
         "lower": F.col("mean") - k * F.col("sd"), "upper": F.col("mean") + k * F.col("sd")})
 
 
+@own_names
 def acf(
     df: DataFrame, keys: Sequence[str], t: str, x: str, max_lag: int | None = None,
     level: float = 0.95, blocking: Blocking = DEFAULT,
@@ -48,6 +50,7 @@ def acf(
     )
 
 
+@own_names
 def ljung_box(
     df: DataFrame, keys: Sequence[str], t: str, x: str, lag: int = 10, fit_df: int = 0,
     blocking: Blocking = DEFAULT,
@@ -69,6 +72,7 @@ def ljung_box(
     )
 
 
+@own_names
 def fd_histogram(
     df: DataFrame, keys: Sequence[str], t: str, x: str, max_bins: int | None = 1_000_000,
 ) -> DataFrame:
@@ -159,6 +163,7 @@ def accuracy_measures(
 DISTRIBUTION_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
+@own_names
 def diff_distribution(
     df: DataFrame, keys: Sequence[str], t: str, x: str = "diff",
 ) -> DataFrame:
@@ -179,6 +184,7 @@ def diff_distribution(
           for i, p in enumerate(DISTRIBUTION_PROBS)])
 
 
+@own_names
 def diff_ecdf(
     df: DataFrame, keys: Sequence[str], t: str, x: str = "diff",
 ) -> DataFrame:

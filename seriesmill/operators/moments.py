@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.arrays import dot, each, let, pairwise, total
+from ..functions.arrays import dot, each, let, total
 from .blocks import DEFAULT, Blocking, blocks, history, lag_name, unblock
 
 
@@ -48,6 +51,33 @@ def block_products(
     )
 
 
+#: Products of a block up to which lags are taken one by one; beyond, by a Fourier transform.
+DIRECT = 1 << 20
+
+
+def correlations(values: np.ndarray, own: int, last: int, direct: int = DIRECT) -> np.ndarray:
+    """``Σ z_i z_{i−k}`` over the last ``own`` values, for k = 0…last; what comes before them serves as lags.
+
+    The block is padded with zeros, so that the cyclic products of a transform
+    are the plain ones.  NaN stands for missing history and adds nothing.
+    """
+    z = np.nan_to_num(values)
+    block, before = z[len(z) - own:], len(z) - own
+    if before < last:
+        z, before = np.concatenate([np.zeros(last - before), z]), last
+    if (last + 1) * own <= direct:
+        return np.correlate(z[before - last:], block, "valid")[::-1]
+    size = 1 << (last + 2 * own - 1).bit_length()
+    spectrum = np.fft.rfft(z[before - last:], size) * np.conj(np.fft.rfft(block, size))
+    return np.fft.irfft(spectrum, size)[:last + 1][::-1]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def block_correlations(values: pd.Series, own: pd.Series, mean: pd.Series, last: pd.Series) -> pd.Series:
+    return pd.Series([correlations(np.asarray(v, float) - m, int(n), int(k))
+                      for v, n, m, k in zip(values, own, mean, last, strict=True)])
+
+
 def lag_products_to(
     df: DataFrame, keys: Sequence[str], t: str, x: str, last: Column, reach: int,
     blocking: Blocking = DEFAULT,
@@ -59,17 +89,11 @@ def lag_products_to(
     beyond = F.raise_error(F.lit(f"lags beyond {reach} are asked for")).cast("int")
     packed = blocks(df, keys, t, [x], reach, blocking).withColumn(
         "_last", F.when(last > reach, beyond).otherwise(last))
-    products = let(each(history(x, reach), lambda v: f"{v} - mean"), lambda z: let(
-        f"slice({z}, {reach + 1}, size(obs))", lambda own: each(
-            "sequence(0, _last)",
-            # missing history is NULL and adds nothing
-            lambda k: total(pairwise(
-                own, f"slice({z}, {reach + 1} - {k}, size(obs))",
-                lambda a, b: f"coalesce({a} * {b}, 0D)")))))
+    products = block_correlations(F.expr(history(x, reach)), F.size("obs"), F.col("mean"), F.col("_last"))
     sums = (
         packed.select(
             *keys, "n", "mean", F.array_min(f"obs.{x}").alias("lo"),
-            F.array_max(f"obs.{x}").alias("hi"), F.expr(f"posexplode({products}) AS (lag, c)"))
+            F.array_max(f"obs.{x}").alias("hi"), F.posexplode(products).alias("lag", "c"))
         .groupBy(*keys, "lag")
         .agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum("c").alias("c"),
              (F.max("hi") > F.min("lo")).alias("varies"))

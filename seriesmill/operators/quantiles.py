@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import per_group, stored
+from ..session import SENT, per_group, stored
 
 # shares of a group by which a bracket may reach beyond its quantile
 MARGINS = (0.1, 0.003)
+#: Rows that a bracket may hold when its values are ranked, and marks by which a fuller one is narrowed.
+HELD, GRID = 100_000, 500
 
 
 def exact_quantiles(
     values: DataFrame, keys: Sequence[str], probs: Sequence[float],
-    accuracy: int = 10_000, more: Sequence[Column] = (),
+    accuracy: int = 10_000, more: Sequence[Column] = (), held: int = HELD,
 ) -> DataFrame:
     """Per group of ``values(keys, v)``: ``n``, ``min``, ``max`` and ``q``, linearly interpolated quantiles.
 
@@ -27,8 +30,10 @@ def exact_quantiles(
     ones.  A second pass counts the values below and ranks only those inside.
     The margin around a quantile is a share of the group, the smallest that
     still spans the ranks needed; tiny groups are bracketed by minimum and
-    maximum.  The first pass runs when this is called; rows are never exchanged
-    but as counts of values inside a bracket.
+    maximum.  A bracket with more than ``held`` rows between its ends, as large
+    groups have, is narrowed first (``_narrowed``), so no more than those are
+    ranked in a task.  All but the last pass run when this is called; rows are
+    never exchanged but as counts of values inside a bracket.
     """
     keys = list(keys)
     margins = sorted({m for m in MARGINS if m > 4 / accuracy} | {4 / accuracy})
@@ -47,7 +52,13 @@ def exact_quantiles(
             hi = F.when(enough, F.col("marks")[place + 1]).otherwise(hi)
         return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), F.col("n").alias("all"))
 
-    groups = per_group(sketch.withColumn("brackets", F.array(*[bracket(i) for i in range(len(probs))])).drop("marks"))
+    groups = stored(sketch.withColumn("brackets", F.array(*[bracket(i) for i in range(len(probs))])).drop("marks"))
+    count, fullest = groups.agg(F.count(F.lit(1)), F.max("n")).first()
+    # a bracket reaches at most 4 / accuracy and the sketch's error to both sides, or its group is small
+    if count and fullest > held and (accuracy > held or fullest * 10 / accuracy > held):
+        groups = per_group(_narrowed(values, keys, groups, probs, max(accuracy, 20 * GRID), held))
+    elif count <= SENT:
+        groups = F.broadcast(groups)
     inside = (
         values.join(groups.select(*keys, "brackets"), keys)
         .select(*keys, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
@@ -57,8 +68,7 @@ def exact_quantiles(
     )
     up_to = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0)
-    p = F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("i") + 1)
-    low = F.floor((F.col("all") - 1) * p)
+    p, low = _place(probs, "i", "all")
     value = F.coalesce("v", F.lit(float("-inf")))
     ranked = (
         inside.withColumns({"_rank": F.sum("_count").over(up_to), "_low": low})
@@ -79,6 +89,60 @@ def exact_quantiles(
     return found.join(groups.drop("brackets"), keys).withColumn("q", F.col("_q.q")).drop("_q")
 
 
+def _place(probs: Sequence[float], i: str, n: str) -> tuple[Column, Column]:
+    """The share of a bracket's quantile and the 0-based rank at or below it."""
+    p = F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col(i) + 1)
+    return p, F.floor((F.col(n) - 1) * p)
+
+
+def _narrowed(
+    values: DataFrame, keys: list[str], groups: DataFrame, probs: Sequence[float], accuracy: int, held: int,
+) -> DataFrame:
+    """``groups`` with brackets that hold at most ``held`` rows strictly between their ends.
+
+    Each round reads the rows inside the brackets that may be too full, counts
+    how many lie below, at the ends and between, and sketches those between by
+    ``GRID`` marks.  The wanted ranks are then at an end, which closes the
+    bracket, or between two marks nearby: about one row in a hundred is left.
+    Values that fill a bracket by their number become its ends, which are
+    counted and not kept.
+    """
+    open_ = stored(groups.select(*keys, "n", F.inline("brackets")).select(*keys, "i", "all", "lo", "hi"))
+    done, step = [], F.lit(1.0) / GRID
+    marks = [k / GRID for k in range(GRID + 1)]
+    for _ in range(64):
+        v = F.col("v")
+        between = (v > F.col("lo")) & (v < F.col("hi"))
+        wanted = per_group(open_.groupBy(*keys).agg(F.collect_list(F.struct("i", "all", "lo", "hi")).alias("_open")))
+        counted = (
+            values.join(wanted, keys)
+            .select(*keys, "v", F.explode(F.filter("_open", lambda b: F.col("v") <= b["hi"])).alias("_b"))
+            .select(*keys, "v", "_b.*").groupBy(*keys, "i", "all", "lo", "hi").agg(
+                F.count(F.when(v < F.col("lo"), 1)).alias("_below"), F.count(F.when(v == F.col("lo"), 1)).alias("_at"),
+                F.count(F.when(between, 1)).alias("_mid"),
+                F.percentile_approx(F.when(between, v), marks, accuracy).alias("_marks")))
+        counted = stored(counted)
+        done.append(counted.where(F.col("_mid") <= held).select(*keys, "i", "all", "lo", "hi"))
+        full = counted.where(F.col("_mid") > held)
+        if full.isEmpty():
+            break
+        _, low = _place(probs, "i", "all")
+        first = low - F.col("_below") - F.col("_at")
+        last = F.least(low + 1, F.col("all") - 1) - F.col("_below") - F.col("_at")
+        left = F.floor(first / F.col("_mid") / step).cast("int") - 2
+        right = F.ceil(last / F.col("_mid") / step).cast("int") + 2
+        lo = F.when(last < 0, F.col("lo")).when(first >= F.col("_mid"), F.col("hi")).when(
+            left < 0, F.col("lo")).otherwise(F.get("_marks", left))
+        hi = F.when(last < 0, F.col("lo")).when(first >= F.col("_mid"), F.col("hi")).when(
+            right > GRID, F.col("hi")).otherwise(F.get("_marks", right))
+        open_ = stored(full.select(*keys, "i", "all", lo.alias("lo"), hi.alias("hi")))
+    else:
+        raise RuntimeError("a bracket of a quantile did not narrow")
+    found = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("i", "lo", "hi", "all"))).alias("brackets"))
+    return groups.drop("brackets").join(found, keys)
+
+
 def ecdf(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Empirical distribution function of ``values(keys, value)``: ``(keys, value, n, cum, ecdf)``.
 

@@ -12,7 +12,7 @@ from ..operators import arma, diagnostics, forecast
 from ..operators.align import (
     calendar_join, load_step_calendar, load_step_join, weekly_hourly_align, weekly_hourly_diff,
 )
-from ..operators.blocks import DEFAULT, Blocking
+from ..operators.blocks import DEFAULT, Blocking, counted_blocking, observations
 from ..operators.derive import holdout, train_holdout_split
 from ..operators.prep import dst_adjust, harmonise_union
 
@@ -60,6 +60,9 @@ def analyse(
     share the residuals, which are kept until ``result["fitted"].unpersist()``.
     """
     keys = list(keys)
+    if blocking.grain is None:
+        # counted once; all tables below have these times or some of them
+        blocking = counted_blocking(observations(df, keys, t, [x]), keys, t, blocking.rows)
     split = train_holdout_split(df, keys, t, x, h, blocking)
     train = split.where("sample = 'train'").select(*keys, t, "x")
     if order == "auto":

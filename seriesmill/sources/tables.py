@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.align import operating_week
 from ..operators.blocks import require
 
 FORMATS = ("parquet", "csv", "orc", "json")
@@ -48,6 +50,32 @@ def write_prepared(
     df.hint("rebalance", week).write.mode(mode).partitionBy(week).parquet(path)
 
 
+def touched_weeks(hourly: DataFrame, weekly: DataFrame, t: str = "ts", pub_date: str = "pub_date") -> DataFrame:
+    """Operating weeks (``op_week``) that new rows bear on: those of the hours, and those that follow a
+    publication, so a late one counts for the week it was meant for."""
+    require(hourly, [t])
+    require(weekly, [pub_date])
+    hours = hourly.select(operating_week(F.to_date(t)).alias("op_week"))
+    published = weekly.select(F.next_day(pub_date, "SAT").alias("op_week"))
+    return hours.unionByName(published).where(F.col("op_week").isNotNull()).distinct()
+
+
+def update_prepared(df: DataFrame, path: str, weeks: DataFrame, week: str = "op_week") -> None:
+    """Write the rows of ``weeks`` anew and leave the files of all other weeks as they are.
+
+    ``df`` is the prepared table, lazily over all data: only rows of the weeks
+    listed are computed to the end and written.  Each week's folder is replaced
+    as a whole (dynamic partition overwrite) when the job commits, so a rerun
+    gives the same table.  The table need not exist yet.  A listed week without
+    rows keeps the folder it may have.
+    """
+    require(df, [week])
+    require(weeks, [week])
+    rows = df.join(weeks.select(week).distinct(), week, "left_semi")
+    rows.hint("rebalance", week).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        week).parquet(path)
+
+
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     """Read back what ``write_prepared`` wrote; filters on the week prune folders."""
     return spark.read.parquet(path)

@@ -100,3 +100,33 @@ def test_many_small_series(spark):
     placed = Blocking(rows=64).placed(df, K, "t").groupBy(*K, BLOCK).count()
     # four rows of a series, far apart at the usual spacing, are one or two blocks
     assert placed.groupBy("series").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_columns_of_any_name(spark):
+    """Names that operators use inside, as key, time or value."""
+    from seriesmill.operators.arma import Arma, arma_fit_hr, arma_residuals
+    from seriesmill.operators.derive import cc_returns
+    from seriesmill.operators.diagnostics import acf
+    draw = np.random.default_rng(1)
+    plain = spark.createDataFrame(
+        [("ab"[i % 2], i, float(v)) for i, v in enumerate(draw.uniform(1, 2, 120))], "series string, t long, x double")
+
+    def rows(df, order):
+        return [tuple(r) for r in df.orderBy(*order).collect()]
+
+    want = rows(ljung_box(plain, K, "t", "x", 5), ["series"])
+    for name in ("mean", "n", "obs", "pos", "c"):
+        assert rows(ljung_box(plain.withColumnRenamed("x", name), K, "t", name, 5), ["series"]) == want
+    assert rows(cc_returns(plain.withColumnRenamed("x", "n"), K, "t", "n"), ["series", "t"]) == rows(
+        cc_returns(plain, K, "t", "x"), ["series", "t"])
+    named = plain.withColumnsRenamed({"series": "n", "t": "start", "x": "mean"})
+    found = acf(named, ["n"], "start", "mean", 3)
+    assert found.columns[0] == "n" and rows(found, ["n", "lag"]) == rows(acf(plain, K, "t", "x", 3), ["series", "lag"])
+    found = arma_residuals(named, ["n"], "start", "mean", Arma((0.5,), (0.2,)))
+    assert found.columns == ["n", "start", "x", "fitted", "resid"]
+    assert rows(found, ["n", "start"]) == rows(arma_residuals(plain, K, "t", "x", Arma((0.5,), (0.2,))), ["series", "t"])
+    model = arma_fit_hr(plain, K, "t", "x", 1, 1)
+    found = arma_residuals(plain.withColumnRenamed("x", "obs"), K, "t", "obs", model)
+    assert rows(found, ["series", "t"]) == rows(arma_residuals(plain, K, "t", "x", model), ["series", "t"])
+    with pytest.raises(ValueError, match="of its own"):
+        ljung_box(named, ["n"], "start", "mean", 5)

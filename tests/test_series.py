@@ -287,3 +287,99 @@ def test_blocks_that_cannot_fit(spark):
     with pytest.raises(ValueError, match="share one unit"):
         fitted_blocking(df, K, "t", 10)
     assert fitted_blocking(df.limit(0), K, "t", 10).rows == 10
+
+
+# ---- lags by transform, quantiles in rounds, weekly updates ------------------------------------------
+
+@pytest.mark.parametrize("own, before, last, direct", [
+    (500, 130, 130, 0), (500, 130, 130, 1 << 20), (1, 0, 0, 0), (7, 3, 40, 0), (7, 3, 40, 1 << 20), (64, 64, 63, 0)])
+def test_correlations_of_a_block(own, before, last, direct):
+    from seriesmill.operators.moments import correlations
+    draw = np.random.default_rng(own)
+    values = draw.normal(size=before + own) * 1e3
+    values[:before // 3] = np.nan
+    z = np.nan_to_num(values)
+    want = [sum(z[i] * z[i - k] for i in range(before, before + own) if i >= k) for k in range(last + 1)]
+    assert np.allclose(correlations(values, own, last, direct), want, rtol=0, atol=1e-9 * float(z @ z))
+
+
+@pytest.mark.parametrize("held, accuracy", [(5, 100), (50, 1000), (400, 10_000)])
+def test_brackets_are_narrowed_until_few_rows_are_left(make, held, accuracy):
+    from seriesmill.operators.quantiles import exact_quantiles
+    groups = {
+        "spread": RNG.normal(size=5000) ** 5, "heavy": np.concatenate([RNG.normal(size=1500), np.full(2500, 0.25), np.full(900, 3.0)]),
+        "two": np.array([1.0] * 1700 + [2.0] * 1300), "one": np.full(2000, -7.0), "few": np.array([3.0, 1.0, 2.0]),
+        "far": np.concatenate([[-1e300, 1e300], RNG.normal(size=3000)])}
+    values = make({k: v.tolist() for k, v in groups.items()}).select(*K, F.col("x").alias("v"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = table(exact_quantiles(values, K, probs, accuracy, held=held), "series")
+    for k, v in groups.items():
+        assert np.allclose(got[k,].q, np.quantile(v, probs), atol=0, rtol=1e-12), k
+        assert got[k,].n == len(v)
+
+
+def test_only_touched_weeks_are_written(spark, tmp_path):
+    import os
+    from datetime import date, datetime
+
+    from seriesmill.sources.tables import read_prepared, touched_weeks, update_prepared
+
+    def rows(day, price):
+        return (datetime(2024, 1, day, 5), date(2024, 1, day - (day + 1) % 7) if day > 6 else date(2023, 12, 30), price)
+
+    schema, path = "ts timestamp_ntz, op_week date, price double", str(tmp_path / "prepared")
+    first = [rows(3, 1.0), rows(8, 2.0), rows(15, 3.0)]
+    all_weeks = spark.createDataFrame(first, schema)
+    update_prepared(all_weeks, path, all_weeks.select("op_week"))
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+    before = files()
+    # a price published late, on a Friday, counts for the week from the next day
+    weekly = spark.createDataFrame([(date(2024, 1, 5),)], "pub_date date")
+    weeks = touched_weeks(all_weeks.limit(0), weekly)
+    assert [r["op_week"] for r in weeks.collect()] == [date(2024, 1, 6)]
+    later = spark.createDataFrame([rows(3, 9.0), rows(8, 9.0), rows(15, 9.0)], schema)
+    for _ in range(2):
+        update_prepared(later, path, weeks)
+        found = {r["op_week"]: r["price"] for r in read_prepared(spark, path).collect()}
+        assert found == {date(2023, 12, 30): 1.0, date(2024, 1, 6): 9.0, date(2024, 1, 13): 3.0}
+    assert {f for f in before if "2024-01-06" not in f} <= files() and not {f for f in before if "2024-01-06" in f} & files()
+    hours = spark.createDataFrame([rows(15, 1.0)], schema)
+    assert [r["op_week"] for r in touched_weeks(hours, weekly.limit(0)).collect()] == [date(2024, 1, 13)]
+
+
+@pytest.mark.parametrize("d, lags", [(0.3, 3000), (-0.4, 700), (0.00943, 5000), (1.0, 2000), (2.5, 4999)])
+def test_long_memory(make, d, lags):
+    from seriesmill.operators.derive import frac_weights
+    series = {"a": RNG.normal(size=5000), "b": RNG.normal(size=90), "c": [2.0]}
+    got = table(frac_diff(make({k: list(v) for k, v in series.items()}), K, "t", "x", d, lags, Blocking(rows=64)), "series", "t")
+    weights = np.array(frac_weights(d, lags))
+    for k, v in series.items():
+        want = np.convolve(v, weights)[:len(v)]
+        assert np.allclose([got[k, i + 1].fd for i in range(len(v))], want, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("d", [0.3, -0.4, 1.7, 2.0])
+def test_weights_far_back(d):
+    from seriesmill.operators.derive import FAR, weights_between
+    k = np.arange(1, 3 * FAR, dtype=float)
+    plain = np.concatenate([[1.0], np.cumprod((k - 1 - d) / k)])
+    far = weights_between(d, 2 * FAR, 2 * FAR + 50, 10 * FAR)
+    assert np.allclose(far, plain[2 * FAR:2 * FAR + 51], rtol=1e-9, atol=0)
+    assert np.allclose(weights_between(d, -3, 4, 2), [0, 0, 0, *plain[:3], 0, 0])
+
+
+def test_operators_from_sql(spark, make):
+    from seriesmill.sources.views import analysis_views
+    df = make({"a": WALK.tolist(), "b": WALK[:50].tolist()})
+    df.createOrReplaceTempView("walks")
+    names = analysis_views(spark, "walks", K, "t", "x", d=0.3, cut=20)
+    assert names == [f"walks_{n}" for n in ("lagged", "returns", "tail", "acf", "ljung_box", "band", "histogram", "frac_diff")]
+    found = spark.sql("SELECT series, max(pos) AS n, sum(x - x_1) AS moved FROM walks_lagged GROUP BY series ORDER BY series")
+    assert [(r.series, r.n) for r in found.collect()] == [("a", len(WALK)), ("b", 50)]
+    joined = spark.sql("SELECT count(*) AS n FROM walks_acf JOIN walks_band USING (series) WHERE lag <= 5").first()
+    assert joined.n == 10
+    for name in names:
+        assert spark.table(name).count() > 0 or name.endswith("returns")
