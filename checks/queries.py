@@ -358,10 +358,11 @@ def q_frac_diff(spark, sf):
 
 #: A memory of most of the daily series, which have dozens of blocks of 96 days.
 MEMORY = 2000
+THIRD = 1 / 3
 
 
 def q_frac_diff_long(spark, sf):
-    return show(frac_diff(daily_orders(spark, sf), SERIES, "day", "price", 0.3, MEMORY, SHORT),
+    return show(frac_diff(daily_orders(spark, sf), SERIES, "day", "price", THIRD, MEMORY, SHORT),
                 "series", text=("day",), fd=4)
 
 

@@ -3,7 +3,7 @@ series, recursive queries and elimination written out, for one machine."""
 
 from __future__ import annotations
 
-from .queries import CALENDARS, MEMORY, MODEL, YEARS
+from .queries import CALENDARS, MEMORY, MODEL, THIRD, YEARS
 
 Z = "1.959963984540054e0"
 
@@ -219,7 +219,7 @@ ORACLES["frac_diff_long"] = query(
     "placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS pos FROM daily)",
     f"""weights AS (
   SELECT CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS w UNION ALL
-  SELECT k + 1, w * (k - 0.3) / (k + 1) FROM weights WHERE k < {MEMORY})""")
+  SELECT k + 1, w * (k - CAST({THIRD!r} AS DOUBLE)) / (k + 1) FROM weights WHERE k < {MEMORY})""")
 
 ORACLES["sd_band"] = query(
     f"""SELECT series, count(*) AS n, {rnd('avg(price)', 4)} AS mean,

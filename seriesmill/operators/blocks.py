@@ -238,6 +238,7 @@ def own_names(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @wraps(op)
     def run(*args, **more) -> DataFrame:
         bound = signature.bind(*args, **more)
+        bound.apply_defaults()
         given = bound.arguments
         df, keys, t, x = given[df_], list(given[keys_]), given[t_], given[x_]
         # a time column's name comes back in the result, so "t" itself is fine
