@@ -64,13 +64,24 @@ def _parts(raw: str, core: str) -> list[str]:
 
 
 class Places(dict):
-    """A word's place in the table of words met; new ones are added."""
+    """A word's place in the table of words met; new ones are added.
 
-    def __init__(self, add):
+    With ``telling``, the words that items have, number words and units, all
+    other words in small letters share two places: 1 where a mark behind the word
+    ends a sentence, else 0.
+    """
+
+    def __init__(self, add, telling: frozenset[str] | None):
         super().__init__()
-        self.add = add
+        self.add, self.telling = add, telling
 
     def __missing__(self, raw: str) -> int:
+        if self.telling is not None and raw.islower():
+            last = raw[-1]
+            core = raw if last.isalpha() else raw[:-1] if last in ".,!?;:" else ""
+            if core.isalpha() and core not in self.telling:
+                self[raw] = place = 1 if last in ".!?:" else 0
+                return place
         return self.add(raw)
 
 
@@ -87,7 +98,7 @@ class Templates:
     ):
         self.window = window
         self.known = known
-        self.places = Places(self._new)
+        self.places = Places(self._new, None if known is None else known | NUMBER_WORDS | UNITS)
         self.words: list[str] = []
         self.pairs = None
         if pairs is not None:
@@ -116,10 +127,6 @@ class Templates:
             word = core.lower()
             flags = (word in NUMBER_WORDS) * DIGITS | (word in UNITS) * MEASURE | (last in ".!?:") * ENDS
             flags |= (core[0].isupper() and core[1:].islower()) * CAPITAL
-            if not flags & ~ENDS and self.known is not None and word not in self.known:
-                # a plain word that no item has: nothing more is asked of it
-                self.places[raw] = place = bool(flags & ENDS) + 0
-                return place
         else:
             core = EDGES.sub("", raw)
             word = core.lower()
@@ -193,47 +200,49 @@ class Templates:
         """
         known = self.flags[places] & KNOWN > 0
         # windows of words that items have or that stand behind a placeholder
-        able = _counts(known | (types > 0), size) == size
-        if not able.any():
-            return
+        able = known | (types > 0)
         plain = self.hashes[places]
-        if self.pairs is not None and size > 1:
-            kinds = np.where((types > 0) & (types < MAYBE), self.typed[types % MAYBE], plain)
-            follow = self.pairs[_pair(plain[:-1], plain[1:])] | self.pairs[_pair(kinds[:-1], kinds[1:])]
-            follow |= (types[:-1] == MAYBE) | (types[1:] == MAYBE)
-            able &= _counts(follow, size - 1) == size - 1
-        possible = np.flatnonzero(able)
+        kinds = np.where((types > 0) & (types < MAYBE), self.typed[types % MAYBE], plain)
+        if size > 1:
+            able = able[:-1] & able[1:]
+            if self.pairs is not None:
+                follow = self.pairs[_pair(plain[:-1], plain[1:])] | self.pairs[_pair(kinds[:-1], kinds[1:])]
+                able &= follow | (types[:-1] == MAYBE) | (types[1:] == MAYBE)
+        steps = max(size - 1, 1)
+        possible = able[:len(able) - steps + 1].copy()
+        for k in range(1, steps):
+            possible &= able[k:len(able) - steps + 1 + k]
+        possible = np.flatnonzero(possible)
         if not len(possible):
             return
-        whole = possible[_counts(known, size)[possible] == size]
-        yield -1, whole, _mixed(_totals(plain, whole, size))
-        maybe = types == MAYBE
-        sure = np.where(maybe, 0, types)
-        kinds = np.where(sure > 0, self.typed[sure], plain)
-        slots = _counts(sure > 0, size)
-        most = size - min(2, size)
-        some = possible[(slots[possible] > 0) & (slots[possible] <= most)]
-        yield 0, some, _mixed(_totals(kinds, some, size))
+        # a row per window
+        window = possible[:, None] + np.arange(size)
+        kind = types[window]
+        whole = known[window].all(1)
+        yield -1, possible[whole], _mixed(_totals(plain[window[whole]]))
+        sure = (kind > 0) & (kind < MAYBE)
+        slots, most = sure.sum(1), size - min(2, size)
+        some = (slots > 0) & (slots <= most)
+        yield 0, possible[some], _mixed(_totals(kinds[window[some]]))
         # each MAYBE is a name or itself, so a window has as many readings as they have subsets
-        could = possible[_counts(maybe, size)[possible] > 0]
-        if not len(could):
+        maybe = kind == MAYBE
+        could = maybe.any(1)
+        if not could.any():
             return
-        totals = _totals(kinds, could, size)
-        patterns = np.zeros(len(could), np.int64)
-        for k in range(size):
-            patterns |= maybe[could + k].astype(np.int64) << k
+        possible, window, maybe, slots = possible[could], window[could], maybe[could], slots[could]
+        totals = _totals(kinds[window])
+        patterns = (maybe << np.arange(size)).sum(1)
         gains = self.typed[NAME] - plain
         for mask in sorted({m for p in np.unique(patterns).tolist() for m in self._subsets(p, most)}):
-            chosen = (patterns & mask == mask) & (slots[could] + mask.bit_count() <= most)
-            at = could[chosen]
-            if not len(at):
+            chosen = (patterns & mask == mask) & (slots + mask.bit_count() <= most)
+            if not chosen.any():
                 continue
             with np.errstate(over="ignore"):
                 total = totals[chosen]
                 for k in range(size):
                     if mask >> k & 1:
-                        total = total + gains[at + k] * _power(size - 1 - k)
-            yield mask, at, _mixed(total)
+                        total = total + gains[window[chosen, k]] * _power(size - 1 - k)
+            yield mask, possible[chosen], _mixed(total)
 
     def _subsets(self, pattern: int, most: int) -> tuple[int, ...]:
         """The subsets of at most ``most`` of the bits set, without the empty one."""
@@ -268,11 +277,12 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (_mixed(first * FACTOR + second) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
 
 
-def _totals(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    total = np.zeros(len(at), np.uint64)
+def _totals(values: np.ndarray) -> np.ndarray:
+    """A hash per row of hashes."""
+    total = np.zeros(len(values), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            total = total * FACTOR + values[at + k]
+        for k in range(values.shape[1]):
+            total = total * FACTOR + values[:, k]
     return total
 
 
