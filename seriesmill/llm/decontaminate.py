@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,14 @@ PAIR_BITS = 1 << 22
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED = 400_000
+#: Characters of text that a task reads at once; a longer text is read alone.
+AT_ONCE = 4_000_000
+# Places that words share: plain ones that no item has by ENDS and CAPITAL, the end of a text, and no word at all.
+OTHER, BREAK, NOTHING, SHARED = 0, 4, 5, 6
+MARKS = ".,!?;:"
+#: Words that are told by their letters alone: those of scripts in which one small letter answers one capital.
+SIMPLE = rf"^[A-ZÀ-ÖØ-ÞА-ЯЁa-zß-öø-ÿа-яё][a-zß-öø-ÿа-яё]*[{MARKS}]?$"
+SIMPLE_CAPITAL = "^[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 #: Benchmark windows up to which their hashes go to every task; beyond, all windows are exchanged.
 SENT = 2_000_000
 
@@ -67,8 +77,8 @@ class Places(dict):
     """A word's place in the table of words met; new ones are added.
 
     With ``telling``, the words that items have, number words and units, all
-    other words in small letters share two places: 1 where a mark behind the word
-    ends a sentence, else 0.
+    other words in small letters share two places: OTHER + 1 where a mark behind
+    the word ends a sentence, else OTHER.
     """
 
     def __init__(self, add, telling: frozenset[str] | None):
@@ -78,9 +88,9 @@ class Places(dict):
     def __missing__(self, raw: str) -> int:
         if self.telling is not None and raw.islower():
             last = raw[-1]
-            core = raw if last.isalpha() else raw[:-1] if last in ".,!?;:" else ""
+            core = raw if last.isalpha() else raw[:-1] if last in MARKS else ""
             if core.isalpha() and core not in self.telling:
-                self[raw] = place = 1 if last in ".!?:" else 0
+                self[raw] = place = OTHER + (last in ".!?:")
                 return place
         return self.add(raw)
 
@@ -98,7 +108,8 @@ class Templates:
     ):
         self.window = window
         self.known = known
-        self.places = Places(self._new, None if known is None else known | NUMBER_WORDS | UNITS)
+        self.telling = None if known is None else known | NUMBER_WORDS | UNITS
+        self.places = Places(self._new, self.telling)
         self.words: list[str] = []
         self.pairs = None
         if pairs is not None:
@@ -113,16 +124,17 @@ class Templates:
         self._forget()
 
     def _forget(self) -> None:
-        """Start anew; the first two places stand for plain words that no item has, within and at ends of sentences."""
+        """Start anew, with the places that words share."""
         self.places.clear()
+        self.places[""] = NOTHING
         self.parts.clear()
-        self.words = ["", ""]
-        self.flags[:2] = 0, ENDS
-        self.hashes[:2] = 0
+        self.words = [""] * SHARED
+        self.flags[:SHARED] = 0, ENDS, CAPITAL, CAPITAL | ENDS, ENDS, EMPTY
+        self.hashes[:SHARED] = 0
 
     def _new(self, raw: str) -> int:
         last = raw[-1]
-        core = raw if last.isalpha() else raw[:-1] if last in ".,!?;:" else ""
+        core = raw if last.isalpha() else raw[:-1] if last in MARKS else ""
         if core.isalpha():  # most words: letters, and a mark behind them perhaps
             word = core.lower()
             flags = (word in NUMBER_WORDS) * DIGITS | (word in UNITS) * MEASURE | (last in ".!?:") * ENDS
@@ -155,8 +167,30 @@ class Templates:
         place = self.places[raw]
         return self.parts.get(place, [place])
 
+    def _placed(self, raw: pa.Array) -> np.ndarray:
+        """The places of distinct words."""
+        out = np.zeros(len(raw), np.int32)
+        rest = np.ones(len(raw), bool)
+        if self.telling is not None:
+            bare = pc.ascii_rtrim(raw, MARKS)
+            cores = pc.utf8_lower(bare).to_numpy(zero_copy_only=False)
+            told = np.fromiter(map(self.telling.__contains__, cores), bool, len(cores))
+            rest = told | ~_bools(pc.match_substring_regex(raw, SIMPLE))
+            # a capital alone is no name
+            capital = _bools(pc.match_substring_regex(raw, SIMPLE_CAPITAL)) & (pc.utf8_length(bare).to_numpy() > 1)
+            out[:] = OTHER + _bools(pc.match_substring_regex(raw, "[.!?:]$")) + 2 * capital
+        left = raw.filter(pa.array(rest)).to_numpy(zero_copy_only=False)
+        out[rest] = np.fromiter(map(self.places.__getitem__, left), np.int32, len(left))
+        return out
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Per word its place in ``words`` and its type (0: itself).
+        """Per word its place in ``words`` and its type (0: itself)."""
+        places, types, _ = self.read_all([text])
+        return places[:-1], types[:-1]
+
+    def read_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
+        """Per word of all texts its place in ``words`` and its type (0: itself), with a BREAK behind each
+        text; and what gives the word as it is written for where it stands.
 
         A number is a number, in digits, as an ordinal or as a word; a unit is a
         unit word after one, or a currency sign next to one; a name is a
@@ -166,19 +200,28 @@ class Templates:
         if len(self.places) > REMEMBERED:
             self._forget()
         # a line's first word is like a sentence's
-        raw = (text or "").replace("\n", " . ").split()
-        places = np.fromiter(map(self.places.__getitem__, raw), np.int64, len(raw))
+        lines = pc.replace_substring(pa.array([text or "" for text in texts], pa.large_string()), "\n", " . ")
+        split = pc.utf8_split_whitespace(lines)
+        raw = split.flatten().dictionary_encode()
+        # every distinct word is looked at once
+        codes = np.insert(raw.indices.to_numpy(), split.offsets.to_numpy()[1:], -1)
+        places = np.append(self._placed(raw.dictionary), np.int32(BREAK))[codes]
         flags = self.flags[places]
-        if (flags & PARTS).any():
-            places = np.array([q for p in places.tolist() for q in self.parts.get(p, (p,))], np.int64)
+        cut = flags & PARTS > 0
+        if cut.any():
+            parts = [self.parts[p] for p in places[cut].tolist()]
+            times = np.ones(len(places), np.int64)
+            times[cut] = [len(p) for p in parts]
+            places, codes, cut = (np.repeat(x, times) for x in (places, codes, cut))
+            places[cut] = np.concatenate(parts)
             flags = self.flags[places]
         starts = np.ones(len(places), bool)
         starts[1:] = flags[:-1] & ENDS > 0
-        full = flags & EMPTY == 0
+        full = np.flatnonzero(flags & EMPTY == 0)
         # an empty word, such as a lone dash, hands on whether a sentence starts
-        for at in np.flatnonzero(~full[:-1]):
-            starts[at + 1] |= starts[at]
-        places, flags, starts = places[full], flags[full], starts[full]
+        sums = np.concatenate([[0], np.cumsum(starts)])
+        starts = sums[full + 1] > sums[np.concatenate([[0], full[:-1] + 1])]
+        places, flags, codes = places[full], flags[full], codes[full]
         number = flags & DIGITS > 0
         after = np.zeros(len(places), bool)
         after[1:] = number[:-1]
@@ -190,7 +233,12 @@ class Templates:
         before[:-1] = number[1:]
         types[(flags & SIGN > 0) & (before | after)] = UNIT
         types[number] = NUM
-        return places, types
+        return places, types, lambda at: raw.dictionary[int(codes[at])].as_py()
+
+    def tell(self, places: np.ndarray, at: int, size: int, written: Callable[[int], str]) -> None:
+        """Gives words of a window that share a place one of their own."""
+        for k in np.flatnonzero(places[at:at + size] < BREAK).tolist():
+            places[at + k] = self.places[written(at + k)]
 
     def hashed(self, places: np.ndarray, types: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Readings of the windows of ``size`` words: -1 for the words as they are, else a template whose
@@ -200,39 +248,41 @@ class Templates:
         """
         known = self.flags[places] & KNOWN > 0
         # windows of words that items have or that stand behind a placeholder
-        able = known | (types > 0)
-        plain = self.hashes[places]
-        kinds = np.where((types > 0) & (types < MAYBE), self.typed[types % MAYBE], plain)
-        if size > 1:
-            able = able[:-1] & able[1:]
-            if self.pairs is not None:
-                follow = self.pairs[_pair(plain[:-1], plain[1:])] | self.pairs[_pair(kinds[:-1], kinds[1:])]
-                able &= follow | (types[:-1] == MAYBE) | (types[1:] == MAYBE)
-        steps = max(size - 1, 1)
-        possible = able[:len(able) - steps + 1].copy()
-        for k in range(1, steps):
-            possible &= able[k:len(able) - steps + 1 + k]
+        possible = _everywhere(known | (types > 0), size)
+        if not possible.any():
+            return
+        if size > 1 and self.pairs is not None:
+            # pairs are looked up where they can matter only
+            follow = np.zeros(len(places) - 1, bool)
+            for k in range(size - 1):
+                follow[k:k + len(possible)] |= possible
+            first = np.flatnonzero(follow)
+            plain, kinds, types_ = self._hashes(places, types, first)
+            plain_, kinds_, next_ = self._hashes(places, types, first + 1)
+            follow[first] = (self.pairs[_pair(plain, plain_)] | self.pairs[_pair(kinds, kinds_)]
+                             | (types_ == MAYBE) | (next_ == MAYBE))
+            possible &= _everywhere(follow, size - 1)
         possible = np.flatnonzero(possible)
         if not len(possible):
             return
         # a row per window
         window = possible[:, None] + np.arange(size)
-        kind = types[window]
+        plain, kinds, kind = self._hashes(places, types, window)
         whole = known[window].all(1)
-        yield -1, possible[whole], _mixed(_totals(plain[window[whole]]))
+        yield -1, possible[whole], _mixed(_totals(plain[whole]))
         sure = (kind > 0) & (kind < MAYBE)
         slots, most = sure.sum(1), size - min(2, size)
         some = (slots > 0) & (slots <= most)
-        yield 0, possible[some], _mixed(_totals(kinds[window[some]]))
+        yield 0, possible[some], _mixed(_totals(kinds[some]))
         # each MAYBE is a name or itself, so a window has as many readings as they have subsets
         maybe = kind == MAYBE
         could = maybe.any(1)
         if not could.any():
             return
-        possible, window, maybe, slots = possible[could], window[could], maybe[could], slots[could]
-        totals = _totals(kinds[window])
+        possible, maybe, slots = possible[could], maybe[could], slots[could]
+        totals = _totals(kinds[could])
         patterns = (maybe << np.arange(size)).sum(1)
-        gains = self.typed[NAME] - plain
+        gains = self.typed[NAME] - plain[could]
         for mask in sorted({m for p in np.unique(patterns).tolist() for m in self._subsets(p, most)}):
             chosen = (patterns & mask == mask) & (slots + mask.bit_count() <= most)
             if not chosen.any():
@@ -241,9 +291,14 @@ class Templates:
                 total = totals[chosen]
                 for k in range(size):
                     if mask >> k & 1:
-                        total = total + gains[window[chosen, k]] * _power(size - 1 - k)
+                        total = total + gains[chosen, k] * _power(size - 1 - k)
             yield mask, possible[chosen], _mixed(total)
 
+    def _hashes(self, places: np.ndarray, types: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of words as they are, and as placeholders where they are surely one, and the words' types."""
+        plain, types = self.hashes[places[at]], types[at]
+        return plain, np.where((types > 0) & (types < MAYBE), self.typed[types % MAYBE], plain), types
+
     def _subsets(self, pattern: int, most: int) -> tuple[int, ...]:
         """The subsets of at most ``most`` of the bits set, without the empty one."""
         found = self.subsets.get((pattern, most))
@@ -277,6 +332,18 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (_mixed(first * FACTOR + second) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
 
 
+def _bools(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False)
+
+
+def _everywhere(flags: np.ndarray, size: int) -> np.ndarray:
+    """Whether all are set, per window."""
+    out = flags[:max(len(flags) - size + 1, 0)].copy()
+    for k in range(1, size):
+        out &= flags[k:k + len(out)]
+    return out
+
+
 def _totals(values: np.ndarray) -> np.ndarray:
     """A hash per row of hashes."""
     total = np.zeros(len(values), np.uint64)
@@ -327,15 +394,18 @@ def _windows(
         columns = ["key", "copy", "size", "at", "n", "template", "hash", "window", "slots", "able", "ables", "kinds", "lead"]
         for frame in frames:
             out = []
-            for key, copy, text in zip(frame["key"], frame["copy"], frame["text"], strict=True):
-                places, types = templates.read(text)
-                kinds = None
-                for size in ([s for s in sizes if s <= len(places)][-1:] if items else sizes):
-                    if size > len(places):
-                        continue
-                    # what an item is judged by; documents need not know
-                    able = templates.able(types, size) if items else None
-                    ables = int(able.sum()) if items else 0
+            texts, keys, copies = frame["text"].tolist(), frame["key"].tolist(), frame["copy"].tolist()
+            for some in _at_once(texts):
+                places, types, written = templates.read_all(texts[some])
+                ends = np.flatnonzero(places == BREAK)
+                begins = np.concatenate([[0], ends[:-1] + 1])
+                # what an item is judged by; documents need not know
+                judged = []
+                for begin, end in zip(begins.tolist(), ends.tolist(), strict=True) if items else ():
+                    fit = ([s for s in sizes if s <= end - begin] or [0])[-1]
+                    able = templates.able(types[begin:end], fit) if fit else np.zeros(0, bool)
+                    judged.append((fit, able, int(able.sum()), _shown(types[begin:end])))
+                for size in sizes:  # a window with a BREAK is of no text
                     for reading, at_, hashes in templates.hashed(places, types, size):
                         if keep is not None:
                             found = np.flatnonzero(keep[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -343,23 +413,47 @@ def _windows(
                             found = found[only[spot] == hashes[found]]
                         else:
                             found = np.arange(len(hashes))
-                        if len(found) and kinds is None:
-                            kinds = (types + 48).astype(np.uint8).tobytes().decode()
-                        for f in found.tolist():
-                            at = int(at_[f])
+                        at_, hashes = at_[found], hashes[found].astype(np.int64).tolist()
+                        for at, k, hash_ in zip(at_.tolist(), np.searchsorted(ends, at_).tolist(), hashes, strict=True):
+                            row, begin, end = some.start + k, int(begins[k]), int(ends[k])
+                            if items:
+                                fit, able, ables, kinds = judged[k]
+                                if fit != size:
+                                    continue
+                                able, first = bool(able[at - begin]), begin
+                            else:
+                                first = max(begin, at - longest)
+                                able, ables, kinds = False, 0, _shown(types[first:min(end, at + size + longest)])
+                            templates.tell(places, at, size, written)
                             shown, slots = templates.window_at(places, types, at, size, reading)
-                            first = 0 if items else max(0, at - longest)
-                            around = kinds if items else kinds[first:at + size + longest]
-                            out.append((key, copy, size, at, len(places), reading >= 0, int(hashes[f].astype(np.int64)),
-                                        shown, slots, items and bool(able[at]), ables, around, at - first))
-                        if len(out) > 50_000:
-                            yield pd.DataFrame(out, columns=columns)
-                            out = []
+                            out.append((keys[row], copies[row], size, at - begin, end - begin, reading >= 0, hash_,
+                                        shown, slots, able, ables, kinds, at - first))
+                            if len(out) > 50_000:
+                                yield pd.DataFrame(out, columns=columns)
+                                out = []
             yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(run, f"key string, copy long, {WINDOWS}")
 
 
+def _shown(types: np.ndarray) -> str:
+    """Types as text, one figure per word."""
+    return (types + 48).astype(np.uint8).tobytes().decode()
+
+
+def _at_once(texts: list[str | None]) -> Iterator[slice]:
+    """Texts that follow each other, of AT_ONCE characters in all or one."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        more = len(text or "")
+        if size and size + more > AT_ONCE:
+            yield slice(start, k)
+            start, size = k, 0
+        size += more
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
     return table.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
 

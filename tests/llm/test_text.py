@@ -5,8 +5,10 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
+from seriesmill.llm import decontaminate as D
 from seriesmill.llm import queries
 from seriesmill.llm.decontaminate import Templates, contaminated, drop_contaminated
 from seriesmill.llm.html_text import Weights, extract_main_text, learn_weights, main_text, region, runs
@@ -291,6 +293,98 @@ def test_readings_are_all_readings():
         assert sorted(seen) == sorted(expected)
 
 
+def _read_slowly(templates, text):
+    """Places and types word by word."""
+    places = []
+    for raw in (text or "").replace("\n", " . ").split():
+        places += templates.parts.get(templates.places[raw], [templates.places[raw]])
+    flags = [int(templates.flags[p]) for p in places]
+    start, kept = True, []
+    for place, f in zip(places, flags, strict=True):
+        if not f & D.EMPTY:
+            kept.append((place, f, start))
+        start = bool(f & D.ENDS) or start and bool(f & D.EMPTY)
+    types = []
+    for k, (_, f, start) in enumerate(kept):
+        after = k > 0 and kept[k - 1][1] & D.DIGITS
+        before = k + 1 < len(kept) and kept[k + 1][1] & D.DIGITS
+        if f & D.DIGITS:
+            types.append(D.NUM)
+        elif f & D.SIGN and (before or after) or f & D.MEASURE and after:
+            types.append(D.UNIT)
+        else:
+            types.append((D.MAYBE if start else D.NAME) if f & D.CAPITAL else 0)
+    return [p for p, _, _ in kept], types
+
+
+def test_texts_read_at_once_are_read_alone():
+    """Types of all words, and every window that an item has, whatever texts stand beside and whichever words share a place."""
+    rng = random.Random(5)
+    words = ["Tom", "Ann.", "it", "was.", "3", "km", "so", "—", "...", "$5", "10-15kg,", "É.", "Éva", "İstanbul", "ΟΔΟΣ",
+             "ы", "Яна!", "A", "A.", "ß", "x..", "ª", "÷", "中文。", "STRASSE", "Ǆabc", "Žena", "žena", "McTom", "$", "€", "It", "Was"]
+    spaces = [" ", " ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    texts = ["".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [None, "", " ", "\n", " It was", "Tom"]
+    items = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(20)]
+    texts += [f"{rng.choice(texts)} {item} {rng.choice(texts)}" for item in items] + items
+    rng.shuffle(texts)
+
+    def windows(templates, places, types):
+        out = {}
+        for reading, at, hashes in templates.hashed(places, types, 5):
+            for a, h in zip(at.tolist(), hashes.tolist(), strict=True):
+                out[a, reading] = (*templates.window_at(places, types, a, 5, reading), h)
+        return out
+
+    alone = Templates(5)
+    known, shown = set(), set()
+    for item in items:
+        for (_, reading), (window, _, _) in windows(alone, *alone.read(item)).items():
+            shown.add(window)
+            known |= set(window.split(" ")) if reading < 0 else set()
+    pairs = {pair for window in shown for pair in itertools.pairwise(window.split(" "))}
+    known.discard("tom")  # so that a name shares its place
+    together = Templates(5, frozenset(known), sorted(pairs))
+    places, types, written = together.read_all(texts)
+    ends = [-1, *(k for k, p in enumerate(places.tolist()) if p == D.BREAK)]
+    assert len(ends) == len(texts) + 1
+    assert (places < D.BREAK).any()
+    for a in np.flatnonzero(places != D.BREAK).tolist():
+        together.tell(places, a, 1, written)
+    got = windows(together, places, types)
+    met = 0
+    for text, before, end in zip(texts, ends, ends[1:], strict=False):
+        expected, kinds = _read_slowly(alone, text)
+        assert types[before + 1:end].tolist() == kinds, text
+        for place, other, kind in zip(places[before + 1:end].tolist(), expected, kinds, strict=True):
+            if kind or together.words[place]:
+                assert together.words[place] == alone.words[other]
+        for (a, reading), window in windows(alone, *alone.read(text)).items():
+            if window[0] in shown and "tom" not in window[0].split(" "):
+                assert got[before + 1 + a, reading] == window
+                met += 1
+    assert met > 300
+
+
+def test_words_that_no_item_has_take_no_place():
+    """Neither in small letters nor as names: a task keeps and looks up each of the others once per AT_ONCE characters."""
+    templates = Templates(5, frozenset({"the", "of"}), [("the", "of")])
+    before = len(templates.words)
+    names = ["".join(letters) for letters in itertools.product("Bcd", "efg", "hij", "klm")]
+    templates.read(" ".join(w + mark for w in names for mark in ("", ",", ".", "!")))
+    assert len(templates.words) == before
+    templates.read("the old house of Tom")
+    assert {w for w in templates.words if w} == {"the", "of"}
+
+
+def test_texts_go_by_size_not_by_number():
+    texts = ["a" * 1_500_000] * 3 + [None, "", "b" * 9_000_000, "c"]
+    cut = list(D._at_once(texts))
+    assert [t for some in cut for t in texts[some]] == texts
+    assert [sum(len(t or "") for t in texts[some]) for some in cut] == [3_000_000, 1_500_000, 9_000_000, 1]
+    assert list(D._at_once([])) == []
+
+
 def test_clean_rows_stay_whatever_their_id(odd_docs, spark):
     items = spark.createDataFrame([(1, "same text here for all")], "item_id long, text string")
     left = sorted(((r["doc_id"], r["text"]) for r in drop_contaminated(odd_docs, items).collect()), key=str)
